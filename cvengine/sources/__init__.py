@@ -1,0 +1 @@
+"""Readers, writers, sample generators and the bindings of the bundled tables."""
