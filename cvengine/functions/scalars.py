@@ -11,8 +11,7 @@ MONEY = "decimal(18,2)"
 def finite(col: Column) -> Column:
     """Double with NaN and infinities as NULL, and -0.0 as 0.0."""
     value = col.cast("double")
-    bad = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(~bad, value + F.lit(0.0))
+    return F.when(F.abs(value) < F.lit(float("inf")), value + F.lit(0.0))
 
 
 def money_sum(col: Column) -> Column:

@@ -1,0 +1 @@
+"""End-to-end runs: model fitting, scoring and the registered queries."""
