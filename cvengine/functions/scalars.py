@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(18,4)"
 
 
 def finite(col: Column) -> Column:
@@ -15,7 +15,7 @@ def finite(col: Column) -> Column:
 
 
 def money_sum(col: Column) -> Column:
-    """Sum to the cent in decimal arithmetic: the same total for every partition order."""
+    """Sum in decimals of four places: the same total for every partition order."""
     return F.sum(col.cast(MONEY)).cast("double")
 
 

@@ -195,42 +195,38 @@ def quantiles(
     ]
 
 
-def rows_at(df: DataFrame, keys: Sequence[str], positions: Sequence[int], rows: int, cell_rows: int = CELL_ROWS):
-    """The key tuples at 0-based ``positions`` of the order by ``keys``, which identify rows.
+def row_positions(df: DataFrame, keys: Sequence[str], rows: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``keys``, which identify rows, with ``position``: 0-based in the order by ``keys``.
 
     Range partitioning on all keys splits long runs of equal leading keys. The sorted
     keys are staged because partition bounds come from a sample: one evaluation must
-    serve both the counting and the lookup.
+    serve both the counting and the result.
     """
     slim = df.select(*keys)
     if rows <= cell_rows:
         order = Window.partitionBy(F.lit(0)).orderBy(*keys)
-        hit = slim.withColumn("__at", F.row_number().over(order) - 1).where(F.col("__at").isin(list(positions)))
-        return {r["__at"]: tuple(r[k] for k in keys) for r in hit.collect()}
+        return slim.withColumn("position", F.row_number().over(order).cast("bigint") - 1)
     parts = -(-rows // cell_rows)
     mark = F.monotonically_increasing_id()
     ordered = stage(
         slim.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("__mark", mark)
-        .withColumn("__part", F.shiftright("__mark", 33))
+        .withColumn("__part", F.shiftright("__mark", 33).cast("int"))
         .withColumn("__at", F.col("__mark").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("__mark"),
         "ordered",
     )
     sizes = {r["__part"]: r["n"] for r in ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spots, start = {}, 0
-    for part in sorted(sizes):
-        for p in positions:
-            if start <= p < start + sizes[part]:
-                spots[(part, p - start)] = p
-        start += sizes[part]
-    if not spots:
-        return {}
-    chosen = reduce(
-        lambda a, b: a | b, [(F.col("__part") == part) & (F.col("__at") == at) for part, at in spots]
-    )
-    return {spots[(r["__part"], r["__at"])]: tuple(r[k] for k in keys) for r in ordered.where(chosen).collect()}
+    before = _running([sizes.get(part, 0) for part in range(max(sizes) + 1)])
+    start = F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("__part"))
+    return ordered.select(*keys, (start + F.col("__at")).alias("position"))
+
+
+def rows_at(df: DataFrame, keys: Sequence[str], positions: Sequence[int], rows: int, cell_rows: int = CELL_ROWS):
+    """The key tuples at 0-based ``positions`` of the order by ``keys``, which identify rows."""
+    placed = row_positions(df, keys, rows, cell_rows).where(F.col("position").isin(list(positions)))
+    return {r["position"]: tuple(r[k] for k in keys) for r in placed.collect()}
 
 
 def not_after(keys: Sequence[str], bound: Sequence) -> Column:

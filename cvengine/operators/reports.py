@@ -10,9 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cvengine import fixed_values as fixed
-from cvengine.functions.scalars import half_even, money_mean, money_sum
+from cvengine.functions.scalars import MONEY, half_even, money_mean, money_sum
 from cvengine.operators.binning import labelled_quantiles, quantile_edges
-from cvengine.operators.order import CELL_ROWS, grouped_medians, grouped_quantiles, quantiles, values_at
+from cvengine.operators.order import (
+    CELL_ROWS,
+    grouped_medians,
+    grouped_quantiles,
+    not_after,
+    quantiles,
+    rows_at,
+    values_at,
+)
 from cvengine.operators.scoring import high_risk, segment_number
 
 CLV = "predicted_clv"
@@ -171,11 +179,11 @@ def revenue_concentration(scored: DataFrame, cell_rows: int = CELL_ROWS) -> Data
     """
     rows = scored.agg(F.count(CLV)).first()[0]
     places = int(rows * fixed.TOP_SHARE)
-    money = F.col(CLV).cast("decimal(18,2)")
+    money = F.col(CLV).cast(MONEY)
     if places:
         last = values_at(scored, CLV, [rows - places], rows, cell_rows)[rows - places]
         above = F.col(CLV) > F.lit(last)
-        top = F.coalesce(F.sum(F.when(above, money)).cast("double"), F.lit(0.0)) + F.lit(round(last, 2)) * (
+        top = F.coalesce(F.sum(F.when(above, money)).cast("double"), F.lit(0.0)) + F.lit(last).cast(MONEY).cast("double") * (
             F.lit(places) - F.count_if(above)
         )
     else:
@@ -256,6 +264,18 @@ def top_customers(scored: DataFrame, count: int = 10, rounded: bool = True) -> D
     return _display(scored, count, rounded)
 
 
+def top_tenth(scored: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The tenth of the customers with the highest value; ties go to the smaller id."""
+    keyed = scored.withColumn("__down", -F.col(CLV))
+    rows = scored.count()
+    places = int(rows * fixed.TOP_SHARE)
+    if not places:
+        return scored.limit(0)
+    keys = ["__down", "customer_id"]
+    last = rows_at(keyed, keys, [places - 1], rows, cell_rows)[places - 1]
+    return keyed.where(not_after(keys, last)).drop("__down")
+
+
 def top_high_risk(scored: DataFrame, count: int = 10, rounded: bool = True) -> DataFrame:
     return _display(high_risk(scored), count, rounded)
 
