@@ -97,7 +97,7 @@ def zero_missing_numbers(df: DataFrame) -> DataFrame:
 
 
 def customer_features(rollup: DataFrame, reference_date: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The full feature table; ``rollup`` should be staged, as edges take passes over it.
+    """The rollup with all derived features. It should be staged, as edges take passes over it.
 
     Days count back from ``reference_date``, by default the newest purchase.
     """

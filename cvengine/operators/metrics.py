@@ -55,7 +55,11 @@ def evaluate(pairs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     rows = pairs.count()
     ranked = average_rank(pairs, "actual", "__rank_actual", ["customer_id"], cell_rows, rows)
     ranked = average_rank(ranked, "predicted", "__rank_predicted", ["customer_id"], cell_rows, rows)
-    correlation = F.corr("__rank_actual", "__rank_predicted") if rows > 1 else F.lit(0.0)
+    if rows > 1:  # NULL where one side is constant
+        spread = F.stddev_pop("__rank_actual") * F.stddev_pop("__rank_predicted")
+        correlation = F.try_divide(F.covar_pop("__rank_actual", "__rank_predicted"), spread)
+    else:
+        correlation = F.lit(0.0)
     return ranked.agg(
         *[c.alias(name) for name, c in _error_measures().items()],
         correlation.alias("ranking_correlation"),

@@ -247,10 +247,10 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact quantiles per group, one output column per entry of ``fractions``.
 
-    Rows are first counted per (group, value). A group of more than ``cell_rows`` rows is
-    further split by value bucket, so that no task sorts more than a bucket of it; the
-    other groups are sorted whole. ``sizes`` (group columns and ``rows``) saves the pass
-    that finds the large groups.
+    Where no group has more than ``cell_rows`` rows, the built-in ``percentile`` keeps the
+    values of one group in memory. Otherwise rows are counted per (group, value) and the
+    large groups are split by value bucket, so that no task sorts more than a bucket.
+    ``sizes`` (group columns and ``rows``) saves the pass that finds the large groups.
     """
     group = list(group)
     data = df.select(*group, F.col(value).alias("__v")).where(F.col("__v").isNotNull())
@@ -259,35 +259,30 @@ def grouped_quantiles(
     large = sizes.where(F.col("rows") > cell_rows).select(*group, "rows")
     found = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows")).first()
     if not found["groups"]:
-        cells = data.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
-        order = Window.partitionBy(*group).orderBy("__v")
-        placed = cells.withColumn("__end", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        placed = placed.withColumn(
-            "__rows", F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        )
-    else:
-        flags = large.select(*[F.col(g).alias(f"__{g}") for g in group], F.lit(True).alias("__large"))
-        if found["groups"] <= BROADCAST_KEYS:
-            flags = F.broadcast(flags)
-        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
-        flagged = data.join(flags, same, "left").drop(*[f"__{g}" for g in group])
-        cuts = cut_points(flagged.where("__large"), "__v", found["rows"], cell_rows)
-        bucket = F.when(F.col("__large"), F.col("__bucket")).otherwise(F.lit(0))
-        flagged = with_bucket(flagged, "__v", cuts, "__bucket").withColumn("__bucket", bucket)
-        cells = flagged.groupBy(*group, "__bucket", "__v").agg(F.count(F.lit(1)).alias("__n"))
-        parts = cells.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__size"))
-        over = Window.partitionBy(*group).orderBy("__bucket")
-        parts = parts.select(
-            *[F.col(g).alias(f"__{g}") for g in group],
-            F.col("__bucket").alias("__b"),
-            (F.sum("__size").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__start"),
-            F.sum("__size")
-            .over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            .alias("__rows"),
-        )
-        placed = cells.join(parts, same & (F.col("__bucket") == F.col("__b")))
-        inner = Window.partitionBy(*group, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = placed.withColumn("__end", F.col("__start") + F.sum("__n").over(inner))
+        shares = [F.percentile("__v", k / q).alias(name) for name, (k, q) in fractions.items()]
+        return data.groupBy(*group).agg(*shares)
+    flags = large.select(*[F.col(g).alias(f"__{g}") for g in group], F.lit(True).alias("__large"))
+    if found["groups"] <= BROADCAST_KEYS:
+        flags = F.broadcast(flags)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
+    flagged = data.join(flags, same, "left").drop(*[f"__{g}" for g in group])
+    cuts = cut_points(flagged.where("__large"), "__v", found["rows"], cell_rows)
+    bucket = F.when(F.col("__large"), F.col("__bucket")).otherwise(F.lit(0))
+    flagged = with_bucket(flagged, "__v", cuts, "__bucket").withColumn("__bucket", bucket)
+    cells = flagged.groupBy(*group, "__bucket", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    parts = cells.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__size"))
+    over = Window.partitionBy(*group).orderBy("__bucket")
+    parts = parts.select(
+        *[F.col(g).alias(f"__{g}") for g in group],
+        F.col("__bucket").alias("__b"),
+        (F.sum("__size").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__start"),
+        F.sum("__size")
+        .over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        .alias("__rows"),
+    )
+    placed = cells.join(parts, same & (F.col("__bucket") == F.col("__b")))
+    inner = Window.partitionBy(*group, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("__end", F.col("__start") + F.sum("__n").over(inner))
     begin, end = F.col("__end") - F.col("__n"), F.col("__end")
     picks = []
     for name, (k, q) in fractions.items():

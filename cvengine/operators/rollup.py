@@ -37,14 +37,14 @@ def _distinct_small(col: Column, low: int, high: int) -> Column:
 
 
 def _counters(name: str, values: list) -> list[Column]:
-    return [F.count_if(F.col(name) == v).alias(f"__{name}_{i}") for i, v in enumerate(values)]
+    return [F.expr(f"count_if({name} = {v!r}) AS __{name}_{i}") for i, v in enumerate(values)]
 
 
 def _most_frequent(name: str, values: list) -> Column:
     """The most frequent value; ``values`` is sorted, the smallest of tied values wins."""
-    counts = F.array(*[F.col(f"__{name}_{i}") for i in range(len(values))])
-    at = F.array_position(counts, F.array_max(counts)).cast("int")
-    return F.get(F.array(*[F.lit(v) for v in values]), at - 1)
+    counts = f"array({', '.join(f'__{name}_{i}' for i in range(len(values)))})"
+    labels = f"array({', '.join(map(repr, values))})"
+    return F.expr(f"get({labels}, cast(array_position({counts}, array_max({counts})) AS int) - 1)")
 
 
 def year_range(transactions: DataFrame) -> tuple[int, int]:
@@ -96,17 +96,24 @@ def rollup_without_median(transactions: DataFrame, years: tuple[int, int]) -> Da
     return measures(transactions, years).join(breadth(transactions), "customer_id")
 
 
+def staged_rollup(transactions: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
+    """The rollup without the median, staged: edges and scores take passes over it."""
+    return stage(rollup_without_median(transactions, years or year_range(transactions)), "rollup")
+
+
+def median_amounts(transactions: DataFrame, staged: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Median amount per customer: a second, two-column pass over the transactions.
+
+    The staged rollup already knows which customers are too large for one task.
+    """
+    sizes = staged.select("customer_id", F.col("total_transactions").alias("rows"))
+    wanted = {"median_order_value": (1, 2)}
+    return grouped_quantiles(transactions, ["customer_id"], "total_amount", wanted, sizes, cell_rows)
+
+
 def customer_rollup(
     transactions: DataFrame, years: tuple[int, int] | None = None, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
-    """All rollup measures, one row per customer.
-
-    The rollup is staged: the transactions are read once for it and once, two columns
-    wide, for the median.
-    """
-    main = stage(rollup_without_median(transactions, years or year_range(transactions)), "rollup")
-    sizes = main.select("customer_id", F.col("total_transactions").alias("rows"))
-    median = grouped_quantiles(
-        transactions, ["customer_id"], "total_amount", {"median_order_value": (1, 2)}, sizes, cell_rows
-    )
-    return main.join(median, "customer_id", "left")
+    """All rollup measures, one row per customer."""
+    staged = staged_rollup(transactions, years)
+    return staged.join(median_amounts(transactions, staged, cell_rows), "customer_id", "left")

@@ -11,7 +11,7 @@ from cvengine.operators import cleaning, reports, scoring, split, strategies
 from cvengine.operators.features import customer_features
 from cvengine.operators.metrics import evaluate
 from cvengine.operators.order import CELL_ROWS
-from cvengine.operators.rollup import customer_rollup
+from cvengine.operators.rollup import median_amounts, staged_rollup
 from cvengine.plans.modeling import (
     ClvModel,
     TrainConfig,
@@ -48,9 +48,12 @@ def training_table(cleaned: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     if split.needs_split(cleaned):
         window = split.split_window(cleaned)
         years = (int(window.start[:4]), int(window.end[:4]))
-        rolled = stage(customer_rollup(split.feature_rows(cleaned, window), years, cell_rows), "rolled")
+        past = split.feature_rows(cleaned, window)
+        rolled = staged_rollup(past, years)
+        features = customer_features(rolled, cell_rows=cell_rows)
+        features = features.join(median_amounts(past, rolled, cell_rows), "customer_id", "left")
         future = split.future_value(split.target_rows(cleaned, window))
-        table = split.attach_target(customer_features(rolled, cell_rows=cell_rows), future)
+        table = split.attach_target(features, future)
     else:
         table = split.summary_target(cleaned)
     return split.with_target_percentile(stage(table, "training"))

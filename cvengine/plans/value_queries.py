@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cvengine import fixed_values as fixed
 from cvengine.functions import scalars
 from cvengine.operators import binning, features, metrics, order, reports, scoring, split, strategies
-from cvengine.operators.rollup import MODES, customer_rollup
+from cvengine.operators.rollup import MODES, customer_rollup, staged_rollup
 from cvengine.plans import modeling, pipeline
 from cvengine.plans.check_sql import CLV, CUST, FEATURES, LABELS, PAIRS, ROLL, SCORED, TXN, money, r6
 from cvengine.plans.registry import day, query, six_digits
@@ -24,13 +24,14 @@ def windowed(spark: SparkSession, folder: str) -> tuple[DataFrame, split.Window]
 
 
 def rolled_up(spark: SparkSession, folder: str) -> DataFrame:
+    """The staged rollup of the feature window, without the median."""
     transactions, window = windowed(spark, folder)
     years = (int(window.start[:4]), int(window.end[:4]))
-    return customer_rollup(split.feature_rows(transactions, window), years)
+    return staged_rollup(split.feature_rows(transactions, window), years)
 
 
 def feature_table(spark: SparkSession, folder: str) -> DataFrame:
-    return features.customer_features(stage(rolled_up(spark, folder), "rolled"))
+    return features.customer_features(rolled_up(spark, folder))
 
 
 def valued(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +154,9 @@ PREFERRED = """preferred_day_of_week::INTEGER AS preferred_day_of_week,
     {', '.join(f'round({c}, 4) AS {c}' for c in ROLLUP_SPREAD)}, {PREFERRED} FROM rolled""",
 )
 def rollup(spark: SparkSession, folder: str) -> DataFrame:
-    table = rolled_up(spark, folder)
+    transactions, window = windowed(spark, folder)
+    years = (int(window.start[:4]), int(window.end[:4]))
+    table = customer_rollup(split.feature_rows(transactions, window), years)
     return day(six_digits(table, **dict.fromkeys(ROLLUP_SPREAD, 4)), "first_purchase", "last_purchase")
 
 
@@ -175,7 +178,7 @@ BEHAVIOUR = [
     round(coalesce(std_order_value, 0), 4) AS std_order_value FROM f2""",
 )
 def behaviour(spark: SparkSession, folder: str) -> DataFrame:
-    table = stage(rolled_up(spark, folder), "rolled")
+    table = rolled_up(spark, folder)
     newest = table.agg(F.max("last_purchase").alias("newest"))
     made = features.behaviour(table.crossJoin(F.broadcast(newest)), F.col("newest"))
     exact = ["customer_id", "customer_lifespan", "days_since_last_purchase", "recency", "frequency"]
@@ -204,7 +207,7 @@ def churn(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {FEATURES} SELECT customer_id, preferred_season, season_encoded::INTEGER AS season_encoded FROM f4",
 )
 def season_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    table = stage(rolled_up(spark, folder).select("customer_id", "preferred_season"), "seasons")
+    table = rolled_up(spark, folder).select("customer_id", "preferred_season")
     return features.encode_labels(table, "preferred_season", MODES["season"], "season_encoded")
 
 
