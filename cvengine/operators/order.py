@@ -248,8 +248,8 @@ def grouped_quantiles(
     """Exact quantiles per group, one output column per entry of ``fractions``.
 
     Where no group has more than ``cell_rows`` rows, the built-in ``percentile`` keeps the
-    values of one group in memory. Otherwise rows are counted per (group, value) and the
-    large groups are split by value bucket, so that no task sorts more than a bucket.
+    values of one group in memory. Rows of larger groups are counted per (group, value)
+    and sorted per (group, value bucket), so that no task sorts more than a bucket.
     ``sizes`` (group columns and ``rows``) saves the pass that finds the large groups.
     """
     group = list(group)
@@ -258,28 +258,33 @@ def grouped_quantiles(
         sizes = data.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.where(F.col("rows") > cell_rows).select(*group, "rows")
     found = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows")).first()
+    shares = [F.percentile("__v", k / q).alias(name) for name, (k, q) in fractions.items()]
     if not found["groups"]:
-        shares = [F.percentile("__v", k / q).alias(name) for name, (k, q) in fractions.items()]
         return data.groupBy(*group).agg(*shares)
-    flags = large.select(*[F.col(g).alias(f"__{g}") for g in group], F.lit(True).alias("__large"))
+
+    names = [f"__{g}" for g in group]
+    keys = stage(large.select(*[F.col(g).alias(n) for g, n in zip(group, names)]), "large-groups")
     if found["groups"] <= BROADCAST_KEYS:
-        flags = F.broadcast(flags)
-    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group])
-    flagged = data.join(flags, same, "left").drop(*[f"__{g}" for g in group])
-    cuts = cut_points(flagged.where("__large"), "__v", found["rows"], cell_rows)
-    bucket = F.when(F.col("__large"), F.col("__bucket")).otherwise(F.lit(0))
-    flagged = with_bucket(flagged, "__v", cuts, "__bucket").withColumn("__bucket", bucket)
-    cells = flagged.groupBy(*group, "__bucket", "__v").agg(F.count(F.lit(1)).alias("__n"))
-    parts = cells.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__size"))
+        keys = F.broadcast(keys)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)])
+    others = data.join(keys, same, "left_anti").groupBy(*group).agg(*shares)
+
+    data = data.join(keys, same, "left_semi")
+    cuts = cut_points(data, "__v", found["rows"], cell_rows)
+    cells = with_bucket(data, "__v", cuts, "__bucket").groupBy(*group, "__bucket", "__v")
+    cells = cells.agg(F.count(F.lit(1)).alias("__n"))
     over = Window.partitionBy(*group).orderBy("__bucket")
+    parts = cells.groupBy(*group, "__bucket").agg(F.sum("__n").alias("__size"))
     parts = parts.select(
-        *[F.col(g).alias(f"__{g}") for g in group],
+        *[F.col(g).alias(n) for g, n in zip(group, names)],
         F.col("__bucket").alias("__b"),
         (F.sum("__size").over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")).alias("__start"),
         F.sum("__size")
         .over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         .alias("__rows"),
     )
+    if found["groups"] * (2 * len(cuts) + 1) <= BROADCAST_KEYS:
+        parts = F.broadcast(parts)
     placed = cells.join(parts, same & (F.col("__bucket") == F.col("__b")))
     inner = Window.partitionBy(*group, "__bucket").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("__end", F.col("__start") + F.sum("__n").over(inner))
@@ -296,13 +301,14 @@ def grouped_quantiles(
             F.max(rest / q).alias(f"__rest_{name}"),
         ]
     picked = placed.groupBy(*group).agg(*picks)
-    return picked.select(
+    split = picked.select(
         *group,
         *[
             (F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__rest_{n}")).alias(n)
             for n in fractions
         ],
     )
+    return others.unionByName(split)
 
 
 def grouped_medians(

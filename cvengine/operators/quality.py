@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,23 +67,32 @@ def outlier_bounds(df: DataFrame, columns: list[str], cell_rows: int = CELL_ROWS
     return found.select("column", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
 
-def outlier_rate(df: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Mean over numeric columns of the percentage of rows outside the fences."""
+def _outlying(df: DataFrame, cell_rows: int) -> Column:
+    """Aggregate: mean over numeric columns of the percentage of rows outside the fences."""
     columns = numeric_columns(df)
     if not columns:
-        return df.agg(F.lit(0.0).alias("outlier_rate"))
+        return F.lit(0.0)
     fences = {r["column"]: (r["low"], r["high"]) for r in outlier_bounds(df, columns, cell_rows).collect()}
     outside = [
         F.count_if((F.col(c) < F.lit(fences[c][0])) | (F.col(c) > F.lit(fences[c][1]))) for c in columns if c in fences
     ]
     shares = sum((F.try_divide(o, F.count(F.lit(1))) for o in outside), F.lit(0.0))
-    return df.agg((shares / len(columns) * 100).alias("outlier_rate"))
+    return shares / len(columns) * 100
 
 
-def completeness(df: DataFrame) -> DataFrame:
+def _complete(df: DataFrame) -> Column:
+    """Aggregate: percentage of cells that are not NULL."""
     cells = F.count(F.lit(1)) * len(df.columns)
     missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
-    return df.agg((F.try_divide(cells - missing, cells) * 100).alias("completeness"))
+    return F.try_divide(cells - missing, cells) * 100
+
+
+def outlier_rate(df: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    return df.agg(_outlying(df, cell_rows).alias("outlier_rate"))
+
+
+def completeness(df: DataFrame) -> DataFrame:
+    return df.agg(_complete(df).alias("completeness"))
 
 
 def duplicate_rate(df: DataFrame) -> DataFrame:
@@ -94,9 +103,13 @@ def duplicate_rate(df: DataFrame) -> DataFrame:
 
 
 def quality_score(df: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row: completeness, duplicate rate, outlier rate and the weighted score (at most 60)."""
-    parts = completeness(df).crossJoin(F.broadcast(duplicate_rate(df)))
-    parts = parts.crossJoin(F.broadcast(outlier_rate(df, cell_rows)))
+    """One row: completeness, duplicate rate, outlier rate and the weighted score (at most 60).
+
+    Completeness and outliers share a pass, after the one that finds the fences.
+    """
+    counted = df.agg(_complete(df).alias("completeness"), _outlying(df, cell_rows).alias("outlier_rate"))
+    parts = counted.crossJoin(F.broadcast(duplicate_rate(df)))
+    parts = parts.select("completeness", "duplicate_rate", "outlier_rate")
     return parts.withColumn(
         "overall_score",
         F.col("completeness") * 0.6 - F.col("duplicate_rate") * 0.2 - F.col("outlier_rate") * 0.2,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cvengine import fixed_values as fixed
@@ -32,15 +32,24 @@ def split_window(transactions: DataFrame) -> Window:
     return Window(*found)
 
 
+def _years(transactions: DataFrame, first: str, last: str) -> Column:
+    """Bounds on ``year`` where the column exists: they prune folders of a table laid out by year."""
+    if "year" not in transactions.columns:
+        return F.lit(True)
+    return F.col("year").between(int(first[:4]), int(last[:4]))
+
+
 def feature_rows(transactions: DataFrame, window: Window) -> DataFrame:
     kind = transactions.schema["invoice_date"].dataType
     start, end = F.lit(window.start).cast(kind), F.lit(window.end).cast(kind)
-    return transactions.where(F.col("invoice_date").between(start, end))
+    inside = F.col("invoice_date").between(start, end)
+    return transactions.where(inside & _years(transactions, window.start, window.end))
 
 
 def target_rows(transactions: DataFrame, window: Window) -> DataFrame:
     kind = transactions.schema["invoice_date"].dataType
-    return transactions.where(F.col("invoice_date") > F.lit(window.end).cast(kind))
+    later = F.col("invoice_date") > F.lit(window.end).cast(kind)
+    return transactions.where(later & _years(transactions, window.end, window.newest))
 
 
 def future_value(targets: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def build_session(master: str | None = None, app_name: str = "cvengine", **conf: str) -> SparkSession:
@@ -47,7 +48,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, remembered for ``drop_staged``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application wrote. Frames built on them end with it."""
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in _staged.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(configuration).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
