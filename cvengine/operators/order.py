@@ -258,16 +258,15 @@ def grouped_quantiles(
         sizes = data.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
     large = sizes.where(F.col("rows") > cell_rows).select(*group, "rows")
     found = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("rows")).first()
-    shares = [F.percentile("__v", k / q).alias(name) for name, (k, q) in fractions.items()]
     if not found["groups"]:
-        return data.groupBy(*group).agg(*shares)
+        return _small_group_quantiles(data, group, fractions)
 
     names = [f"__{g}" for g in group]
     keys = stage(large.select(*[F.col(g).alias(n) for g, n in zip(group, names)]), "large-groups")
     if found["groups"] <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(group, names)])
-    others = data.join(keys, same, "left_anti").groupBy(*group).agg(*shares)
+    others = _small_group_quantiles(data.join(keys, same, "left_anti"), group, fractions)
 
     data = data.join(keys, same, "left_semi")
     cuts = cut_points(data, "__v", found["rows"], cell_rows)
@@ -311,6 +310,13 @@ def grouped_quantiles(
     return others.unionByName(split)
 
 
+def _small_group_quantiles(data: DataFrame, group: list[str], fractions: dict[str, Fraction]) -> DataFrame:
+    """All fractions from one buffer of values per group."""
+    shares = F.percentile("__v", [k / q for k, q in fractions.values()]).alias("__shares")
+    found = data.groupBy(*group).agg(shares)
+    return found.select(*group, *[F.get("__shares", F.lit(i)).alias(n) for i, n in enumerate(fractions)])
+
+
 def grouped_medians(
     df: DataFrame, group: Sequence[str], columns: Sequence[str], cell_rows: int = CELL_ROWS
 ) -> DataFrame:
