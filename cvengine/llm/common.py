@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cvengine.session import new_path
 
@@ -59,3 +63,25 @@ def labelled_sample(labels: DataFrame, target: str, folds: int, fold: int, rows_
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [known.where(F.col("y") == value).orderBy(*order).limit(rows_per_class) for value in (0, 1)]
     return parts[0].unionAll(parts[1])
+
+
+def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[pa.Array]]], fields: str) -> DataFrame:
+    """Adds the columns ``fields`` that the function from ``make()`` computes for lists of texts; drops ``text``.
+
+    Runs as an Arrow map: other columns pass through untouched, so NULL ids and large ids stay exact. ``make`` is
+    called once per task, for tables that a task keeps.
+    """
+    small_text_batches(df.sparkSession)
+    passed = [f for f in df.schema.fields if f.name != text]
+    added = T.StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                made = work(batch.column(text).to_pylist())
+                columns = [batch.column(name) for name in names] + made
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *new_names])
+
+    names, new_names = [f.name for f in passed], added.fieldNames()
+    return df.select(*names, text).mapInArrow(run, T.StructType([*passed, *added.fields]))

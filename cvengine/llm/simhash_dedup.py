@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvengine.llm.blocks import UNIT, forest, pair_mask, work_units
-from cvengine.llm.common import small_text_batches, stage, table
+from cvengine.llm.common import map_texts, numbered, stage, table
 from cvengine.llm.components import connected_components
 
 #: Rows of a bucket that are compared with each other at once.
@@ -45,15 +45,14 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
 
 def fingerprints(documents: DataFrame, shingle_words: int = 4) -> DataFrame:
     """(doc_id, fingerprint long) per row of ``documents``; the fingerprint is the unsigned value's two's complement."""
-    small_text_batches(documents.sparkSession)
+    def make():
+        def work(texts: list) -> list[pa.Array]:
+            values = np.array([fingerprint(t, shingle_words) for t in texts], np.uint64)
+            return [pa.array(values.view(np.int64))]
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = np.array([fingerprint(t, shingle_words) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": values.view(np.int64)})
+        return work
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(add, f"doc_id {kind}, fingerprint long")
+    return map_texts(documents.select("doc_id", "text"), "text", make, "fingerprint long")
 
 
 def _ball(bits: int, radius: int) -> list[int]:
@@ -160,12 +159,11 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 4, max_distance:
 def keep_first(documents: DataFrame, shingle_words: int = 4, max_distance: int = 4) -> DataFrame:
     """``documents`` with one row of each group of near duplicates: that of the smallest doc_id.
 
-    Rows that repeat a kept doc_id are told apart by the least hash of all columns, then row position.
+    NULL ids come last; of rows that repeat a doc_id the first in the staged copy counts as smaller.
     """
-    from cvengine.llm.common import numbered
-
-    rows = numbered(documents, "__row")
-    found = near_duplicates(rows.select(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("__row").alias("row")).alias("doc_id"), "text"), shingle_words, max_distance)
+    rows = numbered(documents)
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    found = near_duplicates(rows.select(place.alias("doc_id"), "text"), shingle_words, max_distance)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("__kept"))
     return rows.join(kept, rows["__row"] == kept["__kept"]).select(*documents.columns)
 
