@@ -155,103 +155,6 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
     return learn(bags)
 
 
-def score(text: str | None) -> float:
-            total, size = 0.0, 0
-            for word, times in Counter(words(text)).items():
-                n = times**POWER
-                found = known.get(word)
-                if found is None:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    ids = subwords(word)
-                    found = known[word] = (float(self.logit[ids].sum()), len(ids))
-                total += n * found[0]
-                size += n * found[1]
-            x = self.bias + (total / size if size else 0.0)
-            return float(1 / (1 + np.exp(-np.clip(x, -500, 500))))
-
-        return score
-
-
-def _bag_of_texts() -> Callable[[list], list[pa.Array]]:
-    known: dict[str, np.ndarray] = {}
-
-    def work(texts: list) -> list[pa.Array]:
-        ids, shares = [], []
-        for text in texts:
-            counted = Counter(words(text))
-            if len(known) >= MEMORY // 8:
-                known.clear()
-            found = [known[w] if w in known else known.setdefault(w, np.array(subwords(w), np.int32)) for w in counted]
-            bag = np.zeros(BUCKETS)
-            if found:
-                times = np.repeat(np.array(list(counted.values())) ** POWER, [f.size for f in found])
-                bag = np.bincount(np.concatenate(found), times, BUCKETS)
-            kept = np.flatnonzero(bag)
-            ids.append(kept.astype(np.int32))
-            shares.append((bag[kept] / max(1.0, bag.sum())).astype(np.float32))
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
-
-    return work
-
-
-def learn(bags: pa.Table, seed: int = 3) -> SubwordModel:
-    """Embeddings and softmax, trained together by Adam on the cross entropy of shuffled small batches."""
-    y = bags["y"].to_numpy().astype(np.int64)
-    if len(set(y.tolist())) < 2:
-        return SubwordModel(np.zeros(BUCKETS, np.float32), 3.0 if y.any() else -3.0)
-    order = np.random.default_rng(seed)
-    ids, shares = ([x.values.to_numpy(zero_copy_only=False) for x in bags[c]] for c in ("ids", "shares"))
-    state = {
-        "embedding": order.uniform(-1, 1, (BUCKETS, DIMENSION)).astype(np.float32) / DIMENSION,
-        "weight": order.uniform(-1, 1, (DIMENSION, 2)).astype(np.float32),
-        "bias": np.zeros(2, np.float32),
-    }
-    first = {k: np.zeros_like(v) for k, v in state.items()}
-    second = {k: np.zeros_like(v) for k, v in state.items()}
-    step = 0
-    steps = EPOCHS * -(-len(y) // BATCH)
-    for _ in range(EPOCHS):
-        for rows in np.array_split(order.permutation(len(y)), -(-len(y) // BATCH)):
-            step += 1
-            flat = np.concatenate([ids[r] for r in rows])
-            part = np.concatenate([shares[r] for r in rows]) * SCALE
-            owner = np.repeat(np.arange(len(rows)), [ids[r].size for r in rows])
-            weighted = state["embedding"][flat] * part[:, None]
-            pooled = np.stack([np.bincount(owner, weighted[:, d], len(rows)) for d in range(DIMENSION)], axis=1)
-            logits = pooled @ state["weight"] + state["bias"]
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
-            back = (p @ state["weight"].T)[owner] * part[:, None]
-            gradient = {
-                "embedding": np.stack([np.bincount(flat, back[:, d], BUCKETS) for d in range(DIMENSION)], axis=1).astype(np.float32),
-                "weight": (pooled.T @ p).astype(np.float32),
-                "bias": p.sum(axis=0).astype(np.float32),
-            }
-            rate = RATE * (1 - step / (steps + 1))
-            for k, g in gradient.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                state[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    along = state["weight"][:, 1] - state["weight"][:, 0]
-    return SubwordModel((state["embedding"] @ along * SCALE).astype(np.float32), float(state["bias"][1] - state["bias"][0]))
-
-
-def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> SubwordModel:
-    """A model of ``labels.toxic`` from labelled documents outside the held-out fold, at most ``rows_per_class`` of each label.
-
-    Only the bags of that bounded sample reach the driver. Scores are probabilities at the sample's mix of labels, where
-    toxic documents are as many as the bound allows. Without labels of both kinds scores are constant.
-    """
-    sample = F.broadcast(labelled_sample(labels, "toxic", FOLDS, FOLD, rows_per_class))
-    texts = documents.select("doc_id", "text").join(sample, "doc_id")
-    bags = map_texts(texts, "text", _bag_of_texts, "ids array<int>, shares array<float>").toArrow().sort_by("doc_id").combine_chunks()
-    counted = labels.where(~held_out("doc_id", FOLDS, FOLD)).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return learn(bags, min(max(counted if counted is not None else 0.5, 0.001), 0.999))
-
-
 def score(documents: DataFrame, model: SubwordModel) -> DataFrame:
     """(doc_id, score) per row, over the whole text; NULL and empty texts get the score of an empty bag.
 
