@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,19 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cvengine.llm.common import stage, table
+from cvengine.llm.common import small_text_batches, stage, table
 from cvengine.session import new_path
 
 CRLF = "\r\n"
-#: Characters of a transfer chunk and of a record's block; very long pages get larger ones, at most MOST_PARTS.
+#: Characters of a transfer chunk and of a record's block.
 CHUNK = 4096
 SEGMENT = 16384
-MOST_PARTS = 64
 #: Records of one archive file, which a task reads whole.
 RECORDS_PER_FILE = 1000
 #: Bytes that a task holds as parsed records before it passes them on.
 HELD_BYTES = 8 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_CONTROL = re.compile(r"[\x00-\x1F\x7F]+")
 
 
 def payload_digest(payload: Column) -> Column:
@@ -32,83 +35,79 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def _record_id(kind: str, *parts: Column) -> Column:
+def _record_id(kind: str, page_id: int | None, url: str | None, digest: str, part: int = 0) -> str:
     """A URN made from what identifies a record, so that a task that runs twice writes the same id."""
-    digest = F.md5(F.concat_ws("|", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]))
-    pieces = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *pieces), F.lit(">"))
-
-
-def _cut(text: Column, size: int) -> Column:
-    """A text in pieces of ``size`` characters, more if that would make over MOST_PARTS pieces; none for an empty text."""
-    length = F.length(text)
-    width = F.greatest(F.lit(size), F.ceil(length / F.lit(MOST_PARTS)).cast("int"))
-    starts = F.when(length == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), length - 1, width))
-    return F.transform(starts, lambda at: F.substring(text, at + 1, width))
-
-
-def _header(*fields: tuple[str, Column]) -> Column:
-    """WARC header lines; a field without a value is left out."""
-    lines = [F.concat(F.lit(f"{name}: "), value) for name, value in fields]
-    return F.concat_ws(CRLF, F.lit("WARC/1.1"), *lines)
-
-
-def _one_line(value: Column) -> Column:
-    return F.regexp_replace(value.cast("string"), r"[\x00-\x1F\x7F]+", "")
+    key = f"{kind}|{page_id}|{url or ''}|{digest}|{part}".encode("utf-8", "surrogatepass")
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(key).hexdigest())}>"
+
+
+def _record(fields: dict[str, str | None], block: str) -> str:
+    """A record without the line ends that follow it; fields without a value are left out."""
+    lines = ["WARC/1.1", *[f"{name}: {value}" for name, value in fields.items() if value], f"Content-Length: {len(block.encode())}"]
+    return CRLF.join([*lines, "", block])
+
+
+def page_records(page_id: int | None, url: str | None, payload: str, digest: str, original: dict | None) -> list[str]:
+    """The records of a page: a revisit of ``original``, or a response and, if it is long, its continuations."""
+    link = _CONTROL.sub("", url or "")
+    common = {"WARC-Target-URI": link, "WARC-Date": "1970-01-01T00:00:00Z"}
+    own = {"WARC-Page-ID": None if page_id is None else str(page_id), "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
+    head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"
+    if original is not None:
+        named = {
+            "WARC-Type": "revisit",
+            "WARC-Record-ID": _record_id("revisit", page_id, url, digest),
+            "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            "WARC-Refers-To": _record_id("response", original["page_id"], original["link"], digest),
+        }
+        return [_record(named | common | own, head + CRLF)]
+    chunks = [payload[at : at + CHUNK] for at in range(0, len(payload), CHUNK)]
+    framed = [f"{len(c.encode()):x}{CRLF}{c}{CRLF}" for c in chunks]
+    http = "".join([head, f"Transfer-Encoding: chunked{CRLF * 2}", *framed, f"0{CRLF * 2}"])
+    origin = _record_id("response", page_id, url, digest)
+    blocks = [http[at : at + SEGMENT] for at in range(0, len(http), SEGMENT)]
+    records = []
+    for number, block in enumerate(blocks, 1):
+        first = number == 1
+        named = {"WARC-Type": "response" if first else "continuation"}
+        named["WARC-Record-ID"] = origin if first else _record_id("continuation", page_id, url, digest, number)
+        if len(blocks) > 1:
+            named["WARC-Segment-Number"] = str(number)
+            named["WARC-Segment-Origin-ID"] = None if first else origin
+            named["WARC-Segment-Total-Length"] = str(len(http.encode())) if number == len(blocks) else None
+        records.append(_record(named | common | (own if first else {}), block))
+    return records
 
 
 def warc_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """The records of ``pages`` (page_id, url, html), one per row in ``value``, without the two line ends that follow each."""
+    """The records of ``pages`` (page_id, url, html), one per row in ``value``, without the two line ends that follow each.
+
+    Which page of equal payloads comes first is an aggregate by digest; the few digests that several pages share are
+    joined back; only that join may move payloads.
+    """
+    small_text_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", payload_digest(F.col("payload").cast("binary")))
     place = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", F.coalesce("url", F.lit("")).alias("link"))
     shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     shared = stage(shared.where("n > 1").select(F.col("digest").alias("same"), "first"), "shared-payloads")
-    rows = rows.join(shared, rows["digest"] == shared["same"], "left").withColumn("again", F.col("first").isNotNull() & (F.col("first") != place))
-
-    identity = [F.col("page_id"), F.coalesce("url", F.lit("")), F.col("digest")]
-    common = [
-        ("WARC-Target-URI", F.when(_one_line(F.col("url")) != "", _one_line(F.col("url")))),
-        ("WARC-Page-ID", F.col("page_id").cast("string")),
-        ("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-    ]
-    digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))
-    kind = ("Content-Type", F.lit("application/http; msgtype=response"))
-
-    chunks = F.transform(_cut(F.col("payload"), CHUNK), lambda c: F.concat(F.lower(F.conv(F.octet_length(c).cast("string"), 10, 16)), F.lit(CRLF), c, F.lit(CRLF)))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Transfer-Encoding: chunked{CRLF}{CRLF}"), F.array_join(chunks, ""), F.lit(f"0{CRLF}{CRLF}"))
-    answers = rows.where(~F.col("again")).withColumn("http", http)
-    answers = answers.withColumn("id", _record_id("response", *identity)).withColumn("total", F.octet_length("http"))
-    answers = answers.withColumn("blocks", _cut(F.col("http"), SEGMENT)).drop("payload", "http").withColumn("parts", F.size("blocks"))
-    segments = answers.select("*", F.posexplode("blocks").alias("at", "block")).drop("blocks")
-    many, first, last = F.col("parts") > 1, F.col("at") == 0, F.col("at") == F.col("parts") - 1
-    head = _header(
-        ("WARC-Type", F.when(first, "response").otherwise("continuation")),
-        ("WARC-Record-ID", F.when(first, F.col("id")).otherwise(_record_id("continuation", *identity, F.col("at")))),
-        ("WARC-Segment-Number", F.when(many, (F.col("at") + 1).cast("string"))),
-        ("WARC-Segment-Origin-ID", F.when(~first, F.col("id"))),
-        ("WARC-Segment-Total-Length", F.when(many & last, F.col("total").cast("string"))),
-        *[(name, F.when(first, value) if name == "WARC-Page-ID" else value) for name, value in common],
-        (digest[0], F.when(first, digest[1])),
-        (kind[0], F.when(first, kind[1])),
-        ("Content-Length", F.octet_length("block").cast("string")),
-    )
-    responses = segments.select(F.concat(head, F.lit(CRLF * 2), "block").alias("value"))
-
-    answer = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}")
-    original = _record_id("response", F.col("first.page_id"), F.col("first.link"), F.col("digest"))
-    head = _header(
-        ("WARC-Type", F.lit("revisit")),
-        ("WARC-Record-ID", _record_id("revisit", *identity)),
-        *common,
-        ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", original),
-        digest,
-        kind,
-        ("Content-Length", F.octet_length(answer).cast("string")),
-    )
-    revisits = rows.where("again").select(F.concat(head, F.lit(CRLF * 2), answer).alias("value"))
-    return responses.unionAll(revisits)
+    rows = rows.join(shared, rows["digest"] == shared["same"], "left")
+    rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("first") != place, F.col("first")).alias("original"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "original"))):
+                made = page_records(*(x.as_py() for x in row))
+                held += made
+                size += sum(map(len, made))
+                if size >= HELD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["value"])
+
+    return rows.mapInArrow(run, "value string")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
