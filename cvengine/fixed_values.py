@@ -62,6 +62,33 @@ OPTIONAL_DEFAULTS = {
 # fixed values: retail columns that transaction cleaning needs
 RETAIL_REQUIRED = ["customer_id", "invoice_date", "quantity", "unit_price"]
 
+# fixed values: retail headers without blanks, underscores and case -> canonical header
+RETAIL_SPELLINGS = {
+    "customerid": "customer_id",
+    "invoicedate": "invoice_date",
+    "quantity": "quantity",
+    "unitprice": "unit_price",
+    "price": "unit_price",
+    "invoice": "invoice",
+    "invoiceno": "invoice",
+    "invoicenumber": "invoice",
+    "stockcode": "stock_code",
+    "description": "description",
+    "country": "country",
+}
+
+# fixed values: words that a longer retail header must have -> canonical header
+RETAIL_WORDS = {
+    ("customer", "id"): "customer_id",
+    ("invoice", "date"): "invoice_date",
+    ("unit", "price"): "unit_price",
+    ("invoice", "no"): "invoice",
+    ("invoice", "number"): "invoice",
+    ("stock", "code"): "stock_code",
+    ("description",): "description",
+}
+
+# fixed values: largest amount kept, as a share of the amounts
 OUTLIER_FRACTION = (999, 1000)
 
 # fixed values: time split, in days
