@@ -28,6 +28,7 @@ from cvengine.session import stage
 
 CELL_ROWS = 1_000_000
 MAX_CUTS = 4096
+SAMPLE_PER_CUT = 100
 BROADCAST_KEYS = 100_000
 
 Fraction = tuple[int, int]
@@ -38,9 +39,18 @@ def cut_points(df: DataFrame, value: str, rows: int, cell_rows: int = CELL_ROWS)
     wanted = min(-(-rows // cell_rows) - 1, MAX_CUTS)
     if wanted < 1:
         return []
-    shares = [i / (wanted + 1) for i in range(1, wanted + 1)]
-    found = df.agg(F.percentile_approx(value, shares, 20 * (wanted + 1)).alias("cuts")).first()["cuts"]
-    return sorted(set(found or []))
+    return _sampled_cuts(df.select(F.col(value).alias("v")).where(F.col("v").isNotNull()), rows, wanted)
+
+
+def _sampled_cuts(data: DataFrame, rows: int, wanted: int) -> list[float]:
+    """Quantiles of a random sample of about SAMPLE_PER_CUT rows per cut: all that the driver sees of the column.
+
+    No sketch of the whole column is merged in one task. The sample only decides where cuts lie, so ranks do not
+    depend on it; a value in a third of the rows is a third of any sample and becomes a cut.
+    """
+    share = min(1.0, SAMPLE_PER_CUT * (wanted + 1) / max(rows, 1))
+    sample = sorted(r["v"] for r in data.sample(False, share, 7).collect())
+    return sorted({sample[len(sample) * i // (wanted + 1)] for i in range(1, wanted + 1)}) if sample else []
 
 
 def with_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str) -> DataFrame:
@@ -64,11 +74,13 @@ def average_rank(
     """
     if rows is None:
         rows = df.agg(F.count(value)).first()[0]
+    missing = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    df = df.where(F.col(value).isNotNull())
     cuts = cut_points(df, value, rows, cell_rows)
     cut = with_bucket(df, value, cuts, "__bucket")
     bucket = F.col("__bucket")
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(len(cuts) + 1))
-    cut = cut.withColumn("__lane", F.when(bucket.isNull() | (bucket % 2 == 0), spread).otherwise(F.lit(0)))
+    cut = cut.withColumn("__lane", F.when(bucket % 2 == 0, spread).otherwise(F.lit(0)))
     by_value = Window.partitionBy("__bucket", "__lane").orderBy(value)
     ties = F.count(F.lit(1)).over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
     inner = F.rank().over(by_value) + (ties - 1) / 2
@@ -81,7 +93,7 @@ def average_rank(
         rank = F.when(bucket % 2 == 0, start + (tied + 1) / 2).otherwise(start + inner)
     else:
         rank = inner
-    return cut.withColumn(out, F.when(F.col(value).isNotNull(), rank.cast("double"))).drop("__bucket", "__lane")
+    return cut.withColumn(out, rank.cast("double")).drop("__bucket", "__lane").unionByName(missing)
 
 
 def _running(sizes: Sequence[int]) -> list[int]:
@@ -154,10 +166,8 @@ def _pick(data: DataFrame, gaps) -> dict[int, float]:
 
 def _narrow(data: DataFrame, gaps, cell_rows: int, found: dict[int, float]):
     tagged = _tag(data, gaps)
-    wanted = min(max(-(-size // cell_rows) for _, size, _ in gaps.values()), MAX_CUTS)
-    shares = [i / (wanted + 1) for i in range(1, wanted + 1)]
-    sketch = F.percentile_approx("v", shares, 20 * (wanted + 1)).alias("cuts")
-    cuts = sorted({c for r in tagged.groupBy("gap").agg(sketch).collect() for c in r["cuts"]})
+    inside = sum(size for _, size, _ in gaps.values())
+    cuts = _sampled_cuts(tagged, inside, min(-(-inside // cell_rows) + len(gaps), MAX_CUTS))
     sizes = with_bucket(tagged, "v", cuts, "bucket").groupBy("gap", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     narrower = {}
     for i, ((low, high), (before, _, positions)) in enumerate(gaps.items()):
