@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+MONEY = "decimal(38,12)"
 
 
 def finite(col: Column) -> Column:
@@ -15,8 +15,13 @@ def finite(col: Column) -> Column:
 
 
 def money_sum(col: Column) -> Column:
-    """Sum in decimals of four places: the same total for every partition order."""
-    return F.sum(col.cast(MONEY)).cast("double")
+    """Sum in decimals of twelve places, the same total for every partition order.
+
+    Where a value or the total is too large for that, the sum of the doubles.
+    """
+    exact = col.try_cast(MONEY)
+    total = F.when(F.count(exact) == F.count(col), F.try_sum(exact).cast("double"))
+    return F.coalesce(total, F.sum(col.cast("double")))
 
 
 def money_mean(col: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cvengine import fixed_values as fixed
-from cvengine.functions.scalars import MONEY, half_even, money_mean, money_sum
+from cvengine.functions.scalars import half_even, money_mean, money_sum
 from cvengine.operators.binning import labelled_quantiles, quantile_edges
 from cvengine.operators.order import (
     CELL_ROWS,
@@ -179,16 +179,13 @@ def revenue_concentration(scored: DataFrame, cell_rows: int = CELL_ROWS) -> Data
     """
     rows = scored.agg(F.count(CLV)).first()[0]
     places = int(rows * fixed.TOP_SHARE)
-    money = F.col(CLV).cast(MONEY)
     if places:
         last = values_at(scored, CLV, [rows - places], rows, cell_rows)[rows - places]
         above = F.col(CLV) > F.lit(last)
-        top = F.coalesce(F.sum(F.when(above, money)).cast("double"), F.lit(0.0)) + F.lit(last).cast(MONEY).cast("double") * (
-            F.lit(places) - F.count_if(above)
-        )
+        top = F.coalesce(money_sum(F.when(above, F.col(CLV))), F.lit(0.0)) + F.lit(last) * (F.lit(places) - F.count_if(above))
     else:
         top = F.lit(0.0)
-    return scored.agg(top.alias("top_10_percent_revenue"), F.sum(money).cast("double").alias("total_clv")).select(
+    return scored.agg(top.alias("top_10_percent_revenue"), money_sum(F.col(CLV)).alias("total_clv")).select(
         "top_10_percent_revenue",
         (F.try_divide("top_10_percent_revenue", "total_clv") * 100).alias("top_10_percent_share"),
     )

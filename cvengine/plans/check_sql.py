@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cvengine import fixed_values as fixed
+SEGMENTS = ["Low Value", "Low-Medium", "Medium", "Medium-High", "High Value"]
 
 TXN = """
 txn AS (
@@ -14,7 +14,7 @@ bounds AS (
   SELECT max(invoice_date) - INTERVAL 540 DAY AS lo, max(invoice_date) - INTERVAL 180 DAY AS hi FROM txn),
 feat AS (SELECT txn.* FROM txn, bounds WHERE invoice_date BETWEEN lo AND hi),
 future AS (
-  SELECT customer_id, sum(CAST(total_amount AS DECIMAL(18,4)))::DOUBLE AS predicted_clv
+  SELECT customer_id, fsum(total_amount) AS predicted_clv
   FROM txn, bounds WHERE invoice_date > hi GROUP BY customer_id)"""
 
 SEASON = """CASE WHEN month({0}) IN (12, 1, 2) THEN 'Winter' WHEN month({0}) IN (3, 4, 5) THEN 'Spring'
@@ -24,12 +24,12 @@ ROLL = f"""{TXN},
 roll AS (
   SELECT customer_id, min(invoice_date) AS first_purchase, max(invoice_date) AS last_purchase,
     count(*) AS total_transactions, count(DISTINCT invoice) AS unique_invoices,
-    sum(CAST(total_amount AS DECIMAL(18,4)))::DOUBLE AS total_revenue,
-    sum(CAST(total_amount AS DECIMAL(18,4)))::DOUBLE / count(*) AS avg_order_value,
+    fsum(total_amount) AS total_revenue,
+    fsum(total_amount) / count(*) AS avg_order_value,
     stddev_samp(total_amount) AS std_order_value, min(total_amount) AS min_order_value,
     max(total_amount) AS max_order_value, median(total_amount) AS median_order_value,
-    sum(CAST(quantity AS DECIMAL(18,4)))::DOUBLE AS total_quantity,
-    sum(CAST(quantity AS DECIMAL(18,4)))::DOUBLE / count(*) AS avg_quantity,
+    fsum(quantity) AS total_quantity,
+    fsum(quantity) / count(*) AS avg_quantity,
     stddev_samp(quantity) AS std_quantity, count(DISTINCT stock_code) AS unique_products,
     avg(unit_price) AS avg_unit_price, stddev_samp(unit_price) AS std_unit_price,
     count(DISTINCT year(invoice_date)) AS years_active, count(DISTINCT month(invoice_date)) AS months_active,
@@ -85,7 +85,7 @@ f4 AS (
 CUST = """
 spent AS (
   SELECT o_custkey, count(*) AS total_purchases,
-    sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE / count(*) AS avg_order_value,
+    fsum(o_totalprice) / count(*) AS avg_order_value,
     min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders GROUP BY o_custkey),
 cust AS (
   SELECT CAST(c_custkey AS VARCHAR) AS customer_id, (18 + c_custkey % 70)::BIGINT AS age, total_purchases,
@@ -101,8 +101,8 @@ CLV = f"""{CUST},
 clv AS (SELECT *, total_purchases * avg_order_value AS predicted_clv FROM cust)"""
 
 SEGMENT_CASE = "CASE " + " ".join(
-    f"WHEN predicted_clv <= q[{i + 2}] THEN '{name}'" for i, name in enumerate(fixed.SEGMENTS[:-1])
-) + f" ELSE '{fixed.SEGMENTS[-1]}' END"
+    f"WHEN predicted_clv <= q[{i + 2}] THEN '{name}'" for i, name in enumerate(SEGMENTS[:-1])
+) + f" ELSE '{SEGMENTS[-1]}' END"
 
 SCORED = f"""{CLV},
 edges AS (SELECT quantile_cont(predicted_clv, [0, 0.2, 0.4, 0.6, 0.8, 1]) AS q,
@@ -132,11 +132,11 @@ sales AS (
   SELECT *, quantity * unit_price AS total_amount FROM raw
   WHERE customer_id IS NOT NULL AND quantity > 0 AND unit_price > 0 AND invoice_date IS NOT NULL)"""
 
-LABELS = "(VALUES " + ", ".join(f"('{s}', {i + 1})" for i, s in enumerate(fixed.SEGMENTS)) + ")"
+LABELS = "(VALUES " + ", ".join(f"('{s}', {i + 1})" for i, s in enumerate(SEGMENTS)) + ")"
 
 
 def money(expression: str) -> str:
-    return f"sum(CAST({expression} AS DECIMAL(18,4)))::DOUBLE"
+    return f"fsum({expression})"
 
 
 def r6(*names: str) -> str:

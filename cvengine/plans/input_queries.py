@@ -143,13 +143,15 @@ def calendar(spark: SparkSession, folder: str) -> DataFrame:
     "c16_clean_transactions",
     f"""WITH {RAW}, cap AS (SELECT quantile_cont(total_amount, 0.999) AS q FROM sales)
     SELECT customer_id, {SEASON.format('invoice_date')} AS season, year(invoice_date)::INTEGER AS year,
-    count(*) AS lines, sum(CAST(total_amount AS DECIMAL(18,4)))::DOUBLE AS revenue
+    count(*) AS lines, round(fsum(total_amount), 6) AS revenue
     FROM sales, cap WHERE total_amount <= q GROUP BY ALL""",
 )
 def cleaned_transactions(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = cleaning.clean_transactions(tables.raw_retail(spark, folder))
-    return cleaned.groupBy("customer_id", "season", "year").agg(
-        F.count(F.lit(1)).alias("lines"), scalars.money_sum(F.col("total_amount")).alias("revenue")
+    return six_digits(
+        cleaned.groupBy("customer_id", "season", "year").agg(
+            F.count(F.lit(1)).alias("lines"), scalars.money_sum(F.col("total_amount")).alias("revenue")
+        )
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,8 @@ from cvengine.session import stage
 log = logging.getLogger(__name__)
 
 ID, LABEL = "customer_id", "label"
-MAX_CATEGORIES = 1000
+#: Rows of a partition of vectors: small tables are trained in few tasks.
+VECTOR_ROWS = 50_000
 
 
 @dataclass
@@ -94,8 +95,11 @@ def model_input(df: DataFrame, columns: list[str], label: str | None = None) ->
 
 def mark_test(df: DataFrame, config: TrainConfig) -> DataFrame:
     """Split and folds by a hash of the id: stable under any partitioning or re-run."""
-    draw = F.pmod(F.xxhash64(ID, F.lit(config.seed)), F.lit(100))
-    fold = F.pmod(F.xxhash64(ID, F.lit(config.seed + 1)), F.lit(config.folds)).cast("int")
+
+    def draw(seed: int) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ID))), 1, 8), 16, 10).cast("bigint")
+
+    draw, fold = draw(config.seed) % 100, (draw(config.seed + 1) % config.folds).cast("int")
     return df.withColumns({"is_test": draw < config.test_percent, "fold": fold})
 
 
@@ -104,6 +108,8 @@ def fit_preprocessing(train: DataFrame, columns: list[str]) -> tuple[PipelineMod
 
     Labels are indexed in descending order, so the slot to leave out, that of the
     alphabetically first label, is the last one. Unseen and missing labels are all zero.
+    Any number of labels is taken: vectors stay sparse, since scaling does not centre them. The intercept takes
+    up the shift, and no penalty falls on it, so the fitted values are those of centred inputs.
     """
     categorical = [c for c in columns if c in fixed.CATEGORICAL_FEATURES]
     numeric = [c for c in columns if c not in categorical]
@@ -115,9 +121,6 @@ def fit_preprocessing(train: DataFrame, columns: list[str]) -> tuple[PipelineMod
         names += numeric
     if categorical:
         sizes = train.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()
-        large = [c for c in categorical if sizes[c] > MAX_CATEGORIES]
-        if large:
-            raise ValueError(f"more than {MAX_CATEGORIES} categories in {large}")
         categorical = [c for c in categorical if sizes[c] > 1]
     if categorical:
         indexer = StringIndexer(
@@ -141,24 +144,32 @@ def fit_preprocessing(train: DataFrame, columns: list[str]) -> tuple[PipelineMod
             vectors.append(f"{c}__kept")
             names += [f"{c}_{label}" for label in labels[:-1]]
     stages.append(VectorAssembler(inputCols=vectors, outputCol="features"))
-    stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True))
+    stages.append(StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True))
     return Pipeline(stages=stages).fit(train), names
 
 
-def regressors(config: TrainConfig, label_deviation: float, train_rows: int) -> dict[str, tuple]:
-    """Name -> (estimator, grid, takes scaled input).
+class RidgeRegression(LinearRegression):
+    """Linear regression whose ``regParam`` is the penalty on the summed squared error of the rows it is fitted on.
 
-    Spark divides the squared error by the row count and scales the penalty by the label
-    deviation, hence the conversion of the ridge penalty.
+    Spark divides that error by the row count and scales the penalty by the label deviation, hence the
+    conversion, anew for each fold.
     """
+
+    def _fit(self, dataset: DataFrame):
+        rows, deviation = dataset.agg(F.count(F.lit(1)), F.stddev_pop(self.getLabelCol())).first()
+        plain = LinearRegression(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(), standardization=False)
+        return plain.setElasticNetParam(0.0).setRegParam(self.getRegParam() * (deviation or 1.0) / max(rows, 1)).fit(dataset)
+
+
+def regressors(config: TrainConfig) -> dict[str, tuple]:
+    """Name -> (estimator, grid, takes scaled input)."""
     linear = LinearRegression(featuresCol="scaled", labelCol=LABEL, standardization=False)
-    ridge = linear.copy({linear.elasticNetParam: 0.0})
+    ridge = RidgeRegression(featuresCol="scaled", labelCol=LABEL)
     forest = RandomForestRegressor(labelCol=LABEL, featureSubsetStrategy="all", seed=config.seed)
     boosting = GBTRegressor(labelCol=LABEL, seed=config.seed)
-    penalties = [alpha * label_deviation / max(train_rows, 1) for alpha in config.ridge_alphas]
     return {
         "Linear_Regression": (linear, ParamGridBuilder().build(), True),
-        "Ridge_Regression": (ridge, ParamGridBuilder().addGrid(ridge.regParam, penalties).build(), True),
+        "Ridge_Regression": (ridge, ParamGridBuilder().addGrid(ridge.regParam, list(config.ridge_alphas)).build(), True),
         "Random_Forest": (
             forest,
             ParamGridBuilder()
@@ -197,6 +208,7 @@ class ClvModel:
     models: dict[str, object]
     best_name: str
     performance: list[dict] = field(default_factory=list)
+    failures: dict[str, str] = field(default_factory=dict)
 
     @property
     def best(self):
@@ -208,6 +220,9 @@ class ClvModel:
 
     def predict(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """``df`` with ``predicted_clv``: the input columns pass through, vectors do not stay."""
+        missing = [c for c in self.columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"the model needs the columns {', '.join(missing)}; found {', '.join(df.columns)}")
         kept = [F.col(c) for c in df.columns if c != "predicted_clv"]
         inputs = {c: finite(F.col(c)) for c in self.columns if c not in fixed.CATEGORICAL_FEATURES}
         carried = df.withColumn("__row", F.struct(*kept))
@@ -225,11 +240,6 @@ class ClvModel:
         )
 
 
-def _parameters(model, grid) -> str:
-    tried = {p.name for point in grid for p in point}
-    return json.dumps({name: model.getOrDefault(model.getParam(name)) for name in sorted(tried)})
-
-
 def train_models(frame: DataFrame, columns: list[str], config: TrainConfig, cell_rows: int = CELL_ROWS) -> ClvModel:
     """Fit, search and evaluate every regressor. ``frame`` comes from ``model_input``.
 
@@ -237,13 +247,11 @@ def train_models(frame: DataFrame, columns: list[str], config: TrainConfig, cell
     """
     marked = mark_test(frame, config)
     preprocessing, names = fit_preprocessing(marked.where(~F.col("is_test")), columns)
-    ready = stage(
-        preprocessing.transform(marked).select(ID, "features", "scaled", LABEL, "is_test", "fold"), "vectors"
-    )
+    vectors = preprocessing.transform(marked).select(ID, "features", "scaled", LABEL, "is_test", "fold")
+    ready = stage(vectors.coalesce(max(1, frame.count() // VECTOR_ROWS)), "vectors")
     train, test = ready.where(~F.col("is_test")), ready.where("is_test")
-    rows, deviation = train.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first()
-    models, performance = {}, []
-    for name, (estimator, grid, scaled) in regressors(config, deviation or 1.0, rows).items():
+    models, performance, failures = {}, [], {}
+    for name, (estimator, grid, scaled) in regressors(config).items():
         if name not in config.models:
             continue
         try:
@@ -262,12 +270,13 @@ def train_models(frame: DataFrame, columns: list[str], config: TrainConfig, cell
             on_test = evaluate(stage(model.transform(test).select(*pairs), "predictions"), cell_rows).first()
         except Exception as error:  # one failing model does not end the comparison
             log.error("training %s failed: %s", name, error)
+            failures[name] = str(error)
             continue
         models[name] = model
         performance.append(
             {
                 "model": name,
-                "best_params": _parameters(model, grid),
+                "best_params": json.dumps({p.name: v for p, v in sorted(grid[at].items(), key=lambda x: x[0].name)}),
                 "train_r2": on_train["r2"],
                 "test_r2": on_test["r2"],
                 "train_rmse": on_train["rmse"],
@@ -282,9 +291,9 @@ def train_models(frame: DataFrame, columns: list[str], config: TrainConfig, cell
             }
         )
     if not performance:
-        raise RuntimeError("no model could be trained")
+        raise RuntimeError(f"no model could be trained: {failures}")
     best = max(performance, key=lambda r: r["test_r2"])["model"]
-    return ClvModel(preprocessing, columns, names, models, best, performance)
+    return ClvModel(preprocessing, columns, names, models, best, performance, failures)
 
 
 def save_model(model: ClvModel, spark: SparkSession, path: str) -> None:

@@ -37,15 +37,18 @@ class Fit(NamedTuple):
 
 def clean(df: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Retail rows or customer summaries, told apart by their columns."""
-    headers = cleaning.retail_headers(df).columns
-    if {"quantity", "unit_price"} <= set(headers):
+    if {"quantity", "unit_price"} <= set(cleaning.retail_names(df.columns)):
         return cleaning.clean_transactions(df, cell_rows)
-    return cleaning.clean_customers(df)
+    cleaned = cleaning.clean_customers(df)
+    if split.needs_split(cleaned):
+        cleaning.require_retail(cleaned)
+    return cleaned
 
 
 def training_table(cleaned: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One staged row per customer with features, target and target percentile."""
     if split.needs_split(cleaned):
+        cleaned = stage(cleaned, "transactions")
         window = split.split_window(cleaned)
         years = (int(window.start[:4]), int(window.end[:4]))
         past = split.feature_rows(cleaned, window)

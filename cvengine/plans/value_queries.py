@@ -19,8 +19,18 @@ STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
 
 def windowed(spark: SparkSession, folder: str) -> tuple[DataFrame, split.Window]:
-    transactions = tables.transactions(spark, folder)
-    return transactions, split.split_window(transactions)
+    """The transactions of the windows, joined once and staged for every pass over them.
+
+    The bounds come from the orders alone, so that they reach the scan before the join. Should the newest orders
+    have no lines, the windows lie earlier and the rows are read again from there.
+    """
+    orders = tables.table(spark, folder, "orders").select(F.col("o_orderdate").alias("invoice_date"))
+    expected = split.split_window(orders)
+    rows = stage(tables.transactions(spark, folder, since=expected.start), "transactions")
+    window = split.split_window(rows)
+    if window.newest != expected.newest:
+        rows = stage(tables.transactions(spark, folder, since=window.start), "transactions")
+    return rows, window
 
 
 def rolled_up(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,21 +108,21 @@ def temporal_split(spark: SparkSession, folder: str) -> DataFrame:
     return day(both, "first_day", "last_day")
 
 
-@query("a2_future_value", f"WITH {TXN} SELECT customer_id, predicted_clv FROM future")
+@query("a2_future_value", f"WITH {TXN} SELECT customer_id, {r6('predicted_clv')} FROM future")
 def future_value(spark: SparkSession, folder: str) -> DataFrame:
-    return split.future_value(split.target_rows(*windowed(spark, folder)))
+    return six_digits(split.future_value(split.target_rows(*windowed(spark, folder))))
 
 
 @query(
     "j1_f18_target",
-    f"""WITH {ROLL} SELECT customer_id, total_transactions, coalesce(predicted_clv, 0) AS predicted_clv
+    f"""WITH {ROLL} SELECT customer_id, total_transactions, round(coalesce(predicted_clv, 0), 6) AS predicted_clv
     FROM roll LEFT JOIN future USING (customer_id)""",
 )
 def target(spark: SparkSession, folder: str) -> DataFrame:
     transactions, window = windowed(spark, folder)
     counts = split.feature_rows(transactions, window).groupBy("customer_id")
     counts = counts.agg(F.count("invoice_date").alias("total_transactions"))
-    return split.attach_target(counts, split.future_value(split.target_rows(transactions, window)))
+    return six_digits(split.attach_target(counts, split.future_value(split.target_rows(transactions, window))))
 
 
 @query("f19_summary_target", f"WITH {CLV} SELECT customer_id, {r6('predicted_clv')} FROM clv")
@@ -220,13 +230,13 @@ FULL = [c for c in fixed.TRANSACTION_FEATURES if c not in ROLLUP_SPREAD]
       SELECT f4.*, coalesce(future.predicted_clv, 0) AS predicted_clv FROM f4 LEFT JOIN future USING (customer_id))
     SELECT customer_id, {', '.join(f'round(coalesce({c}, 0)::DOUBLE, 6) AS {c}' for c in FULL)},
     {', '.join(f'round(coalesce({c}, 0)::DOUBLE, 4) AS {c}' for c in ROLLUP_SPREAD)},
-    predicted_clv, round((rank() OVER (ORDER BY predicted_clv) +
+    round(predicted_clv, 6) AS predicted_clv, round((rank() OVER (ORDER BY predicted_clv) +
       (count(*) OVER (PARTITION BY predicted_clv) - 1) / 2::DOUBLE) / (count(*) OVER ())::DOUBLE * 100, 6)
       AS clv_percentile FROM t""",
 )
 def training_table(spark: SparkSession, folder: str) -> DataFrame:
     """All model inputs with target and target percentile, from cleaned transactions."""
-    table = pipeline.training_table(tables.transactions(spark, folder))
+    table = pipeline.training_table(windowed(spark, folder)[0])
     doubles = table.select(
         "customer_id",
         *[F.col(c).cast("double").alias(c) for c in fixed.TRANSACTION_FEATURES],
@@ -565,7 +575,7 @@ def insight_table(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "a6_revenue_impact",
     f"""WITH {SCORED}, s AS (SELECT {money('predicted_clv')} AS t,
-      sum(CAST(predicted_clv AS DECIMAL(18,4))) FILTER (customer_segment = 'High Value')::DOUBLE AS h FROM scored)
+      fsum(predicted_clv) FILTER (customer_segment = 'High Value') AS h FROM scored)
     SELECT t AS total_predicted_clv, h AS high_value_contribution, round(h / t * 100, 6) AS high_value_percentage
     FROM s""",
 )
@@ -606,7 +616,7 @@ def value_tiers(spark: SparkSession, folder: str) -> DataFrame:
 
 EXPOSURE = f"""SELECT count(*) FILTER (churn_risk > 0.5) AS high_risk_count,
     round(count(*) FILTER (churn_risk > 0.5)::DOUBLE / count(*) * 100, 6) AS high_risk_percentage,
-    sum(CAST(predicted_clv AS DECIMAL(18,4))) FILTER (churn_risk > 0.5)::DOUBLE AS high_risk_clv_value FROM scored"""
+    fsum(predicted_clv) FILTER (churn_risk > 0.5) AS high_risk_clv_value FROM scored"""
 
 
 @query("a10_risk_exposure", f"WITH {SCORED} {EXPOSURE}")
@@ -615,7 +625,7 @@ def risk_exposure(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CONCENTRATION = f"""SELECT t AS top_10_percent_revenue, round(t / total * 100, 6) AS top_10_percent_share FROM (
-      SELECT sum(CAST(predicted_clv AS DECIMAL(18,4))) FILTER (r <= k)::DOUBLE AS t, {money('predicted_clv')} AS total
+      SELECT fsum(predicted_clv) FILTER (r <= k) AS t, {money('predicted_clv')} AS total
       FROM (SELECT predicted_clv, row_number() OVER (ORDER BY predicted_clv DESC) AS r,
         floor(count(*) OVER () * 0.1) AS k FROM scored))"""
 
@@ -779,18 +789,12 @@ def scatter_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- models: results depend on the learner, so only shape is compared ----
 
-def quick(**changes) -> modeling.TrainConfig:
-    """Small ensembles: enough to exercise every step."""
-    small = dict(forest_trees=(10,), forest_depths=(5,), boosting_rounds=(5,))
-    return modeling.TrainConfig(**{**small, **changes})
-
-
 @query("m1_m14_leaderboard")
 def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     """All four regressors on transaction features, with search, folds and metrics."""
-    table = pipeline.training_table(tables.transactions(spark, folder))
+    table = pipeline.training_table(windowed(spark, folder)[0])
     columns = modeling.feature_columns(table)
-    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, quick())
+    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, modeling.TrainConfig())
     return model.leaderboard(spark)
 
 
@@ -812,9 +816,9 @@ def train_test(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m15_t5_r9_importance")
 def importance(spark: SparkSession, folder: str) -> DataFrame:
-    table = pipeline.training_table(tables.transactions(spark, folder))
+    table = pipeline.training_table(windowed(spark, folder)[0])
     columns = modeling.feature_columns(table)
-    config = quick(models=("Random_Forest",))
+    config = modeling.TrainConfig(models=("Random_Forest",))
     model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, config)
     return model.importance(spark).limit(10)
 
@@ -824,7 +828,7 @@ def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Fit on customer summaries, save, load and score all customers."""
     table = stage(split.summary_target(tables.customers(spark, folder)), "training")
     columns = modeling.feature_columns(table)
-    config = quick(models=("Linear_Regression", "Ridge_Regression"))
+    config = modeling.TrainConfig(models=("Linear_Regression", "Ridge_Regression"))
     model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, config)
     path = new_path(spark, "model")
     modeling.save_model(model, spark, path)
@@ -834,6 +838,5 @@ def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("m18_r11_held_out_predictions")
 def held_out(spark: SparkSession, folder: str) -> DataFrame:
     """The full training run; predicted against actual value of the held-out customers."""
-    config = quick(models=("Linear_Regression", "Gradient_Boosting"))
-    fitted = pipeline.fit_pipeline(spark, tables.customers(spark, folder), config)
+    fitted = pipeline.fit_pipeline(spark, tables.customers(spark, folder))
     return fitted.predictions.select("customer_id", "actual_clv", "predicted_clv", "customer_segment")

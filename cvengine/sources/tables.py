@@ -13,10 +13,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean transactions: one row per order line."""
+def transactions(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
+    """Clean transactions: one row per order line, of orders from ``since`` on."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if since:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(since).cast(orders.schema["o_orderdate"].dataType))
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("o_orderkey").cast("string").alias("invoice"),
