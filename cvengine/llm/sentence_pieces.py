@@ -25,6 +25,7 @@ CELLS = 2_000_000
 #: Words that a task remembers.
 MEMORY = 600_000
 INFINITE = np.int32(2**31 - 1)
+LEADING_SHIFT = np.uint64(43)
 
 
 @dataclass
@@ -34,6 +35,7 @@ class PieceTable:
     text: list[bytes]
     keys: np.ndarray
     key_ids: np.ndarray
+    leading: np.ndarray
     hash: np.ndarray
     length: np.ndarray
     rank: np.ndarray
@@ -96,6 +98,8 @@ def load_pieces(path: str) -> PieceTable:
             left[i], right[i] = (pieces[x] for x in made[0][1])
     reachable.sort()
     every, lengths = np.zeros(size + 1, np.uint64), np.ones(size + 1, np.int64)
+    leading = np.zeros(1 << (64 - int(LEADING_SHIFT)), bool)
+    leading[[h >> int(LEADING_SHIFT) for h, _ in reachable]] = True
     text = [b""] * (size + 1)
     for piece, i in pieces.items():
         every[i], lengths[i], text[i] = _hash(piece), len(piece), piece.encode()
@@ -105,6 +109,7 @@ def load_pieces(path: str) -> PieceTable:
         text=text,
         keys=np.array([h for h, _ in reachable], np.uint64),
         key_ids=np.array([i for _, i in reachable], np.int32),
+        leading=leading,
         hash=every,
         length=lengths,
         rank=ranks,
@@ -118,9 +123,16 @@ def load_pieces(path: str) -> PieceTable:
 
 
 def _find(t: PieceTable, hashes: np.ndarray) -> np.ndarray:
-    """Piece ids of substring hashes, -1 where there is none: a probe of the sorted keys."""
-    at = np.minimum(np.searchsorted(t.keys, hashes), t.keys.size - 1)
-    return np.where(t.keys[at] == hashes, t.key_ids[at], -1)
+    """Piece ids of substring hashes, -1 where there is none: a probe of the sorted keys.
+
+    Only hashes whose leading bits some key has are searched for.
+    """
+    found = np.full(hashes.shape, -1, np.int32)
+    likely = np.nonzero(t.leading[(hashes >> LEADING_SHIFT).astype(np.int64)])
+    wanted = hashes[likely]
+    at = np.minimum(np.searchsorted(t.keys, wanted), t.keys.size - 1)
+    found[likely] = np.where(t.keys[at] == wanted, t.key_ids[at], -1)
+    return found
 
 
 def _may_follow(t: PieceTable, powers: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,29 +157,38 @@ def _may_follow(t: PieceTable, powers: np.ndarray, a: np.ndarray, b: np.ndarray)
     return answer
 
 
-def encode_words(t: PieceTable, words: list[str]) -> list[np.ndarray]:
-    """Piece ids of each word; words of equal length advance together.
+def encode_words(t: PieceTable, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, sizes): the piece ids of word i are ``ids[starts[i] : starts[i] + sizes[i]]``.
 
-    Viterbi over positions: the candidates that end at a position are the substrings that are pieces; a
-    candidate counts only if it may follow the best piece that ends where it starts, and the longest
-    that counts is the maximum whose length is stored as backpointer. For a merge-ranked model exactly one candidate
-    counts at each position, so the path is the model's own encoding.
+    Words of equal length advance together. Viterbi over positions: the candidates that end at a position are the
+    substrings that are pieces; a candidate counts only if it may follow the best piece that ends where it starts, and
+    the longest that counts is the maximum whose length is stored as backpointer. For a merge-ranked model exactly one
+    candidate counts at each position, so the path is the model's own encoding.
     """
-    out: list = [None] * len(words)
+    ids, starts, sizes, total = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     powers = np.cumprod(np.r_[np.uint64(1), np.full(t.longest, BASE)])  # modulo 2^64, as all hashes
     for length, members in by_length.items():
         group = max(1, CELLS // (length * t.longest))
-        for start in range(0, len(members), group):
-            chosen = members[start : start + group]
-            for i, ids in zip(chosen, _encode_equal(t, powers, [words[i] for i in chosen], length)):
-                out[i] = ids
-    return out
-
-
-def _encode_equal(t: PieceTable, powers: np.ndarray, words: list[str], n: int) -> list[np.ndarray]:
+        for first in range(0, len(members), group):
+            chosen = members[first : first + group]
+            flat, counts, unknown = _encode_equal(t, powers, [words[i] for i in chosen], length)
+            ends = np.cumsum(counts)
+            starts[chosen], sizes[chosen] = total + ends - counts, counts
+            ids.append(flat)
+            total += flat.size
+            for k in unknown:
+                made = _with_bytes(t, flat[ends[k] - counts[k] : ends[k]], words[chosen[k]])
+                starts[chosen[k]], sizes[chosen[k]] = total, made.size
+                ids.append(made)
+                total += made.size
+    return np.concatenate(ids) if ids else np.zeros(0, np.int32), starts, sizes
+
+
+def _encode_equal(t: PieceTable, powers: np.ndarray, words: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of words of ``n`` characters, one after the other, how many each has, and which have unknown characters."""
     count = len(words)
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(count, n)
     prefix = np.zeros((count, n + 1), np.uint64)
@@ -199,11 +220,7 @@ def _encode_equal(t: PieceTable, powers: np.ndarray, words: list[str], n: int) -
         path[:, slot] = np.where(at > 0, last[every, at], -1)
         at = at - back[every, at]
     used = path >= 0
-    flat, sizes = path[used], used.sum(axis=1)
-    parts = np.split(flat, np.cumsum(sizes)[:-1])
-    for i in np.flatnonzero((path == t.unknown).any(axis=1)):
-        parts[i] = _with_bytes(t, parts[i], words[i])
-    return parts
+    return path[used], used.sum(axis=1), np.flatnonzero((path == t.unknown).any(axis=1))
 
 
 def _with_bytes(t: PieceTable, ids: np.ndarray, word: str) -> np.ndarray:
@@ -218,6 +235,14 @@ def _with_bytes(t: PieceTable, ids: np.ndarray, word: str) -> np.ndarray:
     return np.array(out, np.int32)
 
 
+class _Words(dict):
+    """Numbers words in the order in which they are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Encodes lists of texts; remembers the ids of words until MEMORY words are known."""
 
@@ -227,21 +252,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Words()
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, texts: list) -> pa.ListArray:
         """One list of ids per text; NULL for NULL, an empty list for an empty text."""
         if len(self.known) > MEMORY:
             self._forget()
-        known, occurrences, sizes = self.known, [], []
+        number, occurrences, sizes = self.known.__getitem__, [], []
         for text in texts:
             if not text:
                 sizes.append(0)
                 continue
             found = self.pattern.findall((SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE))
             sizes.append(len(found))
-            occurrences.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
+            occurrences.append(np.fromiter(map(number, found), np.int64, len(found)))
         self._learn()
         at = np.concatenate(occurrences) if occurrences else np.zeros(0, np.int64)
         lengths, starts = self.size[at], self.start[at]
@@ -256,11 +281,10 @@ class Encoder:
     def _learn(self) -> None:
         new = list(self.known)[self.size.size :]
         if new:
-            ids = encode_words(self.pieces, new)
-            sizes = np.array([x.size for x in ids], np.int64)
-            self.start = np.r_[self.start, self.flat.size + np.cumsum(sizes) - sizes]
+            ids, starts, sizes = encode_words(self.pieces, new)
+            self.start = np.r_[self.start, self.flat.size + starts]
             self.size = np.r_[self.size, sizes]
-            self.flat = np.concatenate([self.flat, *ids])
+            self.flat = np.r_[self.flat, ids]
 
 
 def encode(documents: DataFrame, pieces: PieceTable, text: str = "text", ids: str = "ids") -> DataFrame:
