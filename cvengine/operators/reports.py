@@ -324,7 +324,7 @@ def scatter_grid(scored: DataFrame, axis: str, cells: int = 100) -> DataFrame:
 def band_sample(scored: DataFrame, count: int = 50) -> DataFrame:
     """A repeatable sample of customers with their bands, by value."""
     columns = ["customer_id", CLV, "confidence_lower", "confidence_upper"]
-    return scored.select(*columns).orderBy(F.xxhash64("customer_id"), "customer_id").limit(count).orderBy(CLV)
+    return scored.select(*columns).orderBy(F.md5("customer_id"), "customer_id").limit(count).orderBy(CLV)
 
 
 def filter_choices(scored: DataFrame, column: str = "customer_segment") -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from cvengine.functions import scalars
 from cvengine.operators import batches, cleaning, logs, quality, reports
+from cvengine.plans import pipeline
 from cvengine.plans.check_sql import CUST, RAW, SEASON, r6
 from cvengine.plans.registry import day, query, six_digits
 from cvengine.session import new_path, stage
-from cvengine.sources import tables
+from cvengine.sources import readers, schemas, sinks, tables
 from cvengine.streaming import action_log
 
 CUSTOMER_COLUMNS = """customer_id, age, total_purchases, round(avg_order_value, 6) AS avg_order_value,
@@ -494,3 +495,58 @@ def log_intake(spark: SparkSession, folder: str) -> DataFrame:
     taken = action_log.intake(spark, path, "40 days")
     sink = action_log.run_available(taken, new_path(spark, "taken"), new_path(spark, "taken-progress"))
     return sink.select("id", "action")
+
+
+@query(
+    "x2_log_rejects",
+    "SELECT event_id::VARCHAR AS id, count(*) * 2 AS count FROM events WHERE event_id % 50 = 0 GROUP BY ALL",
+)
+def log_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The malformed records of the same intake, none of them lost."""
+    actions = tables.actions(spark, folder)
+    flawed = actions.withColumn("action", F.when(F.col("id").cast("bigint") % 50 != 0, F.col("action")))
+    path = new_path(spark, "incoming")
+    flawed.union(flawed).write.json(path)
+    left = action_log.run_available(action_log.rejects(spark, path), new_path(spark, "rejects"), new_path(spark, "rejects-progress"))
+    return left.groupBy("id").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ---- file round trips ----
+
+@query("s1_s4_csv_round_trip", "SELECT conv_id, turn::INTEGER AS turn, md5(text) AS digest FROM conversations")
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with quotes and line breaks, exported as CSV and read again."""
+    talks = tables.table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    path = sinks.export_csv(talks, new_path(spark, "csv"), "talks")
+    read = readers.read_table(spark, path, multi_line=True)
+    return read.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("int").alias("turn"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
+@query(
+    "s2_c16_retail_from_csv",
+    f"""WITH {RAW}, cap AS (SELECT quantile_cont(total_amount, 0.999) AS q FROM sales)
+    SELECT {SEASON.format('invoice_date')} AS season, count(*) AS lines, count(DISTINCT customer_id) AS customers,
+    round(fsum(total_amount), 2) AS revenue FROM sales, cap WHERE total_amount <= q GROUP BY ALL""",
+)
+def retail_from_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw retail text exported as CSV, read, recognised and cleaned."""
+    path = sinks.export_csv(tables.raw_retail(spark, folder), new_path(spark, "csv"), "retail")
+    cleaned = pipeline.clean(readers.read_table(spark, path))
+    summed = cleaned.groupBy("season").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("customer_id").alias("customers"), scalars.money_sum(F.col("total_amount")).alias("revenue")
+    )
+    return six_digits(summed, 2)
+
+
+@query(
+    "s5_s6_log_round_trip",
+    """SELECT event_type AS feedback_type, CASE WHEN event_id % 7 <> 0 THEN 1 + event_id % 5 END::INTEGER AS rating,
+    md5(props) AS digest, 'user' || user_id || '@example.com' AS user_email, true AS stamped FROM events""",
+)
+def log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Feedback appended to a JSON log and read by its schema; ids and times are given by the log."""
+    path = new_path(spark, "log")
+    sinks.append_records(tables.feedback(spark, folder).drop("id", "timestamp"), path, schemas.FEEDBACK)
+    read = readers.read_log(spark, path, schemas.FEEDBACK)
+    stamped = F.col("id").isNotNull() & F.col("timestamp").isNotNull()
+    return read.select("feedback_type", "rating", F.md5("feedback_text").alias("digest"), "user_email", stamped.alias("stamped"))

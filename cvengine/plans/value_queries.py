@@ -506,9 +506,13 @@ def top_high_risk(spark: SparkSession, folder: str) -> DataFrame:
     return six_digits(reports.top_high_risk(scored(spark, folder), rounded=False))
 
 
-@query("t8_r7_band_sample")
+@query(
+    "t8_r7_band_sample",
+    f"""WITH {SCORED} SELECT customer_id, {r6('predicted_clv', 'confidence_lower', 'confidence_upper')}
+    FROM scored ORDER BY md5(scored.customer_id), scored.customer_id LIMIT 50""",
+)
 def band_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.band_sample(scored(spark, folder))
+    return six_digits(reports.band_sample(scored(spark, folder)))
 
 
 # ---- report tables ----
@@ -808,7 +812,11 @@ def preprocessing(spark: SparkSession, folder: str) -> DataFrame:
     return fitted.transform(ready).select("customer_id", F.col("features").cast("string").alias("features"))
 
 
-@query("m5_train_test_split")
+@query(
+    "m5_train_test_split",
+    f"""WITH {CUST} SELECT ('0x' || substr(md5('42|' || customer_id), 1, 8))::BIGINT % 100 < 20 AS is_test,
+    count(*) AS count FROM cust GROUP BY ALL""",
+)
 def train_test(spark: SparkSession, folder: str) -> DataFrame:
     marked = modeling.mark_test(tables.customers(spark, folder), modeling.TrainConfig())
     return marked.groupBy("is_test").agg(F.count(F.lit(1)).alias("count"))
@@ -823,20 +831,36 @@ def importance(spark: SparkSession, folder: str) -> DataFrame:
     return model.importance(spark).limit(10)
 
 
-@query("m16_s8_saved_model_scores")
+@query(
+    "m16_s8_saved_model_scores",
+    f"""WITH {CUST} SELECT customer_id, true AS same_value, true AS enriched FROM cust""",
+)
 def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Fit on customer summaries, save, load and score all customers."""
+    """Fit on customer summaries, save, load and score all customers; each score against that before saving."""
     table = stage(split.summary_target(tables.customers(spark, folder)), "training")
     columns = modeling.feature_columns(table)
     config = modeling.TrainConfig(models=("Linear_Regression", "Ridge_Regression"))
     model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, config)
     path = new_path(spark, "model")
     modeling.save_model(model, spark, path)
-    return pipeline.score(table, modeling.load_model(spark, path))
+    before = model.predict(table).select("customer_id", F.col("predicted_clv").alias("before"))
+    after = pipeline.score(table, modeling.load_model(spark, path))
+    enriched = F.col("customer_segment").isNotNull() & F.col("percentile_rank").between(0, 100) & F.col("churn_risk").isNotNull()
+    return after.join(before, "customer_id").select(
+        "customer_id", (F.abs(F.col("predicted_clv") - F.col("before")) <= 1e-9 * F.abs("before")).alias("same_value"), enriched.alias("enriched")
+    )
 
 
-@query("m18_r11_held_out_predictions")
+@query(
+    "m18_r11_held_out_predictions",
+    f"""WITH {CLV} SELECT customer_id, round(predicted_clv, 6) AS actual_clv, true AS predicted, true AS in_segment FROM clv
+    WHERE ('0x' || substr(md5('42|' || customer_id), 1, 8))::BIGINT % 100 < 20""",
+)
 def held_out(spark: SparkSession, folder: str) -> DataFrame:
     """The full training run; predicted against actual value of the held-out customers."""
     fitted = pipeline.fit_pipeline(spark, tables.customers(spark, folder))
-    return fitted.predictions.select("customer_id", "actual_clv", "predicted_clv", "customer_segment")
+    predicted = scalars.finite(F.col("predicted_clv")).isNotNull()
+    segment = F.col("customer_segment").isin("Low Value", "Low-Medium", "Medium", "Medium-High", "High Value")
+    return six_digits(
+        fitted.predictions.select("customer_id", "actual_clv", predicted.alias("predicted"), segment.alias("in_segment"))
+    )

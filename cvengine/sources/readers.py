@@ -12,10 +12,11 @@ from cvengine.functions.scalars import finite
 SPREADSHEETS = (".xlsx", ".xls")
 
 
-def read_table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+def read_table(spark: SparkSession, source: str | DataFrame, multi_line: bool = False) -> DataFrame:
     """A DataFrame as it is, or a path read by its suffix.
 
-    A spreadsheet path is read from the CSV of the same name beside it.
+    A spreadsheet path is read from the CSV of the same name beside it. ``multi_line`` takes quoted line breaks in
+    CSV cells; each file is then read by one task, so large files should be several.
     """
     if isinstance(source, DataFrame):
         return without_non_finite(source)
@@ -28,7 +29,7 @@ def read_table(spark: SparkSession, source: str | DataFrame) -> DataFrame:
         return without_non_finite(spark.read.parquet(path))
     if lowered.endswith((".json", ".jsonl", ".ndjson")):
         return without_non_finite(spark.read.json(path))
-    return spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True)
+    return spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, multiLine=multi_line, escape='"')
 
 
 def without_non_finite(df: DataFrame) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 
 
 def export_csv(df: DataFrame, folder: str, name: str, at: datetime | None = None) -> str:
-    """Write ``<folder>/<name>_<yyyymmdd_hhmmss>`` as CSV parts with a header; returns the path."""
+    """Write ``<folder>/<name>_<yyyymmdd_hhmmss>`` as CSV parts with a header; returns the path.
+
+    Quotes in cells are doubled and white space at their ends is kept.
+    """
     stamp = (at or datetime.now()).strftime("%Y%m%d_%H%M%S")
     path = f"{folder.rstrip('/')}/{name}_{stamp}"
-    df.write.option("header", True).csv(path)
+    df.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cvengine.session import new_path
 from cvengine.sources.schemas import ACTION
@@ -48,8 +49,24 @@ def count_available(spark: SparkSession, path: str, delay: str = "1 hour") -> Da
     return run_available(counts, new_path(spark, "daily-counts"), new_path(spark, "daily-counts-progress"))
 
 
+def _records(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
+    """New JSON-line records as a stream, and whether one has a time, an action and an id."""
+    schema = StructType([*ACTION.fields, StructField("raw", StringType())])
+    records = spark.readStream.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="raw")
+    return records, F.col("timestamp").isNotNull() & F.col("action").isNotNull() & F.col("id").isNotNull()
+
+
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """What ``intake`` leaves out as malformed: the records as far as they could be read, or their raw text."""
+    records, sound = _records(spark, path)
+    return records.where(~sound)
+
+
 def intake(spark: SparkSession, path: str, delay: str = "1 day") -> DataFrame:
-    """New JSON-line records; malformed ones and repeats of an id are left out."""
-    records = spark.readStream.schema(ACTION).option("mode", "PERMISSIVE").json(path)
-    sound = records.where(F.col("timestamp").isNotNull() & F.col("action").isNotNull() & F.col("id").isNotNull())
-    return sound.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
+    """New JSON-line records without repeats of an id; ``rejects`` streams the malformed ones to a table of their own.
+
+    ``delay`` is how much older than the newest record one may be: later ones cannot be told from repeats and are
+    dropped, which Spark counts in numRowsDroppedByWatermark of the query's progress.
+    """
+    records, sound = _records(spark, path)
+    return records.where(sound).drop("raw").withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["id"])
