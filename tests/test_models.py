@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cvengine.plans import modeling, pipeline
 from cvengine.sources import generators
 
-QUICK = modeling.TrainConfig(forest_trees=(8,), forest_depths=(4,), boosting_rounds=(4,))
+CONFIG = modeling.TrainConfig()
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +14,7 @@ def customers(spark):
 
 @pytest.fixture(scope="module")
 def fitted(spark, customers):
-    return pipeline.fit_pipeline(spark, customers, QUICK)
+    return pipeline.fit_pipeline(spark, customers, CONFIG)
 
 
 def test_one_hot_drops_first_label_and_zeroes_unseen(spark):
@@ -29,14 +29,14 @@ def test_one_hot_drops_first_label_and_zeroes_unseen(spark):
 
 
 def test_split_is_stable(customers):
-    a = modeling.mark_test(customers, QUICK).where("is_test").select("customer_id")
-    b = modeling.mark_test(customers.repartition(7), QUICK).where("is_test").select("customer_id")
+    a = modeling.mark_test(customers, CONFIG).where("is_test").select("customer_id")
+    b = modeling.mark_test(customers.repartition(7), CONFIG).where("is_test").select("customer_id")
     assert a.exceptAll(b).count() == 0 and 30 < a.count() < 90
 
 
 def test_leaderboard_beats_the_mean(spark, fitted):
     rows = fitted.leaderboard.collect()
-    assert [r["model"] for r in rows] == list(QUICK.models)
+    assert [r["model"] for r in rows] == list(CONFIG.models)
     assert max(r["test_r2"] for r in rows) > 0.5
     assert fitted.model.best_name == max(rows, key=lambda r: r["test_r2"])["model"]
 
@@ -85,3 +85,34 @@ def test_feature_lists(spark, customers):
     assert legacy == ["avg_order_value", "days_since_last_purchase"]
     other = spark.createDataFrame([(1, 2.0, "x")], "a int, predicted_clv double, s string")
     assert modeling.feature_columns(other) == ["a"]
+
+
+def test_any_number_of_categories(spark):
+    rows = [(str(i), f"place {i % 1500}", float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "customer_id string, location string, age double")
+    ready = modeling.model_input(df, ["age", "location"], "age")
+    fit, names = modeling.fit_preprocessing(ready, ["age", "location"])
+    assert len(names) == 1500
+    vector = fit.transform(ready).select("scaled").first()[0]
+    assert vector.size == 1500 and len(vector.indices) <= 2
+
+
+def test_ridge_penalty_follows_the_rows(spark):
+    """X'r = alpha * b holds for the coefficients of centred inputs."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    order = np.random.default_rng(0)
+    x = order.standard_normal((80, 3)) + 5
+    y = x @ [1.0, -2.0, 0.5] + order.standard_normal(80)
+    df = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["scaled", "label"])
+    ridge = modeling.RidgeRegression(featuresCol="scaled", labelCol="label").setRegParam(7.0).setTol(1e-12).setMaxIter(500)
+    fitted = ridge.fit(df)
+    b = fitted.coefficients.toArray()
+    residual = y - x @ b - fitted.intercept
+    assert np.allclose((x - x.mean(axis=0)).T @ residual, 7.0 * b, rtol=1e-3, atol=1e-2)
+
+
+def test_missing_inputs_are_named(fitted, customers):
+    with pytest.raises(ValueError, match="age"):
+        fitted.model.predict(customers.drop("age"))
