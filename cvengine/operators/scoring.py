@@ -44,6 +44,13 @@ def band(deviation: float | None, side: int) -> Column:
     return F.col("predicted_clv") + F.lit(side * fixed.BAND_WIDTH) * F.lit(deviation).cast("double")
 
 
+def discounted(value: Column, months: int = 12, yearly_rate: float = 0.05) -> Column:
+    """An extension: ``value`` spread evenly over ``months``, each month's part discounted to today."""
+    if months < 1 or yearly_rate <= -1:
+        raise ValueError("months must be positive and the rate above -1")
+    return value * F.lit(sum((1 + yearly_rate) ** (-m / 12) for m in range(1, months + 1)) / months)
+
+
 def enrich(scored: DataFrame, on_ties: str = "raise", cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add segment, risk, rank and band to rows with ``customer_id`` and ``predicted_clv``.
 

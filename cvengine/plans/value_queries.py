@@ -439,6 +439,16 @@ def score_enrichment(spark: SparkSession, folder: str) -> DataFrame:
     return six_digits(table, confidence_lower=4, confidence_upper=4)
 
 
+@query(
+    "e1_discounted_value",
+    f"""WITH {CLV}, f AS (SELECT sum(pow(1.05, -m / 12::DOUBLE)) / 12 AS year FROM (SELECT unnest(range(1, 13)) AS m))
+    SELECT customer_id, round(predicted_clv * year, 6) AS discounted_clv FROM clv, f""",
+)
+def discounted_value(spark: SparkSession, folder: str) -> DataFrame:
+    value = scoring.discounted(F.col("predicted_clv"), months=12, yearly_rate=0.05)
+    return six_digits(valued(spark, folder).select("customer_id", value.alias("discounted_clv")))
+
+
 @query(
     "j4_share_of_total",
     f"""WITH {CLV} SELECT customer_id, round(predicted_clv / (SELECT {money('predicted_clv')} FROM clv) * 100, 6)
