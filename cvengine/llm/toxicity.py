@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cvengine.llm.common import held_out, labelled_sample, map_texts, table
 
 #: Rows of each label that are fitted at most; the bound on what reaches the driver (at most BUCKETS numbers a row).
-ROWS_PER_CLASS = 4000
+ROWS_PER_CLASS = 3000
 BUCKETS = 1 << 16
 DIMENSION = 12
 GRAMS = (3, 4, 5)
@@ -99,13 +99,24 @@ def _bag_of_texts() -> Callable[[list], list[pa.Array]]:
     return work
 
 
+def _views(bags: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Labels, ids and shares of the rows in order of doc_id; the lists are views, so the bags lie in memory once."""
+    ids, shares = [], []
+    for batch in bags.to_batches():
+        for name, out in (("ids", ids), ("shares", shares)):
+            column = batch.column(name)
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            out += [values[a:b] for a, b in zip(offsets, offsets[1:])]
+    order = np.argsort(bags["doc_id"].to_numpy(), kind="stable")
+    return bags["y"].to_numpy().astype(np.int64)[order], [ids[i] for i in order], [shares[i] for i in order]
+
+
 def learn(bags: pa.Table, seed: int = 3) -> SubwordModel:
     """Embeddings and softmax, trained together by Adam on the cross entropy of shuffled small batches."""
-    y = bags["y"].to_numpy().astype(np.int64)
+    y, ids, shares = _views(bags)
     if len(set(y.tolist())) < 2:
         return SubwordModel(np.zeros(BUCKETS, np.float32), 3.0 if y.any() else -3.0)
     order = np.random.default_rng(seed)
-    ids, shares = ([x.values.to_numpy(zero_copy_only=False) for x in bags[c]] for c in ("ids", "shares"))
     state = {
         "embedding": order.uniform(-1, 1, (BUCKETS, DIMENSION)).astype(np.float32) / DIMENSION,
         "weight": order.uniform(-1, 1, (DIMENSION, 2)).astype(np.float32),
@@ -151,7 +162,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
     """
     sample = F.broadcast(labelled_sample(labels, "toxic", FOLDS, FOLD, rows_per_class))
     texts = documents.select("doc_id", "text").join(sample, "doc_id")
-    bags = map_texts(texts, "text", _bag_of_texts, "ids array<int>, shares array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    bags = map_texts(texts, "text", _bag_of_texts, "ids array<int>, shares array<float>").toArrow()
     return learn(bags)
 
 
