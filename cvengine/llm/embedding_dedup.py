@@ -1,4 +1,4 @@
-"""Near duplicates among embeddings: balanced codes of learned rotations, multi-index tables, exact reranking."""
+"""Near duplicates among embeddings: codes of learned rotations and random planes, multi-index tables, exact reranking."""
 
 from __future__ import annotations
 
@@ -17,9 +17,7 @@ from cvengine.llm.components import connected_components
 #: The rotations are fitted on this many distinct vectors, those of least hash; all vectors are indexed.
 FIT_ROWS = 20_000
 ROTATION_ROUNDS = 30
-#: Rows of the sample whose links are looked up in the tables.
-PROBES = 512
-#: Share of pairs at the cosine threshold itself that the tables may miss, by the bit error of random planes.
+#: Share of pairs at the cosine threshold itself that the tables along random planes may miss.
 MISS = 0.003
 #: Vectors that the average bucket of a table holds.
 BUCKET_ROWS = 48
@@ -47,13 +45,13 @@ def common_length(vectors: DataFrame, column: str) -> int:
     return first["d"] if first else 0
 
 
-def learn_rotation(sample: np.ndarray, bits: int, centred: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Iterative quantisation (Gong & Lazebnik 2011): (projection, thresholds) of ``bits`` balanced bits.
 
     Principal directions, rotated so that signs lose as little as possible: in turns the signs are fixed and the
-    rotation solves the Procrustes problem. Signs are taken around the sample's mean, or around the origin.
+    rotation solves the Procrustes problem. Signs are taken around the sample's mean.
     """
-    mean = sample.mean(axis=0) * centred
+    mean = sample.mean(axis=0)
     moved = sample - mean
     _, directions = np.linalg.eigh(moved.T @ moved)
     directions = directions[:, ::-1][:, :bits]
@@ -66,11 +64,11 @@ def learn_rotation(sample: np.ndarray, bits: int, centred: bool, seed: int) -> t
     return projection, mean @ projection
 
 
-def learn_tables(sample: np.ndarray, bits: int, tables: int, centred: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def learn_tables(sample: np.ndarray, bits: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of ``tables`` substrings, from as many rotations as that takes."""
     code = min(sample.shape[1], 64)
     whole = code // bits * bits
-    models = [learn_rotation(sample, code, centred, seed + r) for r in range(-(-tables * bits // whole))]
+    models = [learn_rotation(sample, code, seed + r) for r in range(-(-tables * bits // whole))]
     projection = np.concatenate([p[:, :whole] for p, _ in models], axis=1)
     return projection[:, : tables * bits], np.concatenate([t[:whole] for _, t in models])[: tables * bits]
 
@@ -81,12 +79,10 @@ def table_keys(units: np.ndarray, projection: np.ndarray, cuts: np.ndarray, bits
     return (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
 
 
-def missed(sample: np.ndarray, keys: np.ndarray, min_cosine: float) -> float:
-    """Share of the sample's links, of its first PROBES rows, that no table joins."""
-    links = sample[:PROBES] @ sample.T >= min_cosine
-    at, to = np.nonzero(links & (np.arange(min(PROBES, len(sample)))[:, None] != np.arange(len(sample))))
-    lost = sum(int((keys[at[c]] != keys[to[c]]).all(axis=1).sum()) for c in np.array_split(np.arange(at.size), at.size // 100_000 + 1))
-    return lost / max(1, at.size)
+def random_tables(dimension: int, bits: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of ``tables`` substrings along random planes through the origin: they differ with the pair's angle over pi, whatever the data."""
+    projection = np.random.default_rng(seed).standard_normal((dimension, tables * bits))
+    return projection, np.zeros(tables * bits)
 
 
 def table_layout(rows: int, dimension: int, min_cosine: float) -> tuple[int, int]:
@@ -154,9 +150,9 @@ def near_duplicates(
     Linked are vectors of cosine ``min_cosine`` or more, in double precision; pairs that are reported are exact,
     and of those at the threshold about MISS are missed, of closer ones fewer. Equal vectors are one class with a count,
     so copies are never paired. Codes come from as many learned rotations as the tables need; each table holds one
-    substring, whose length grows with the logarithm of the rows, so that buckets stay small. Bits are cut at the mean; should
-    the tables miss links of the sample, as where the mean lies in a dense group, as many tables with cuts at the origin, for which
-    the bound MISS holds whatever the data, are added. Hot buckets
+    substring, whose length grows with the logarithm of the rows. Learned bits are cut at the mean, which keeps buckets small but
+    widens the angle of a pair where vectors lie around a common direction; so there are always as many tables along random planes
+    through the origin, for which the bound MISS holds whatever the data, at the price of larger buckets on such data. Hot buckets
     are compared in pairs of blocks, each pair of vectors is counted in the first table that joins it, and what
     leaves a block is sums and a spanning forest.
 
@@ -177,10 +173,8 @@ def near_duplicates(
 
     sample = unit_rows(classes.orderBy(F.xxhash64("vector")).limit(FIT_ROWS).select("vector").toPandas()["vector"])
     bits, tables = table_layout(distinct, length, min_cosine)
-    projection, cuts = learn_tables(sample, bits, tables, True, seed)
-    if missed(sample, table_keys(sample, projection, cuts, bits), min_cosine) > MISS:
-        around_origin = learn_tables(sample, bits, tables, False, seed + 1000)
-        projection, cuts, tables = np.hstack([projection, around_origin[0]]), np.hstack([cuts, around_origin[1]]), 2 * tables
+    learned, at_origin = learn_tables(sample, bits, tables, seed), random_tables(length, bits, tables, seed + 1000)
+    projection, cuts, tables = np.hstack([learned[0], at_origin[0]]), np.hstack([learned[1], at_origin[1]]), 2 * tables
 
     coded = stage(_coded(classes.select("class", "vector", "copies"), projection, cuts, bits), "codes")
     entries = coded.select("class", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key"))

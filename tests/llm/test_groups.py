@@ -134,6 +134,24 @@ def test_embeddings_odd_inputs_and_hot_groups(spark, monkeypatch):
     assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(other_length).collect()}[900] == 0
 
 
+def test_pairs_around_a_common_direction(spark, monkeypatch):
+    """Links of pair-sized groups are found where all vectors have a large common mean and the fitted sample holds no link."""
+    monkeypatch.setattr(embedding_dedup, "FIT_ROWS", 200)
+    order = np.random.default_rng(4)
+
+    def units(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    own = units(np.c_[np.zeros(4000), order.standard_normal((4000, 31))])
+    rows = math.sqrt(0.8) * np.eye(32)[0] + math.sqrt(0.2) * own
+    near = order.standard_normal((100, 32))
+    near = units(near - (near * rows[:100]).sum(axis=1, keepdims=True) * rows[:100])
+    rows[100:200] = 0.952 * rows[:100] + math.sqrt(1 - 0.952**2) * near
+    table = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table).collect()}
+    assert sum(got[100 + i] != got[i] for i in range(100)) <= 1
+
+
 def test_table_layout_grows_slowly():
     for rows in (10, 10_000, 10_000_000, 10**10):
         bits, tables = embedding_dedup.table_layout(rows, 64, 0.95)
