@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from cvengine.llm.common import map_texts, small_text_batches, stage, table
 
-#: A subtree on this many different pages of a host belongs to the template.
+#: A subtree on this many different pages of a host, and on this share of them, belongs to the template.
 TEMPLATE_PAGES = 5
+TEMPLATE_SHARE = 0.01
 #: Up to this many template subtrees go to the workers as one array of longs (1.6 MB); more are joined.
 BROADCAST_SUBTREES = 200_000
 
@@ -40,7 +41,7 @@ ASIDE_WORDS = frozenset(
     "newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus replies "
     "share sharing social related recommended pagination pager login signup".split()
 )
-#: Elements whose subtrees are counted: containers everywhere, text blocks outside the article only.
+#: Elements whose subtrees are counted, outside articles and where they hold none; in articles only containers of links.
 CONTAINERS = frozenset("nav ul ol dl div section aside footer header form table figure menu".split())
 TEXTUAL = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 address center".split())
 #: What an opening element closes, up to the nearest of the given fences.
@@ -75,6 +76,10 @@ class Element:
     parts: list = field(default_factory=list)
     key: int = 0
     counted: bool = False
+    holds: bool = False  # an article, as an ancestor
+    article: Element | None = None  # the outermost it stands in, itself included
+    chars: int = 0
+    linked: int = 0  # of chars, those in links
 
 
 def host_of(url: str | None) -> str:
@@ -139,12 +144,17 @@ class Page:
                 at = stop.end()
         while len(self.stack) > 1:
             self._pop()
+        for e in self.elements:
+            if e.counted and e.inside:  # a list of links beside the article's text
+                e.counted = e.linked == e.chars and 2 * e.chars <= e.article.chars
 
     def _text(self, raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             owner = self.stack[-1]
-            owner.parts.append(" ".join(text.split()).encode("utf-8", "surrogatepass"))
+            part = " ".join(text.split())
+            owner.parts.append(part.encode("utf-8", "surrogatepass"))
+            owner.chars += len(part)
             self.blocks[-1].append((owner, text))
 
     def _break(self) -> None:
@@ -169,6 +179,13 @@ class Page:
         dropped = dropped or (tag not in TEXTUAL and _marked_aside(tag, attributes))
         element = Element(tag, parent, inside, dropped)
         element.counted = tag in CONTAINERS or (tag in TEXTUAL and not inside)
+        element.article = parent.article or (element if inside else None)
+        if tag in ARTICLE and not comment:
+            while not parent.holds:
+                parent.holds = True
+                if parent is self.root:
+                    break
+                parent = parent.parent
         self.elements.append(element)
         self.stack.append(element)
 
@@ -199,6 +216,9 @@ class Page:
             digest.update(b"\0" + part)
         element.parts = []
         element.parent.parts.append(digest.digest())
+        element.parent.chars += element.chars
+        element.parent.linked += element.chars if element.tag == "a" else element.linked
+        element.counted = element.counted and not element.holds
         if element.counted:
             digest.update(b"\1" + self.host)
             element.key = digest.intdigest() - (1 << 63)
@@ -223,35 +243,52 @@ class Page:
         return "\n".join(articles or every)
 
 
+def _page_number(host: str, source: str | None) -> int:
+    return xxhash.xxh64_intdigest(f"{host}\0{source}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(page long, key long): the different counted subtrees of each page; the key also depends on the host."""
+    """(page long, host long, key long): the different counted subtrees of each page, and its host's number as one more key.
+
+    The key also depends on the host.
+    """
     small_text_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
+            ids, hosts, keys = [], [], []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 host = host_of(url)
-                found = Page(source or "", host).subtree_keys()
-                page = xxhash.xxh64_intdigest(f"{host}\0{source}".encode("utf-8", "surrogatepass")) - (1 << 63)
-                ids += [page] * len(found)
+                number = xxhash.xxh64_intdigest(b"\2" + host.encode("utf-8", "surrogatepass")) - (1 << 63)
+                found = Page(source or "", host).subtree_keys() | {number}
+                ids += [_page_number(host, source)] * len(found)
+                hosts += [number] * len(found)
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["page", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hosts, keys)], names=["page", "host", "key"])
 
-    return pages.select("url", "html").mapInArrow(run, "page long, key long")
+    return pages.select("url", "html").mapInArrow(run, "page long, host long, key long")
 
 
-def template_keys(pages: DataFrame, least_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """(key): subtrees on at least ``least_pages`` different pages of one host; equal pages count once."""
+def template_keys(pages: DataFrame, least_pages: int = TEMPLATE_PAGES, least_share: float = TEMPLATE_SHARE) -> DataFrame:
+    """(key): subtrees on ``least_pages`` or more different pages of one host and on ``least_share`` of them; equal pages count once."""
     once = subtrees(pages).distinct()
-    return once.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages).select("key")
+    counts = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("host").alias("host")).where(F.col("n") >= least_pages)
+    counts = stage(counts, "subtree-counts")
+    found = counts.where("key != host")
+    # only hosts where the share asks for more than least_pages
+    large = counts.where((F.col("key") == F.col("host")) & (F.col("n") * least_share > least_pages)).select("host", F.col("n").alias("pages"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_SUBTREES else large
+    enough = F.col("pages").isNull() | (F.col("n") >= F.col("pages") * least_share)
+    return found.join(large, "host", "left").where(enough).select("key")
 
 
-def extract(pages: DataFrame, least_pages: int = TEMPLATE_PAGES) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = TEMPLATE_PAGES, least_share: float = TEMPLATE_SHARE) -> DataFrame:
     """(page_id, url, text) per row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    Every element subtree is hashed, by tags and texts; those on ``least_pages`` or more different pages of a host are its
-    template and are deleted. Text blocks of an article are never a template, since articles may share passages.
+    Every element subtree is hashed, by tags and texts; those on ``least_pages`` or more different pages of a host, and on
+    ``least_share`` of its different pages, are its template and are deleted. What holds an article, and text in one, is never a
+    template, since articles may share passages and pages may share an article; only containers of nothing but links, of at most
+    half the article's text, are.
     Elements that mark themselves as menu, header, footer, sidebar, notice, advert, form, script, style or
     reader comments go wherever they stand. Of what is left, the articles are the main text, or the whole page if it has none.
     References are decoded, white space within a block (a line break element too) becomes one blank, blocks are joined by a line end.
@@ -260,13 +297,13 @@ def extract(pages: DataFrame, least_pages: int = TEMPLATE_PAGES) -> DataFrame:
     closed where their parent ends. Rows repeat as in ``pages``; no table size changes a result: template keys go to the
     workers as an array while they are few, and are joined to the pages that have them otherwise.
     """
-    keys = stage(template_keys(pages, least_pages), "template-subtrees")
+    keys = stage(template_keys(pages, least_pages, least_share), "template-subtrees")
     if keys.count() <= BROADCAST_SUBTREES:
         known = np.sort(keys.toPandas()["key"].to_numpy(np.int64))
         given = pages.select("page_id", "url", F.struct("url", "html").alias("__page"))
     else:
         known = None
-        own = stage(subtrees(pages).distinct(), "page-subtrees").join(keys, "key")
+        own = stage(subtrees(pages).select("page", "key").distinct(), "page-subtrees").join(keys, "key")
         own = stage(own.groupBy("page").agg(F.collect_set("key").alias("keys")), "page-templates")
         identified = map_texts(pages.select("page_id", "url", "html", F.struct("url", "html").alias("__page")), "__page", _page_identity, "page long")
         joined = identified.join(own, "page", "left")
@@ -289,8 +326,7 @@ def extract(pages: DataFrame, least_pages: int = TEMPLATE_PAGES) -> DataFrame:
 
 def _page_identity() -> Callable[[list], list[pa.Array]]:
     def work(rows: list) -> list[pa.Array]:
-        named = [f"{host_of(r['url'])}\0{r['html']}".encode("utf-8", "surrogatepass") for r in rows]
-        return [pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in named], pa.int64())]
+        return [pa.array([_page_number(host_of(r["url"]), r["html"]) for r in rows], pa.int64())]
 
     return work
 

@@ -157,6 +157,30 @@ def test_html_text(spark):
     assert html_text.extract(table.limit(0)).count() == 0
 
 
+def test_html_near_copies_keep_their_article(spark):
+    """Pages of a host that differ in title and menu only, with an article in containers; link lists in it recur and go."""
+    bodies = {
+        "div": "<div class=body>Text of the <b>body</b> in a div, long enough to be more than its links.</div>",
+        "list": "<section><h2>Part</h2><ul><li>first of many items</li><li>second</li></ul></section>",
+        "table": "<table><tr><td>cell one</td><td>cell two</td></tr></table><figure>a figure of it</figure>",
+    }
+    page = "<title>t {n}</title><div>menu {n}</div><div class=wrap><article>{head}{body}<ul><li><a href=x>Share</a></ul></article></div>"
+    rows = [(n, f"http://{kind}{head}.example/", page.format(n=n, body=body, head=f"<h1>h {n}</h1>" * head)) for kind, body in bodies.items() for n in range(8) for head in (0, 1)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = {(r.url, r.page_id): r.text for r in html_text.extract(table).collect()}
+    wanted = {"div": "Text of the body in a div, long enough to be more than its links.", "list": "Part\nfirst of many items\nsecond", "table": "cell one\ncell two\na figure of it"}
+    for kind, text in wanted.items():
+        assert [texts[f"http://{kind}1.example/", n] for n in range(8)] == [f"h {n}\n{text}" for n in range(8)]
+        assert all(text in texts[f"http://{kind}0.example/", n] for n in range(8))
+
+
+def test_html_template_share(spark):
+    rows = [(n, "http://large.example/", f"<p>own {n}</p><div>every page</div>" + "<div>on six pages</div>" * (n < 6)) for n in range(700)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert got[3] == "own 3\non six pages" and got[9] == "own 9"
+
+
 def test_html_joined_templates_agree(spark, sf, monkeypatch):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = sorted(map(tuple, html_text.extract(pages, 2).collect()))
