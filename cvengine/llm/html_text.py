@@ -35,12 +35,18 @@ ASIDE = frozenset(
     "script style title head noscript template nav aside footer form button select textarea iframe object svg canvas audio video dialog menu search noembed noframes xmp datalist map".split()
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words in a class or id that mark a part beside the main text.
+#: Words that, as a class or id on their own or with words of place and form only, mark a part beside the main text.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus replies "
     "share sharing social related recommended pagination pager login signup".split()
 )
+#: Words of place and form, which leave the sense of the word beside them; so do words with digits.
+PLAIN_WORDS = frozenset(
+    "left right top bottom upper lower middle center first second last primary secondary main global site page mobile desktop "
+    "box bar block area section container wrapper wrap holder inner outer list item items link links slot unit zone column col panel "
+    "widget widgets button buttons icon icons header post posts article articles us small large big wide sticky fixed float google wp".split()
+)
 #: Elements whose subtrees are counted, outside articles and where they hold none; in articles only containers of links.
 CONTAINERS = frozenset("nav ul ol dl div section aside footer header form table figure menu".split())
 TEXTUAL = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 address center".split())
@@ -72,7 +78,8 @@ class Element:
     tag: str
     parent: Element | None
     inside: bool  # in an article, itself included
-    dropped: bool  # by its mark-up, or an ancestor's
+    dropped: bool  # by its own mark-up
+    named: bool  # a side part by its class or id, unless it holds an article
     parts: list = field(default_factory=list)
     key: int = 0
     counted: bool = False
@@ -90,20 +97,30 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _marked_aside(tag: str, attributes: str) -> bool:
+def _side_name(value: str) -> bool:
+    """Whether a class, or the id, is made of ASIDE_WORDS and PLAIN_WORDS, with one of the former at least."""
+    for name in value.split():
+        words = {w for w in _WORDS.findall(name) if w.isalpha()}
+        if not ASIDE_WORDS.isdisjoint(words) and words <= ASIDE_WORDS | PLAIN_WORDS:
+            return True
+    return False
+
+
+def _marked_aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """(whether an element is beside the main text by its attributes, whether only its class or id says so)."""
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if name == "role" and value in ASIDE_ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and not ASIDE_WORDS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            return True, False
+        named = named or (name in ("class", "id") and _side_name(value))
+    return named, named
 
 
 def _is_comment(attributes: str) -> bool:
@@ -115,7 +132,7 @@ class Page:
 
     def __init__(self, source: str, host: str):
         self.host = host.encode("utf-8", "surrogatepass")
-        self.root = Element("", None, False, False)
+        self.root = Element("", None, False, False, False)
         self.elements: list[Element] = []
         self.blocks: list[list[tuple[Element, str]]] = [[]]
         self.stack = [self.root]
@@ -175,9 +192,9 @@ class Page:
         parent = self.stack[-1]
         comment = tag in ARTICLE and _is_comment(attributes)
         inside = parent.inside or (tag in ARTICLE and not comment)
-        dropped = parent.dropped or comment or tag in ASIDE or (tag == "header" and not parent.inside)
-        dropped = dropped or (tag not in TEXTUAL and _marked_aside(tag, attributes))
-        element = Element(tag, parent, inside, dropped)
+        marked, named = _marked_aside(tag, attributes) if tag not in TEXTUAL else (False, False)
+        dropped = comment or tag in ASIDE or (tag == "header" and not parent.inside) or (marked and not named)
+        element = Element(tag, parent, inside, dropped, named)
         element.counted = tag in CONTAINERS or (tag in TEXTUAL and not inside)
         element.article = parent.article or (element if inside else None)
         if tag in ARTICLE and not comment:
@@ -230,7 +247,7 @@ class Page:
         """The text blocks left, joined by line ends: of the articles, if there are any with text, else of the page."""
         gone: set[int] = set()
         for e in self.elements:  # parents come first
-            if e.dropped or id(e.parent) in gone or (e.counted and template(e.key)):
+            if e.dropped or (e.named and not e.holds) or id(e.parent) in gone or (e.counted and template(e.key)):
                 gone.add(id(e))
         every, articles = [], []
         for block in self.blocks:
@@ -290,7 +307,7 @@ def extract(pages: DataFrame, least_pages: int = TEMPLATE_PAGES, least_share: fl
     template, since articles may share passages and pages may share an article; only containers of nothing but links, of at most
     half the article's text, are.
     Elements that mark themselves as menu, header, footer, sidebar, notice, advert, form, script, style or
-    reader comments go wherever they stand. Of what is left, the articles are the main text, or the whole page if it has none.
+    reader comments go wherever they stand; by a class or id only where a whole name says so and no article is inside. Of what is left, the articles are the main text, or the whole page if it has none.
     References are decoded, white space within a block (a line break element too) becomes one blank, blocks are joined by a line end.
 
     NULL or empty html gives an empty text; a NULL url is the host without a name. Unclosed and misplaced tags are

@@ -174,6 +174,23 @@ def test_html_near_copies_keep_their_article(spark):
         assert all(text in texts[f"http://{kind}0.example/", n] for n in range(8))
 
 
+def test_html_side_names():
+    """Classes and ids that only contain the word for a side part, and side parts' names on wrappers, keep their text."""
+
+    def text(source):
+        return html_text.Page(source, "h").main_text(lambda key: False)
+
+    for name in ("layout has-sidebar", "content-sidebar-wrap", "no-sidebar", "with-ads", "sidebar", "sidebar-left", "ads"):
+        for body in ("<article><p>text</article>", "<section><main><p>text</main></section>"):
+            assert text(f'<div class="{name}">{body}</div>') == "text", name
+    for part in ('<section id="related-work">', '<div class="social-science">', '<section id="social-media">', '<section id="notice-period">', '<div class="comment-on-law">'):
+        assert text(f"<article><p>a</p>{part}<p>b</p></article>") == "a\nb", part
+    for name in ("ad", "x ad-slot-2", "sidebar-left", "related_posts", "cookie-banner", "social-share-buttons", "ad-300x250"):
+        assert text(f'<article><p>a</p><div class="{name}"><p>b</p></div></article>') == "a", name
+        assert text(f"<p>a</p><section id={name.split()[-1]}><p>b</p></section>") == "a", name
+    assert text('<div class=x><article class="comment"><p>b</article></div><article><p>a</article>') == "a"
+
+
 def test_html_template_share(spark):
     rows = [(n, "http://large.example/", f"<p>own {n}</p><div>every page</div>" + "<div>on six pages</div>" * (n < 6)) for n in range(700)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
