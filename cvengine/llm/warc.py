@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cvengine.llm.common import small_text_batches, stage, table
+from cvengine.llm.common import numbered, small_text_batches, stage, table
 from cvengine.session import new_path
 
 CRLF = "\r\n"
@@ -35,9 +35,9 @@ def payload_digest(payload: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
-def _record_id(kind: str, page_id: int | None, url: str | None, digest: str, part: int = 0) -> str:
+def _record_id(kind: str, page_id: int | None, url: str | None, digest: str, part: int = 0, row: int = 0) -> str:
     """A URN made from what identifies a record, so that a task that runs twice writes the same id."""
-    key = f"{kind}|{page_id}|{url or ''}|{digest}|{part}".encode("utf-8", "surrogatepass")
+    key = f"{kind}|{page_id}|{url or ''}|{digest}|{part}|{row}".encode("utf-8", "surrogatepass")
     return f"<urn:uuid:{uuid.UUID(hashlib.md5(key).hexdigest())}>"
 
 
@@ -47,7 +47,7 @@ def _record(fields: dict[str, str | None], block: str) -> str:
     return CRLF.join([*lines, "", block])
 
 
-def page_records(page_id: int | None, url: str | None, payload: str, digest: str, original: dict | None) -> list[str]:
+def page_records(page_id: int | None, url: str | None, payload: str, digest: str, original: dict | None, row: int) -> list[str]:
     """The records of a page: a revisit of ``original``, or a response and, if it is long, its continuations."""
     link = _CONTROL.sub("", url or "")
     common = {"WARC-Target-URI": link, "WARC-Date": "1970-01-01T00:00:00Z"}
@@ -56,21 +56,21 @@ def page_records(page_id: int | None, url: str | None, payload: str, digest: str
     if original is not None:
         named = {
             "WARC-Type": "revisit",
-            "WARC-Record-ID": _record_id("revisit", page_id, url, digest),
+            "WARC-Record-ID": _record_id("revisit", page_id, url, digest, row=row),
             "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            "WARC-Refers-To": _record_id("response", original["page_id"], original["link"], digest),
+            "WARC-Refers-To": _record_id("response", original["page_id"], original["link"], digest, row=original["__row"]),
         }
         return [_record(named | common | own, head + CRLF)]
     chunks = [payload[at : at + CHUNK] for at in range(0, len(payload), CHUNK)]
     framed = [f"{len(c.encode()):x}{CRLF}{c}{CRLF}" for c in chunks]
     http = "".join([head, f"Transfer-Encoding: chunked{CRLF * 2}", *framed, f"0{CRLF * 2}"])
-    origin = _record_id("response", page_id, url, digest)
+    origin = _record_id("response", page_id, url, digest, row=row)
     blocks = [http[at : at + SEGMENT] for at in range(0, len(http), SEGMENT)]
     records = []
     for number, block in enumerate(blocks, 1):
         first = number == 1
         named = {"WARC-Type": "response" if first else "continuation"}
-        named["WARC-Record-ID"] = origin if first else _record_id("continuation", page_id, url, digest, number)
+        named["WARC-Record-ID"] = origin if first else _record_id("continuation", page_id, url, digest, number, row)
         if len(blocks) > 1:
             named["WARC-Segment-Number"] = str(number)
             named["WARC-Segment-Origin-ID"] = None if first else origin
@@ -83,21 +83,22 @@ def warc_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """The records of ``pages`` (page_id, url, html), one per row in ``value``, without the two line ends that follow each.
 
     Which page of equal payloads comes first is an aggregate by digest; the few digests that several pages share are
-    joined back; only that join may move payloads.
+    joined back; only that join may move payloads. Rows are numbered in a staged copy, and the number is part of the record id.
     """
     small_text_batches(pages.sparkSession)
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    rows = numbered(pages.select("page_id", "url", "html"))
+    rows = rows.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"), "__row")
     rows = rows.withColumn("digest", payload_digest(F.col("payload").cast("binary")))
     place = F.struct(F.col("page_id").isNull().alias("missing"), "page_id", F.coalesce("url", F.lit("")).alias("link"))
-    shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min(F.struct(place.alias("place"), "__row")).alias("first"), F.count(F.lit(1)).alias("n"))
     shared = stage(shared.where("n > 1").select(F.col("digest").alias("same"), "first"), "shared-payloads")
     rows = rows.join(shared, rows["digest"] == shared["same"], "left")
-    rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("first") != place, F.col("first")).alias("original"))
+    rows = rows.select("page_id", "url", "payload", "digest", F.when(F.col("first.place") != place, F.struct("first.place.*", "first.__row")).alias("original"), "__row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "original"))):
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "digest", "original", "__row"))):
                 made = page_records(*(x.as_py() for x in row))
                 held += made
                 size += sum(map(len, made))
@@ -116,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     Of the pages whose payloads (html as UTF-8, nothing for NULL) are equal and have ``least_bytes`` bytes or more,
     that of the smallest page_id (NULL last, then by url) becomes a response record and the others revisit it; all
     smaller ones are responses. A response longer than SEGMENT characters continues in further records. Rows equal in
-    page_id, url and html are one page. Control characters in a url are left out of its header; pages without url or
+    page_id, url and html have a record each, of the same kind. Control characters in a url are left out of its header; pages without url or
     page_id lack that header. The text writer ends each record with the two line ends the format asks for.
     """
     records = warc_records(pages, least_bytes)
@@ -249,8 +250,7 @@ def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
         "record_id", "record_type", "page_id", "url", "refers_to_id", F.substring("header_digest", 6, 32).alias("named"),
         F.octet_length("payload").cast("long").alias("payload_bytes"), payload_digest(F.col("payload")).alias("payload_digest"), "whole",
     )
-    slim = stage(slim, "archive-rows")
-    slim = stage(slim.dropDuplicates(["record_id"]), "archive-pages")
+    slim = stage(slim, "archive-pages")
     answers = slim.where("record_type = 'response'")
     original = answers.select(
         F.col("record_id").alias("original_id"), F.col("page_id").alias("original_page"), F.col("payload_bytes").alias("original_bytes"), F.col("payload_digest").alias("original_digest"), F.col("whole").alias("original_whole")

@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -228,6 +229,19 @@ def test_warc_round_trip(spark):
     assert got[1].url == "http://h/1X: y" and got[3].url is None
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    """A record and a result for each of several equal rows, as in the check SQL."""
+    long_page = "é" * 60_000
+    rows = [(1, "u", "a")] * 3 + [(2, "v", "a")] * 2 + [(3, "w", long_page)] * 2 + [(4, "w", long_page), (5, None, None), (5, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"]
+    found = warc.round_trip(table, new_path(spark, "warc")).select(columns)
+    table.write.parquet(str(tmp_path / "pages"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    assert Counter(map(tuple, found.collect())) == Counter(connection.execute(warc.CHECK_SQL).fetchall())
+
+
 def test_warc_limits(spark):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
