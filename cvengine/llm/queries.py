@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cvengine.llm import (
     embedding_dedup,
+    hidden_markov,
     html_text,
     line_dedup,
     neighbour_forest,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_nearest_neighbours": neighbour_forest.op9_nearest_neighbours,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_hidden_markov": hidden_markov.op11_hidden_markov,
 }
 
 CHECK_SQL = {
