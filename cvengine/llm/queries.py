@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from cvengine.llm import (
+    collocations,
     embedding_dedup,
+    hard_negatives,
     hidden_markov,
     html_text,
     line_dedup,
@@ -28,10 +30,14 @@ QUERIES = {
     "op9_nearest_neighbours": neighbour_forest.op9_nearest_neighbours,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_hidden_markov": hidden_markov.op11_hidden_markov,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 CHECK_SQL = {
     "op3_warc": warc.CHECK_SQL,
     "op4_poisson_mix": source_mix.CHECK_SQL,
     "op10_line_dedup": line_dedup.CHECK_SQL,
+    "op12_collocations": collocations.CHECK_SQL,
+    "op13_hard_negatives": hard_negatives.CHECK_SQL,
 }
