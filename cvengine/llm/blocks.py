@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that make a task worth its while.
+LEAST_ROWS = 1024
 #: Columns that name a unit of work.
 UNIT = ["__unit", "__left", "__right"]
 
@@ -31,6 +33,13 @@ def work_units(rows: DataFrame, bucket: list[str], row: str, size: str, block_ro
     return spread.withColumn("__unit", unit).drop("__other")
 
 
+def block_count(spark: SparkSession, rows: Column, most: int) -> Column:
+    """Blocks of at most ``most`` rows on average; of fewer, down to LEAST_ROWS, where that keeps all shuffle partitions at work."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for_work = F.least(F.ceil(rows / F.lit(LEAST_ROWS)), F.lit(partitions))
+    return F.greatest(F.ceil(rows / F.lit(most)), for_work, F.lit(1)).cast("int")
+
+
 def pair_mask(own_left: int, own_right: int, own: np.ndarray, rows: slice, columns: slice) -> np.ndarray:
     """Which pairs (row, column) of a unit count: above the diagonal within a block, across blocks otherwise."""
     at, to = np.arange(own.size)[rows], np.arange(own.size)[columns]

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cvengine.llm.blocks import block_count
 from cvengine.llm.common import stage, table
-from cvengine.llm.embedding_dedup import common_length, unit_rows, usable
+from cvengine.llm.embedding_dedup import unit_rows, usable
 
 TREES = 12
 #: Bits of a hash string.
 DEPTH = 40
-#: Rows that a sorted array holds; a tree is parted by leading bits until its arrays are about this long.
-ARRAY_ROWS = 20_000
+#: Rows of a block at most, each with a string in every tree.
+BLOCK_ROWS = 32_768
+#: Up to so many vectors of a length are all compared with its queries.
+FEW_ROWS = 1000
+#: Share of a block among the candidates of a strip of queries from which all its products are computed at once.
+DENSE = 0.05
 #: Queries whose exact neighbours are computed to choose how far to ascend; those of least hash.
 SAMPLE_QUERIES = 128
 #: Share of the sample's true neighbours that must be among the candidates.
@@ -49,22 +52,16 @@ def _best(scores: np.ndarray, top: int) -> np.ndarray:
     return np.arange(scores.size)
 
 
-def _exact_top(query: np.ndarray, vectors: np.ndarray, at: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the ``top`` nearest rows ``at``; cosines are summed in one fixed order, ties go to the smaller id."""
-    chosen = at[_best(scores, top)]
-    exact = (vectors[chosen] * query).sum(axis=1)
-    order = np.lexsort((ids[chosen], -exact))[:top]
-    return ids[chosen][order], exact[order]
-
-
-def _sample_plan(found: DataFrame, sample: pd.DataFrame, rows: int, normals: np.ndarray, top: int) -> tuple[int, int]:
-    """(root, wanted): leading bits that arrays may share, and candidates that make an ascent stop.
+def _wanted(rows: DataFrame, normals: np.ndarray, top: int) -> int:
+    """How many candidates make an ascent stop, so that RECALL of the true neighbours of the sample queries are among them.
 
-    For the sample queries the exact neighbours and the number of candidates at each prefix length are computed in one pass over
-    all rows, block by block; only ``top`` rows and DEPTH + 1 counts per block and query leave a task.
+    Their exact neighbours and the number of candidates at each prefix length are computed in one pass over all rows, batch by
+    batch; only ``top`` rows and DEPTH + 1 counts per batch and query leave a task, and these are merged before they are shuffled.
     """
-    codes = hash_strings(unit_rows(sample["vector"]), normals)
-    units, own = unit_rows(sample["vector"]), sample["row"].to_numpy()
+    sample = rows.where("asks").orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE_QUERIES).select("row", "vector", "codes").toPandas()
+    if sample.empty:
+        return 0
+    codes, units, own = np.stack(sample["codes"].to_numpy()), unit_rows(sample["vector"]), sample["row"].to_numpy()
 
     def probe(batches):
         for batch in batches:
@@ -72,55 +69,31 @@ def _sample_plan(found: DataFrame, sample: pd.DataFrame, rows: int, normals: np.
                 continue
             vectors, strings, ids = unit_rows(batch["vector"]), np.stack(batch["codes"].to_numpy()), batch["row"].to_numpy()
             scores = units @ vectors.T
-            query, best, level, histogram = [], [], [], []
             for q in range(len(own)):
                 scores[q, ids == own[q]] = -2
                 shared = common_prefix(strings, codes[q])
-                histogram.append(np.bincount(shared.ravel(), minlength=DEPTH + 1))
                 near = np.argsort(-scores[q], kind="stable")[:top]
                 near = near[scores[q, near] > -2]
-                query += [q] * near.size
-                best += scores[q, near].tolist()
-                level += shared[near].max(axis=1).tolist()
-            nulls = [None] * len(best)
-            yield pd.DataFrame({"q": query, "score": best, "level": level, "histogram": nulls})
-            yield pd.DataFrame({"q": range(len(own)), "score": [-3.0] * len(own), "level": [0] * len(own), "histogram": histogram})
-
-    seen = stage(found.mapInPandas(probe, "q int, score double, level int, histogram array<long>"), "sample")
-    near = seen.where("histogram is null").groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "level")), asc=False), 1, top).alias("near"))
-    near = near.select("q", F.explode("near").alias("n")).select("q", "n.level").toPandas()
-    sums = [F.sum(F.get("histogram", i)).alias(f"h{i}") for i in range(DEPTH + 1)]
-    counts = seen.where("histogram is not null").groupBy("q").agg(*sums).toPandas().set_index("q").sort_index()
+                levels = shared[near].max(axis=1).tolist()
+                yield pd.DataFrame({"q": q, "score": [*scores[q, near], -3.0], "level": [*levels, 0], "counts": [*[None] * len(levels), np.bincount(shared.ravel(), minlength=DEPTH + 1)]})
+
+    seen = stage(rows.mapInPandas(probe, "q int, score double, level int, counts array<long>"), "sample")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc()))
+    near = seen.where("counts is null").withColumn("place", place).where(F.col("place") <= top).select("q", "level").toPandas()
+    sums = [F.sum(F.get("counts", i)).alias(f"h{i}") for i in range(DEPTH + 1)]
+    counts = seen.where("counts is not null").groupBy("q").agg(*sums).toPandas().set_index("q").sort_index()
+    if near.empty:
+        return 0
     reached = np.cumsum(counts.to_numpy()[:, ::-1], axis=1)[:, ::-1]  # candidates at each level or deeper
-    if not len(near):
-        return 0, 1
     needed = reached[counts.index.get_indexer(near["q"]), near["level"]]
-    wanted = max(int(np.quantile(needed, RECALL)), TREES * (top + 1))
-    # arrays may only be parted by bits that hardly any sample query ascends above
-    wide = (reached >= wanted).sum(axis=1) - 1
-    root = int(max(0, min(np.quantile(wide, 0.02), math.log2(max(1.0, rows / ARRAY_ROWS)))))
-    return root, wanted
-
-
-def _sizes(strings: DataFrame) -> DataFrame:
-    """Per tree and root prefix the number of chunks of its rows, and of parts of the queries that ask there."""
-    counted = strings.groupBy("t", "root").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking"))
-    chunks, parts = F.ceil(F.col("n") / F.lit(ARRAY_ROWS)), F.ceil(F.col("asking") / F.lit(QUERY_ROWS))
-    return stage(counted.where("asking > 0").select("t", "root", chunks.cast("int").alias("chunks"), parts.cast("int").alias("parts")), "array-sizes")
-
-
-def _dealt(rows: DataFrame, own: str, every: str) -> DataFrame:
-    """Rows in one of their prefix's ``own`` by a hash of the row, and in each of its ``every``."""
-    chosen = F.pmod(F.xxhash64(F.lit(3), "row"), F.col(own)).cast("int")
-    return rows.withColumn(own[:-1], chosen).withColumn(every[:-1], F.explode(F.sequence(F.lit(0), F.col(every) - 1))).drop("chunks", "parts")
-
+    return max(int(np.quantile(needed, RECALL)), TREES * (top + 1))
 
-def _arrays(strings: DataFrame, sizes: DataFrame) -> DataFrame:
-    return _dealt(strings.join(sizes, ["t", "root"]), "chunks", "parts")
 
-
-def _asking(queries: DataFrame, sizes: DataFrame) -> DataFrame:
-    return _dealt(queries.join(sizes, ["t", "root"]), "parts", "chunks")
+def _spans(strings: np.ndarray, asked: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretch of a sorted array whose strings share ``level`` leading bits with each query."""
+    rest = DEPTH - level
+    low = (asked >> rest) << rest
+    return np.searchsorted(strings, low), np.searchsorted(strings, low + (np.int64(1) << rest))
 
 
 def _apart(df: DataFrame) -> DataFrame:
@@ -128,11 +101,52 @@ def _apart(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _spans(strings: np.ndarray, asked: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The stretch of a sorted array whose strings share ``level`` leading bits with each query."""
-    rest = DEPTH - level
-    low = (asked >> rest) << rest
-    return np.searchsorted(strings, low), np.searchsorted(strings, low + (np.int64(1) << rest))
+def _counts(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Per query the rows of a block that share each number of leading bits with it, added up over the trees."""
+    if not len(queries) or not len(rows):
+        return pd.DataFrame({"query": [], "counts": []})
+    strings, asked = np.sort(np.stack(rows["codes"].to_numpy()), axis=0), np.stack(queries["codes"].to_numpy())
+    counts = np.zeros((len(asked), DEPTH + 1), np.int64)
+    for tree in range(TREES):
+        for level in range(DEPTH + 1):
+            low, high = _spans(strings[:, tree], asked[:, tree], np.full(len(asked), level))
+            counts[:, level] += high - low
+    return pd.DataFrame({"query": queries["row"], "counts": list(counts)})
+
+
+def _nearest(top: int):
+    """Per query the ``top`` nearest of its candidates in a block: the rows that share its level of leading bits in some tree."""
+
+    def nearest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"query": [], "row": [], "vec_id": [], "score": []})
+        codes, units = np.stack(rows["codes"].to_numpy()), unit_rows(rows["vector"])
+        numbers, ids = rows["row"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64)
+        asked, wanted, own = np.stack(queries["codes"].to_numpy()), unit_rows(queries["vector"]), queries["row"].to_numpy(np.int64)
+        order = np.argsort(codes, axis=0, kind="stable")
+        level = queries["level"].to_numpy(np.int64)
+        spans = [_spans(codes[order[:, t], t], asked[:, t], level) for t in range(TREES)]
+        out = []
+        for start in range(0, len(queries), QUERY_STRIP):
+            strip = range(start, min(len(queries), start + QUERY_STRIP))
+            met = np.zeros((len(strip), len(rows)), bool)
+            for tree, (low, high) in enumerate(spans):
+                for q in strip:
+                    met[q - start, order[low[q] : high[q], tree]] = True
+            met &= own[strip.start : strip.stop, None] != numbers[None, :]
+            dense = met.mean() > DENSE
+            scores = wanted[strip.start : strip.stop] @ units.T if dense else None
+            for q in strip:
+                at = np.flatnonzero(met[q - start])
+                mine = scores[q - start, at] if dense else units[at] @ wanted[q]
+                chosen = at[_best(mine, top)]
+                # summed in one fixed order, so that equal vectors score alike in every block
+                exact = (units[chosen] * wanted[q]).sum(axis=1)
+                first = np.lexsort((numbers[chosen], ids[chosen], -exact))[:top]
+                out.append((np.full(first.size, own[q]), numbers[chosen][first], ids[chosen][first], exact[first]))
+        return pd.DataFrame(dict(zip(["query", "row", "vec_id", "score"], map(np.concatenate, zip(*out)))))
+
+    return nearest
 
 
 def search(
@@ -146,99 +160,73 @@ def search(
     """(query_id, rank, vec_id, score): the ``top`` nearest rows by cosine of each row for which ``is_query`` holds.
 
     An LSH forest (Bawa, Condie & Ganesan 2005): each tree is a sorted array of long hash strings. A query descends in all trees to
-    its longest matching prefixes, then ascends level by level in all of them at once until enough strings
-    share its prefixes; these rows are compared in double precision. How many are enough is learned from exact neighbours of
-    SAMPLE_QUERIES queries, so that RECALL of them are found. Arrays are parted by leading bits as far as that allows, and
-    those that are still long by a hash of the row: counts and candidates of the parts add up, so a hot prefix is many tasks.
-
-    Nearest first, ties to the smaller id; fewer rows if there are fewer candidates. NULL vectors, zero vectors, those with NULL or
-    non-finite components and those not of the most frequent length take no part, nor do rows without id. A row
-    is no candidate of its own; other rows that repeat its id are none either. Of rows that repeat another id and score alike one
-    is returned. An empty table gives an empty result.
+    its longest matching prefixes, then ascends level by level in all of them at once until enough strings share its
+    prefixes; these rows are compared in double precision. How many are enough is learned from exact neighbours of
+    SAMPLE_QUERIES queries, so that RECALL of them are found. Rows are dealt by a hash to blocks, each of which holds all trees of its
+    rows; a query's prefix counts of all blocks are added up to choose its level, and the blocks then return their nearest
+    candidates. So a vector is sent once, whatever prefix is hot, and compared with a query once.
+
+    Nearest first, ties to the smaller id; fewer rows if there are fewer candidates. Every row is a candidate of its own, also one
+    that repeats an id, even the query's; a query that occurs twice is answered twice. NULL vectors, zero vectors, those with NULL or
+    non-finite components take no part, nor do rows without id. Vectors are compared with those of their length only, and
+    with all of them where these are at most FEW_ROWS. An empty table gives an empty result.
     """
-    source = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    spark = vectors.sparkSession
+    wide = F.col(vector_column).cast("array<double>")
+    source = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), wide.alias("vector"))
     source = source.where(F.col("vec_id").isNotNull() & usable("vector"))
-    length = common_length(source, "vector")
-    schema = "query_id long, rank int, vec_id long, score double"
-    if length == 0:
-        return vectors.sparkSession.createDataFrame([], schema)
-    normals = planes(length, seed)
+    source = source.withColumns({"row": F.monotonically_increasing_id(), "width": F.size("vector")})
 
     def sign(batches):
+        drawn = {}
         for batch in batches:
-            if len(batch):
-                yield batch.assign(codes=list(hash_strings(unit_rows(batch["vector"]), normals)))
-
-    source = source.where(F.size("vector") == length).select(F.col("vec_id").cast("long").alias("row"), "asks", "vector")
-    found = stage(source.mapInPandas(sign, "row long, asks boolean, vector array<double>, codes array<long>"), "hash-strings")
-    rows = found.count()
-    sample = found.where("asks").orderBy(F.xxhash64("row"), "row").limit(SAMPLE_QUERIES).select("row", "vector").toPandas()
-    if sample.empty:
-        return vectors.sparkSession.createDataFrame([], schema)
-    root, wanted = _sample_plan(found, sample, rows, normals, top)
-
-    string = [F.col("t"), F.shiftright("code", DEPTH - root).alias("root"), F.col("code"), F.col("row")]
-    strings = found.select("row", "asks", F.posexplode("codes").alias("t", "code")).select(*string, "asks")
-    sizes = _sizes(strings)
-    at = ["t", "root", "chunk", "part"]
-
-    def count(key, queries: pd.DataFrame, array: pd.DataFrame) -> pd.DataFrame:
-        sorted_ = np.sort(array["code"].to_numpy(np.int64))
-        codes = queries["code"].to_numpy(np.int64)
-        table_ = np.zeros((codes.size, DEPTH + 1 - root), np.int64)
-        for level in range(root, DEPTH + 1):
-            low, high = _spans(sorted_, codes, np.full(codes.size, level))
-            table_[:, level - root] = high - low
-        return pd.DataFrame({"row": queries["row"], "counts": list(table_)})
-
-    queries = _apart(_asking(strings.where("asks").drop("asks"), sizes)).groupBy(*at)
-    counts = queries.cogroup(_arrays(strings.drop("asks"), sizes).groupBy(*at)).applyInPandas(count, "row long, counts array<long>")
-    width = DEPTH + 1 - root
-    summed = counts.groupBy("row").agg(*[F.sum(F.get("counts", i)).alias(f"c{i}") for i in range(width)])
-    enough = [F.when(F.col(f"c{i}") >= wanted, F.lit(root + i)) for i in range(width - 1, -1, -1)]
-    # a query whose root prefixes hold too few rows asks all rows of one tree instead, level 0
-    plan = stage(summed.select("row", F.coalesce(*enough, F.lit(-1)).alias("level")), "levels")
-    short = plan.where("level < 0").count() if root else 0
-
-    detailed = found.select("row", "vector", F.posexplode("codes").alias("t", "code"))
-    leveled = found.where("asks").join(plan, "row").select("row", "vector", F.greatest("level", F.lit(root)).alias("level"), F.posexplode("codes").alias("t", "code"))
-    part = [*string, F.col("vector")]
-    seeking = _asking(leveled.select(*part, "level"), sizes)
-    arrays = _arrays(detailed.select(*part), sizes)
-    if short:
-        lost = found.where("asks").join(plan.where("level < 0"), "row")
-        whole = [F.lit(-1).alias("t"), F.lit(0).cast("long").alias("root"), F.get("codes", 0).alias("code"), F.col("row"), F.col("vector")]
-        every = [F.lit(max(1, math.ceil(n / most))).alias(name) for n, most, name in ((rows, ARRAY_ROWS, "chunks"), (short, QUERY_ROWS, "parts"))]
-        arrays = arrays.unionByName(_dealt(found.select(*whole, *every), "chunks", "parts"))
-        seeking = seeking.unionByName(_dealt(lost.select(*whole, F.lit(0).alias("level"), *every), "parts", "chunks"))
-
-    def nearest(key, queries: pd.DataFrame, array: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(array):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        array = array.sort_values(["code", "row"], ignore_index=True)
-        queries = queries.sort_values(["code", "row"], ignore_index=True)
-        sorted_, ids, units = array["code"].to_numpy(np.int64), array["row"].to_numpy(np.int64), unit_rows(array["vector"])
-        asking, wanted_units = queries["row"].to_numpy(np.int64), unit_rows(queries["vector"])
-        low, high = _spans(sorted_, queries["code"].to_numpy(np.int64), queries["level"].to_numpy(np.int64))
-        out = []
-        for start in range(0, len(queries), QUERY_STRIP):
-            strip = range(start, min(len(queries), start + QUERY_STRIP))
-            a, b = int(low[strip].min()), int(high[strip].max())
-            scores = wanted_units[strip.start : strip.stop] @ units[a:b].T
-            for q in strip:
-                here = slice(low[q], high[q])
-                other = np.flatnonzero(ids[here] != asking[q])
-                mine = scores[q - start, low[q] - a : high[q] - a][other]
-                near, exact = _exact_top(wanted_units[q], units[here], other, ids[here], mine, top)
-                out.append((np.full(near.size, asking[q]), near, exact))
-        return pd.DataFrame(dict(zip(["query_id", "vec_id", "score"], map(np.concatenate, zip(*out)))))
-
-    met = _apart(seeking).groupBy(*at).cogroup(arrays.groupBy(*at)).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, top)
-    ranked = best.groupBy("query_id").agg(ordered.alias("near")).select("query_id", F.posexplode("near").alias("at", "n"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "n.vec_id", (-F.col("n.far")).alias("score"))
+            if not len(batch):
+                continue
+            codes = np.empty(len(batch), object)
+            for width, part in batch.groupby("width")["vector"]:
+                if width not in drawn:
+                    drawn[width] = planes(int(width), seed)
+                at = batch.index.get_indexer(part.index)
+                for i, code in zip(at, hash_strings(unit_rows(part), drawn[width])):
+                    codes[i] = code
+            yield batch.assign(codes=codes)
+
+    found = stage(source.mapInPandas(sign, "vec_id long, asks boolean, vector array<double>, row long, width int, codes array<long>"), "hash-strings")
+    counted = found.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).where("asking > 0")
+    # the many lengths of few vectors need no forest
+    large = counted.where(F.col("n") > FEW_ROWS).collect()
+    wanted = F.lit(None).cast("long")
+    for r in large:
+        enough = _wanted(found.where(F.col("width") == r["width"]), planes(r["width"], seed), top)
+        wanted = F.when(F.col("width") == r["width"], F.lit(enough or None).cast("long")).otherwise(wanted)
+    blocks, parts = block_count(spark, F.col("n"), BLOCK_ROWS), F.ceil(F.col("asking") / F.lit(QUERY_ROWS)).cast("int")
+    sizes = stage(counted.select("width", blocks.alias("blocks"), parts.alias("parts"), wanted.alias("wanted")), "widths")
+
+    unit = ["width", "block", "part"]
+    own = F.pmod(F.xxhash64(F.lit(3), "row"), "blocks").cast("int").alias("block")
+    asked = F.pmod(F.xxhash64(F.lit(5), "row"), "parts").cast("int").alias("part")
+    dealt = found.join(sizes, "width").select("*", own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    queries = found.where("asks").join(sizes, "width").select("*", asked, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    # only lengths with a forest ascend; in the others every row is a candidate
+    left = queries.where("wanted is not null").select(*unit, "row", "codes")
+    right = dealt.where("wanted is not null").select(*unit, "codes").groupBy(*unit)
+    counts = _apart(left).groupBy(*unit).cogroup(right).applyInPandas(_counts, "query long, counts array<long>")
+    summed = counts.groupBy("query").agg(*[F.sum(F.get("counts", i)).alias(f"c{i}") for i in range(DEPTH + 1)])
+    enough = [F.when(F.col(f"c{i}") >= F.col("wanted"), F.lit(i)) for i in range(DEPTH, 0, -1)]
+    asking = found.where("asks").join(sizes, "width").select(F.col("row").alias("query"), "wanted")
+    levels = stage(asking.join(summed, "query").select("query", F.coalesce(*enough, F.lit(0)).alias("level")), "levels")
+
+    placed = queries.join(levels, queries["row"] == levels["query"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    left = _apart(placed.select(*unit, "row", "level", "codes", "vector")).groupBy(*unit)
+    right = dealt.select(*unit, "row", "vec_id", "codes", "vector").groupBy(*unit)
+    met = left.cogroup(right).applyInPandas(_nearest(top), "query long, row long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id", "row")
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    named = found.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return best.join(named, "query").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every row whose id is divisible by 50, among all others."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)

@@ -117,7 +117,8 @@ def brute(rows, queries, top):
     return out
 
 
-def test_neighbours_recall(spark, sf):
+def test_neighbours_recall(spark, sf, monkeypatch):
+    monkeypatch.setattr(neighbour_forest, "FEW_ROWS", 0)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     vectors = np.array([v for _, v in rows], float)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -137,30 +138,46 @@ def test_neighbours_recall(spark, sf):
     assert hits >= 0.9 * 5 * len(got)
 
 
-def test_neighbours_odd_inputs(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_neighbours_odd_inputs(spark, monkeypatch, few):
+    """Repeated ids are rows of their own, lengths do not mix, and what has no direction takes no part."""
+    monkeypatch.setattr(neighbour_forest, "FEW_ROWS", few)
     order = np.random.default_rng(4)
     centre = order.standard_normal(16)
-    rows = [(i, order.standard_normal(16).tolist()) for i in range(120)] + [(i, centre.tolist()) for i in range(200, 260)]
-    rows += [(300, None), (350, [0.0] * 16), (301, [math.nan] * 16), (302, [None] * 16), (303, [1.0]), (None, centre.tolist()), (50, centre.tolist())]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
-    want = brute(rows, lambda i: i % 50 == 0, 5)
+    rows = [(i, order.standard_normal(16).tolist()) for i in range(1, 50)] + [(i, centre.tolist()) for i in range(200, 260)]
+    rows += [(300, None), (350, [0.0] * 16), (301, [math.nan] * 16), (302, [None] * 16), (None, centre.tolist())]
+    rows += [(400, [1.0, 2.0]), (401, [2.0, 1.0]), (402, [1.0, 2.0]), (402, [1.0, 2.0]), (450, [5.0]), (500, [3.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("row", F.lit(1))
     got = {}
     for r in neighbour_forest.search(table, F.col("vec_id") % 50 == 0).collect():
-        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    assert set(got) == set(want) - {300, 350}
-    assert [got[200][k][0] for k in range(1, 6)] == [50, 201, 202, 203, 204]
-    total = sum(len(want[q]) for q in got)
-    same = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q].values()}) for q in got)
-    assert same >= 0.9 * total
-    few = table.where("vec_id < 3")
-    assert neighbour_forest.search(few, F.col("vec_id") == 0).count() == 2
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    assert set(got) == {200, 250, 400}
+    assert sorted(got[200]) == [(k, 200 + k, 1.0) for k in range(1, 6)]
+    assert sorted(got[400]) == [(1, 402, 1.0), (2, 402, 1.0), (3, 401, 0.8)]
     assert neighbour_forest.search(table.limit(0), F.lit(True)).count() == 0
     assert neighbour_forest.search(table, F.lit(False)).count() == 0
 
 
-def test_neighbours_with_parted_arrays(spark, monkeypatch):
-    """Roots, chunks, parts of the queries and the way out for queries with too few candidates give the same kind of result."""
-    monkeypatch.setattr(neighbour_forest, "ARRAY_ROWS", 60)
+def test_neighbours_of_a_repeated_query(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (3, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in neighbour_forest.search(table, F.col("vec_id") == 50).collect())
+    near = round(math.sqrt(0.5), 6)
+    assert got == [(50, 1, 3, near), (50, 1, 3, near), (50, 2, 50, 0.0), (50, 2, 50, 0.0)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_neighbours_in_tiny_tables(spark, monkeypatch, n):
+    monkeypatch.setattr(neighbour_forest, "FEW_ROWS", 0)
+    table = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<float>").repartition(n)
+    got = neighbour_forest.search(table, F.col("vec_id") == 0).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(k, k) for k in range(1, n)]
+
+
+def test_neighbours_with_many_blocks(spark, monkeypatch):
+    """Many blocks and parts of the queries give the same kind of result."""
+    monkeypatch.setattr(neighbour_forest, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(neighbour_forest, "FEW_ROWS", 0)
     monkeypatch.setattr(neighbour_forest, "QUERY_ROWS", 20)
     order = np.random.default_rng(5)
     centres = order.standard_normal((40, 16))
