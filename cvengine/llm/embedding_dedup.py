@@ -1,9 +1,10 @@
-"""Near duplicates among embeddings: codes of learned rotations and random planes, multi-index tables, exact reranking."""
+"""Near duplicates among embeddings: balanced codes of learned rotations, multi-index Hamming tables, exact reranking."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,15 +15,18 @@ from cvengine.llm.blocks import UNIT, forest, pair_mask, work_units
 from cvengine.llm.common import stage, table
 from cvengine.llm.components import connected_components
 
-#: The rotations are fitted on this many distinct vectors, those of least hash; all vectors are indexed.
-FIT_ROWS = 20_000
+#: The rotations are fitted on at most so many distinct vectors, those of least hash, and bytes of them; all vectors are indexed.
+FIT_ROWS, FIT_BYTES = 20_000, 64 << 20
 ROTATION_ROUNDS = 30
-#: Share of pairs at the cosine threshold itself that the tables along random planes may miss.
-MISS = 0.003
-#: Vectors that the average bucket of a table holds.
-BUCKET_ROWS = 48
+#: Pairs at the cosine threshold that are made up from the sample to choose the number of tables, and the share that these may miss.
+PLANTED, MISS = 4000, 0.003
+#: Vectors that share the value of a whole substring on average.
+BUCKET_ROWS = 16
 BLOCK_ROWS = 2048
-UNIT_ROWS = 8192
+UNIT_ROWS = 32_768
+#: Up to so many distinct vectors of a length are compared without tables.
+FEW_ROWS = 1000
+MAX_TABLES = 96
 
 
 def usable(column: str = "embedding") -> Column:
@@ -38,13 +42,6 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def common_length(vectors: DataFrame, column: str) -> int:
-    """The most frequent length, the larger of two; 0 without vectors."""
-    lengths = vectors.groupBy(F.size(column).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    first = lengths.orderBy(F.col("n").desc(), F.col("d").desc()).first()
-    return first["d"] if first else 0
-
-
 def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Iterative quantisation (Gong & Lazebnik 2011): (projection, thresholds) of ``bits`` balanced bits.
 
@@ -64,125 +61,227 @@ def learn_rotation(sample: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray
     return projection, mean @ projection
 
 
-def learn_tables(sample: np.ndarray, bits: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of ``tables`` substrings, from as many rotations as that takes."""
-    code = min(sample.shape[1], 64)
-    whole = code // bits * bits
-    models = [learn_rotation(sample, code, seed + r) for r in range(-(-tables * bits // whole))]
-    projection = np.concatenate([p[:, :whole] for p, _ in models], axis=1)
-    return projection[:, : tables * bits], np.concatenate([t[:whole] for _, t in models])[: tables * bits]
-
-
-def table_keys(units: np.ndarray, projection: np.ndarray, cuts: np.ndarray, bits: int) -> np.ndarray:
-    """Per vector and table the value of its substring."""
-    signs = (units @ projection > cuts).reshape(len(units), -1, bits)
-    return (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
-
-
-def random_tables(dimension: int, bits: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of ``tables`` substrings along random planes through the origin: they differ with the pair's angle over pi, whatever the data."""
-    projection = np.random.default_rng(seed).standard_normal((dimension, tables * bits))
-    return projection, np.zeros(tables * bits)
-
-
-def table_layout(rows: int, dimension: int, min_cosine: float) -> tuple[int, int]:
-    """(bits of a substring, number of tables): buckets stay small as rows grow, while misses stay below MISS."""
-    bits = min(dimension, 24, max(4, round(math.log2(max(1, rows / BUCKET_ROWS)))))
-    agree = 1 - math.acos(min_cosine) / math.pi
-    hit = agree**bits
-    return bits, max(1, math.ceil(math.log(MISS) / math.log(1 - hit))) if hit < 1 else 1
+@dataclass
+class Tables:
+    """Codes of a length of vectors: one word of bits per rotation, cut into substrings, each the key of a table.
 
+    Two vectors meet in a table if at most one bit of its substring differs: they then share the substring without that bit. Pairs
+    whose whole codes differ in more than ``reach`` bits are not compared.
+    """
 
-def _coded(classes: DataFrame, projection: np.ndarray, cuts: np.ndarray, bits: int) -> DataFrame:
-    """Adds ``keys``: per table the value of its substring of the codes."""
+    rotations: list[tuple[np.ndarray, np.ndarray]]
+    bits: int
+    tables: int
+    reach: int = 0
+
+    @property
+    def per_word(self) -> int:
+        return min(len(self.rotations[0][1]), 64) // self.bits
+
+    def codes(self, units: np.ndarray) -> np.ndarray:
+        """Per vector one word per rotation."""
+        used = self.per_word * self.bits
+        weights = np.uint64(1) << np.arange(used, dtype=np.uint64)
+        words = [((units @ p[:, :used] > cuts[:used]) * weights).sum(axis=1, dtype=np.uint64) for p, cuts in self.rotations]
+        return np.stack(words, axis=1)
+
+    def substring(self, codes: np.ndarray, at: int) -> np.ndarray:
+        word, place = divmod(at, self.per_word)
+        return (codes[..., word] >> np.uint64(place * self.bits)) & np.uint64((1 << self.bits) - 1)
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """Per vector, table and bit of its substring the substring without that bit."""
+        others = ~(np.uint64(1) << np.arange(self.bits, dtype=np.uint64))
+        return np.concatenate([self.substring(codes, t)[:, None] & others for t in range(self.tables)], axis=1).astype(np.int64)
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of all pairs the bits that differ."""
+        return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1]))
+
+    def first_meeting(self, a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
+        """Of pairs that share key ``at``, whether it is the first they share."""
+        t, bit = divmod(at, self.bits)
+        differ = a ^ b
+        first = np.ones(len(a), bool)
+        for earlier in range(t):
+            first &= np.bitwise_count(self.substring(differ, earlier)) > 1
+        return first if bit == 0 else first & (self.substring(differ, t) != 0)
+
+
+def substring_bits(rows: int, dimension: int) -> int:
+    """Bits of a substring: buckets stay small as rows grow."""
+    return min(dimension, 24, max(4, round(math.log2(max(1, rows / BUCKET_ROWS)))))
+
+
+def planted_pairs(sample: np.ndarray, min_cosine: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of the sample with partners at the threshold: in any direction, and in directions in which vectors of the sample differ."""
+    draw = np.random.default_rng(seed)
+    left = sample[draw.integers(len(sample), size=PLANTED)]
+    apart = sample[draw.integers(len(sample), size=PLANTED)] - sample[draw.integers(len(sample), size=PLANTED)]
+    pairs = []
+    for away in (draw.standard_normal(left.shape), apart + 1e-6 * draw.standard_normal(left.shape)):
+        away = away - (away * left).sum(axis=1, keepdims=True) * left
+        away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-300)
+        pairs.append((left, min_cosine * left + math.sqrt(1 - min_cosine**2) * away))
+    return pairs
+
+
+def learn_tables(sample: np.ndarray, rows: int, min_cosine: float, seed: int) -> Tables:
+    """As many tables, from as many rotations, as find all but MISS of the planted pairs; reach includes all but as many."""
+    bits = substring_bits(rows, sample.shape[1])
+    found = Tables([], bits, 0)
+    pairs = planted_pairs(sample, min_cosine, seed)
+    missed = [np.ones(len(left), bool) for left, _ in pairs]
+    while found.tables < MAX_TABLES and max(m.mean() for m in missed) > MISS:
+        if not found.rotations or found.tables == len(found.rotations) * found.per_word:
+            found.rotations.append(learn_rotation(sample, min(sample.shape[1], 64), seed + len(found.rotations)))
+            codes = [[found.codes(side) for side in pair] for pair in pairs]
+        for miss, (a, b) in zip(missed, codes):
+            miss &= np.bitwise_count(found.substring(a ^ b, found.tables)) > 1
+        found.tables += 1
+    distances = [np.bitwise_count(a ^ b).sum(axis=1) for a, b in codes]
+    found.reach = int(max(np.quantile(d, 1 - MISS / 10) for d in distances))
+    return found
+
+
+def _coded(classes: DataFrame, learned: dict[int, Tables]) -> DataFrame:
+    """(class, width, codes, keys); a length without tables has one key, shared by all."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield batch.assign(keys=list(table_keys(unit_rows(batch["vector"]), projection, cuts, bits)))
-
-    return classes.mapInPandas(add, "class long, vector array<double>, copies long, keys array<int>")
-
-
-def _compare(min_cosine: float):
+            for width, part in batch.groupby("width"):
+                tables = learned.get(int(width))
+                if tables is None:
+                    codes, keys = np.zeros((len(part), 1), np.int64), np.zeros((len(part), 1), np.int64)
+                else:
+                    codes = tables.codes(unit_rows(part["vector"]))
+                    keys = tables.keys(codes)
+                yield pd.DataFrame({"class": part["class"], "width": part["width"], "codes": list(codes.view(np.int64)), "keys": list(keys)})
+
+    return classes.select("class", "width", "vector").mapInPandas(add, "class long, width int, codes array<long>, keys array<long>")
+
+
+def _buckets(rows: pd.DataFrame) -> Iterator[tuple[slice, int, int]]:
+    """(rows, width, table and bit) of each bucket of a unit; rows are sorted by bucket."""
+    width, at, key = (rows[c].to_numpy() for c in ("width", "at", "key"))
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (width[1:] != width[:-1])])
+    for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
+        if b - a > 1:
+            yield slice(a, b), int(width[a]), int(at[a])
+
+
+def _near_codes(rows: pd.DataFrame, learned: dict[int, Tables], codes: np.ndarray, own: np.ndarray, here: slice, width: int, at: int):
+    """Pairs of a bucket, strip by strip, whose codes are near and that share no earlier key: positions in the bucket."""
+    left, right = int(rows["__left"].iat[0]), int(rows["__right"].iat[0])
+    size, tables = here.stop - here.start, learned.get(width)
+    for start in range(0, size, 512):
+        strip = slice(start, min(size, start + 512))
+        mask = pair_mask(left, right, own[here], strip, slice(start, size))
+        if tables is not None:
+            mask &= tables.distances(codes[here][strip], codes[here][start:]) <= tables.reach
+        i, j = np.nonzero(mask)
+        i, j = i + start, j + start
+        if tables is not None:
+            first = tables.first_meeting(codes[here][i], codes[here][j], at)
+            i, j = i[first], j[first]
+        yield i, j
+
+
+def _meeting(learned: dict[int, Tables]):
+    """Per unit the (width, at, key, class) of rows with a near code in that bucket."""
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["width", "at", "key", "class"], ignore_index=True)
+        codes = _words(rows["codes"])
+        own, hit = rows["__own"].to_numpy(), np.zeros(len(rows), bool)
+        for here, width, at in _buckets(rows):
+            for i, j in _near_codes(rows, learned, codes, own, here, width, at):
+                hit[here.start + i] = hit[here.start + j] = True
+        return rows.loc[hit, ["width", "at", "key", "class"]]
+
+    return meet
+
+
+def _words(codes: pd.Series) -> np.ndarray:
+    """Codes as rows of words; those of other lengths may have fewer and are filled with zeros."""
+    most = max(len(c) for c in codes)
+    return np.stack([np.pad(np.asarray(c, np.int64), (0, most - len(c))) for c in codes]).view(np.uint64)
+
+
+def _compare(min_cosine: float, learned: dict[int, Tables]):
     """Per unit: for each vector with links found here its links, counted with copies, and a spanning forest."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "key", "class"], ignore_index=True)
+        rows = rows.sort_values(["width", "at", "key", "class"], ignore_index=True)
         ids, copies, own = rows["class"].to_numpy(), rows["copies"].to_numpy(np.int64), rows["__own"].to_numpy()
-        left, right = int(rows["__left"].iat[0]), int(rows["__right"].iat[0])
-        tables, buckets = rows["t"].to_numpy(), rows["key"].to_numpy()
-        vectors, keys = unit_rows(rows["vector"]), np.stack(rows["keys"].to_numpy())
-        starts = np.flatnonzero(np.r_[True, (buckets[1:] != buckets[:-1]) | (tables[1:] != tables[:-1])])
+        codes = _words(rows["codes"])
         out = []
-        for a, b in zip(starts, np.r_[starts[1:], ids.size]):
-            if b - a < 2:
-                continue
-            links, roots = np.zeros(b - a, np.int64), np.arange(b - a)
-            for start in range(0, b - a, 512):
-                strip = slice(start, min(b - a, start + 512))
-                near = vectors[a:b][strip] @ vectors[a:b][start:].T >= min_cosine
-                near &= pair_mask(left, right, own[a:b], strip, slice(start, b - a))
-                at, to = np.nonzero(near)
-                at, to = at + start, to + start
-                # a pair counts in the first table whose bucket both are in
-                first = np.ones(at.size, bool)
-                for t in range(tables[a]):
-                    first &= keys[a + at, t] != keys[a + to, t]
-                at, to = at[first], to[first]
-                np.add.at(links, at, copies[a + to])
-                np.add.at(links, to, copies[a + at])
-                kept = np.flatnonzero(roots != np.arange(b - a))
-                roots = forest(b - a, np.r_[kept, at], np.r_[roots[kept], to])
+        for here, width, at in _buckets(rows):
+            vectors = unit_rows(rows["vector"].iloc[here])
+            size = here.stop - here.start
+            links, roots = np.zeros(size, np.int64), np.arange(size)
+            for i, j in _near_codes(rows, learned, codes, own, here, width, at):
+                near = np.zeros(i.size, bool)
+                for some in np.array_split(np.arange(i.size), max(1, i.size * width >> 22)):
+                    near[some] = (vectors[i[some]] * vectors[j[some]]).sum(axis=1) >= min_cosine
+                i, j = i[near], j[near]
+                np.add.at(links, i, copies[here][j])
+                np.add.at(links, j, copies[here][i])
+                kept = np.flatnonzero(roots != np.arange(size))
+                roots = forest(size, np.r_[kept, i], np.r_[roots[kept], j])
             found = np.flatnonzero(links)
-            out.append(np.stack([ids[a:b][found], ids[a:b][roots[found]], links[found]]))
+            out.append(np.stack([ids[here][found], ids[here][roots[found]], links[found]]))
         result = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pd.DataFrame({"a": result[0], "b": result[1], "links": result[2]})
 
     return compare
 
 
+def _worked(entries: DataFrame) -> DataFrame:
+    """Entries of buckets that hold two or more, with their unit of work."""
+    bucket = ["width", "at", "key"]
+    sizes = stage(entries.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket-sizes")
+    held = sizes.agg(F.sum("size")).first()[0] or 0
+    return work_units(entries.join(sizes, bucket), bucket, "class", "size", BLOCK_ROWS, max(1, held // UNIT_ROWS))
+
+
 def near_duplicates(
     vectors: DataFrame, min_cosine: float = 0.95, id_column: str = "vec_id", vector_column: str = "embedding", seed: int = 5
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``; other columns are ignored.
 
-    Linked are vectors of cosine ``min_cosine`` or more, in double precision; pairs that are reported are exact,
-    and of those at the threshold about MISS are missed, of closer ones fewer. Equal vectors are one class with a count,
-    so copies are never paired. Codes come from as many learned rotations as the tables need; each table holds one
-    substring, whose length grows with the logarithm of the rows. Learned bits are cut at the mean, which keeps buckets small but
-    widens the angle of a pair where vectors lie around a common direction; so there are always as many tables along random planes
-    through the origin, for which the bound MISS holds whatever the data, at the price of larger buckets on such data. Hot buckets
-    are compared in pairs of blocks, each pair of vectors is counted in the first table that joins it, and what
-    leaves a block is sums and a spanning forest.
-
-    NULL vectors, zero vectors, those with NULL or non-finite components, and those of another length than the
-    most frequent one link with nothing and are their own component. Rows of a repeated vec_id are vectors of
+    Linked are vectors of cosine ``min_cosine`` or more, in double precision; pairs that are reported are exact, and of those at
+    the threshold about MISS are missed, of closer ones fewer. Equal vectors are one class with a count, so copies are never
+    paired. Codes come from learned rotations (iterative quantisation, bits cut at the mean). Substrings of the codes are the keys of the
+    tables, each probed with one bit of difference. How many tables that takes is tried on pairs at the threshold made up from sampled
+    vectors, so it holds where vectors lie around a common direction, which widens the angle between centred vectors. Only classes and
+    codes go through the tables; vectors are fetched for those entries that have a near code in their bucket. Hot buckets are
+    compared in pairs of blocks, each pair counts in the first bucket that it shares, and what leaves a block is sums
+    and a spanning forest.
+
+    Vectors are compared with those of their length only; where these are at most FEW_ROWS, with all. NULL vectors, zero vectors and those
+    with NULL or non-finite components link with nothing and are their own component. Rows of a repeated vec_id are vectors of
     their own; a NULL vec_id is smallest only where there is no other, and is never kept. An empty table gives an
     empty result.
     """
     rows = vectors.select(F.col(id_column).alias("vec_id"), F.col(vector_column).alias("vector"))
     wide = rows.select("vec_id", F.col("vector").cast("array<double>").alias("vector"))
-    length = common_length(wide.where(usable("vector")), "vector")
-    part = wide.withColumn("ok", F.coalesce(usable("vector") & (F.size("vector") == length), F.lit(False)))
+    part = wide.withColumn("ok", F.coalesce(usable("vector"), F.lit(False)))
     grouped = part.where("ok").groupBy("vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(grouped.withColumn("class", F.monotonically_increasing_id()), "vector-classes")
-    distinct = classes.count()
-    if distinct == 0:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-
-    sample = unit_rows(classes.orderBy(F.xxhash64("vector")).limit(FIT_ROWS).select("vector").toPandas()["vector"])
-    bits, tables = table_layout(distinct, length, min_cosine)
-    learned, at_origin = learn_tables(sample, bits, tables, seed), random_tables(length, bits, tables, seed + 1000)
-    projection, cuts, tables = np.hstack([learned[0], at_origin[0]]), np.hstack([learned[1], at_origin[1]]), 2 * tables
-
-    coded = stage(_coded(classes.select("class", "vector", "copies"), projection, cuts, bits), "codes")
-    entries = coded.select("class", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key"))
-    sizes = coded.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count(F.lit(1)).alias("size"))
-    sizes = stage(sizes.where("size > 1"), "bucket-sizes")
-    units = max(1, (distinct * tables) // UNIT_ROWS)
-    worked = work_units(entries.join(sizes, ["t", "key"]), ["t", "key"], "class", "size", BLOCK_ROWS, units)
-    found = stage(worked.groupBy(*UNIT).applyInPandas(_compare(min_cosine), "a long, b long, links long"), "found")
+    classes = stage(grouped.withColumns({"class": F.monotonically_increasing_id(), "width": F.size("vector")}), "vector-classes")
+    learned = {}
+    for width, n in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_ROWS).collect():
+        most = max(1, min(FIT_ROWS, FIT_BYTES // (8 * width)))
+        sample = classes.where(F.col("width") == width).orderBy(F.xxhash64("vector")).limit(most).select("vector").toPandas()["vector"]
+        learned[width] = learn_tables(unit_rows(sample), n, min_cosine, seed)
+
+    coded = stage(_coded(classes, learned), "codes")
+    entries = coded.select("class", "width", "codes", F.posexplode("keys").alias("at", "key"))
+    bucket = "width int, at int, key long, class long"
+    met = stage(_worked(entries).groupBy(*UNIT).applyInPandas(_meeting(learned), bucket).distinct(), "met")
+    details = coded.select("class", "codes").join(classes.select("class", "copies", "vector"), "class")
+    compared = _worked(met.join(details, "class"))
+    found = stage(compared.groupBy(*UNIT).applyInPandas(_compare(min_cosine, learned), "a long, b long, links long"), "found")
 
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b"))
@@ -206,4 +305,5 @@ def near_duplicates(
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all rows of ``embeddings`` at a cosine of 0.95."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.95)

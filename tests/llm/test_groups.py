@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cvengine.llm import embedding_dedup, simhash_dedup
@@ -130,8 +131,40 @@ def test_embeddings_odd_inputs_and_hot_groups(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
     nothing = embedding_dedup.near_duplicates(spark.createDataFrame(odd[:2], table.schema[:2]))
     assert sorted(map(tuple, nothing.collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
-    other_length = spark.createDataFrame(copies[:3] + [(900, [1.0, 2.0])], table.schema[:2])
-    assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(other_length).collect()}[900] == 0
+
+
+@pytest.mark.parametrize("few", [1000, 3])
+def test_embeddings_of_several_lengths(spark, monkeypatch, few):
+    """Each length is compared with itself, with tables of its own where it has many vectors."""
+    monkeypatch.setattr(embedding_dedup, "FEW_ROWS", few)
+    order = np.random.default_rng(8)
+    rows = []
+    for width, count in ((16, 60), (5, 40), (2, 2), (70, 30)):
+        centres = order.standard_normal((count, width))
+        for k in range(2 * count):
+            rows.append((len(rows), (centres[k % count] + 0.03 * (k >= count) * order.standard_normal(width)).tolist()))
+        rows += [(len(rows) + i, centres[0].tolist()) for i in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(table).collect()))
+    want = []
+    for width in (16, 5, 2, 70):
+        want += expected_vectors([r for r in rows if len(r[1]) == width])
+    assert got == sorted(want)
+
+
+def test_tables_meet_pairs_once_and_grow_slowly():
+    order = np.random.default_rng(12)
+    sample = order.standard_normal((3000, 64))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    for rows in (1000, 10**6):
+        tables = embedding_dedup.learn_tables(sample, rows, 0.95, 1)
+        left, right = embedding_dedup.planted_pairs(sample, 0.95, 99)[0]
+        a, b = tables.codes(left), tables.codes(right)
+        shared = tables.keys(a) == tables.keys(b)
+        firsts = np.stack([shared[:, at] & tables.first_meeting(a, b, at) for at in range(shared.shape[1])], axis=1)
+        assert (firsts.sum(axis=1) == shared.any(axis=1)).all()
+        found = shared.any(axis=1) & (np.diag(tables.distances(a[:500], b[:500])) <= tables.reach).mean().astype(bool)
+        assert found.mean() >= 0.99 and tables.tables <= 40
 
 
 def test_pairs_around_a_common_direction(spark, monkeypatch):
@@ -150,9 +183,3 @@ def test_pairs_around_a_common_direction(spark, monkeypatch):
     table = spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table).collect()}
     assert sum(got[100 + i] != got[i] for i in range(100)) <= 1
-
-
-def test_table_layout_grows_slowly():
-    for rows in (10, 10_000, 10_000_000, 10**10):
-        bits, tables = embedding_dedup.table_layout(rows, 64, 0.95)
-        assert 4 <= bits <= 24 and tables <= 100
