@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Callable, Iterator
@@ -30,10 +31,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 ARTICLE = frozenset(["article", "main"])
-#: Elements that never hold main text, wherever they stand.
-ASIDE = frozenset(
-    "script style title head noscript template nav aside footer form button select textarea iframe object svg canvas audio video dialog menu search noembed noframes xmp datalist map".split()
-)
+#: Elements whose content is no text of the page.
+SILENT = frozenset("script style title head noscript template button select textarea iframe object svg canvas audio video noembed noframes xmp datalist map".split())
+#: Elements beside the main text, unless the main article is in them.
+ASIDE = frozenset("nav aside footer form dialog menu search".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words that, as a class or id on their own or with words of place and form only, mark a part beside the main text.
 ASIDE_WORDS = frozenset(
@@ -41,6 +42,10 @@ ASIDE_WORDS = frozenset(
     "newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead footer comment comments disqus replies "
     "share sharing social related recommended pagination pager login signup".split()
 )
+#: Those that also mark a paragraph.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: Words that mark an article which only points to another page.
+TEASER_WORDS = frozenset("teaser teasers card cards preview excerpt related recommended promo".split())
 #: Words of place and form, which leave the sense of the word beside them; so do words with digits.
 PLAIN_WORDS = frozenset(
     "left right top bottom upper lower middle center first second last primary secondary main global site page mobile desktop "
@@ -61,7 +66,6 @@ CLOSES = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
-NO_FENCE: frozenset[str] = frozenset()
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -71,6 +75,12 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORDS = re.compile(r"[a-z0-9]+")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_INLINE_FENCES = BLOCK - {"p"}
+
+
+#: Text outside articles counts as the main text where it has this many characters and so many times those in the articles.
+OTHER_CHARS, OTHER_TIMES = 500, 10
 
 
 @dataclass(slots=True)
@@ -78,8 +88,11 @@ class Element:
     tag: str
     parent: Element | None
     inside: bool  # in an article, itself included
-    dropped: bool  # by its own mark-up
-    named: bool  # a side part by its class or id, unless it holds an article
+    silent: bool  # no text of the page
+    beside: bool  # by its tag, role or style, or as an article of comments
+    named: bool  # a side part by its class or id
+    teaser: bool = False  # an article that only points to another page
+    link: bool = False  # in a link, itself included
     parts: list = field(default_factory=list)
     key: int = 0
     counted: bool = False
@@ -97,30 +110,34 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _side_name(value: str) -> bool:
-    """Whether a class, or the id, is made of ASIDE_WORDS and PLAIN_WORDS, with one of the former at least."""
+def _names(value: str, marks: frozenset[str]) -> bool:
+    """Whether a class, or the id, is made of ``marks`` and PLAIN_WORDS, with one of the former at least."""
     for name in value.split():
         words = {w for w in _WORDS.findall(name) if w.isalpha()}
-        if not ASIDE_WORDS.isdisjoint(words) and words <= ASIDE_WORDS | PLAIN_WORDS:
+        if not marks.isdisjoint(words) and words <= marks | PLAIN_WORDS:
             return True
     return False
 
 
-def _marked_aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(whether an element is beside the main text by its attributes, whether only its class or id says so)."""
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False, False
-    named = False
+def _marked(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """What the attributes say: (beside the main text by role or style, a side part by its class or id, an article that is a teaser)."""
+    if not attributes.strip() or tag in ("html", "body"):
+        return False, False, False
+    beside = named = teaser = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, False
-        if name == "role" and value in ASIDE_ROLES:
-            return True, False
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-        named = named or (name in ("class", "id") and _side_name(value))
-    return named, named
+        if name in ("class", "id"):
+            if tag in ARTICLE:
+                teaser = teaser or _names(value, TEASER_WORDS)
+            else:
+                named = named or _names(value, ADVERT_WORDS if tag in TEXTUAL else ASIDE_WORDS)
+        elif tag in ARTICLE:
+            continue
+        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ASIDE_ROLES):
+            beside = True
+        elif name == "style" and _INVISIBLE.search(value):
+            beside = True
+    return beside, named, teaser
 
 
 def _is_comment(attributes: str) -> bool:
@@ -132,10 +149,13 @@ class Page:
 
     def __init__(self, source: str, host: str):
         self.host = host.encode("utf-8", "surrogatepass")
-        self.root = Element("", None, False, False, False)
+        self.root = Element("", None, False, False, False, False)
         self.elements: list[Element] = []
         self.blocks: list[list[tuple[Element, str]]] = [[]]
         self.stack = [self.root]
+        self.depths: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+        self.fences: list[int] = []  # and all that hold back the end of an inline element
+        self.articles: list[Element] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -181,9 +201,11 @@ class Page:
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._break()
-            self._end(frozenset(["p"]), frozenset(["button", "table", "td", "th"]) | ARTICLE)
+            if self.depths.get("p"):
+                self._end(("p",), self._last(("button", "table", "td", "th", *ARTICLE)))
             if tag in CLOSES:
-                self._end(*CLOSES[tag])
+                tags, fences = CLOSES[tag]
+                self._end(tags, self._last(fences))
         if tag == "br":
             self.blocks[-1].append((self.stack[-1], " "))
             return
@@ -192,40 +214,59 @@ class Page:
         parent = self.stack[-1]
         comment = tag in ARTICLE and _is_comment(attributes)
         inside = parent.inside or (tag in ARTICLE and not comment)
-        marked, named = _marked_aside(tag, attributes) if tag not in TEXTUAL else (False, False)
-        dropped = comment or tag in ASIDE or (tag == "header" and not parent.inside) or (marked and not named)
-        element = Element(tag, parent, inside, dropped, named)
+        beside, named, teaser = _marked(tag, attributes)
+        beside = beside or comment or tag in ASIDE or (tag == "header" and not parent.inside)
+        element = Element(tag, parent, inside, tag in SILENT, beside, named, teaser, parent.link or tag == "a")
         element.counted = tag in CONTAINERS or (tag in TEXTUAL and not inside)
         element.article = parent.article or (element if inside else None)
+        if element.article is element:
+            self.articles.append(element)
         if tag in ARTICLE and not comment:
             while not parent.holds:
                 parent.holds = True
                 if parent is self.root:
                     break
                 parent = parent.parent
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        if tag in _INLINE_FENCES:
+            self.fences.append(len(self.stack))
         self.elements.append(element)
         self.stack.append(element)
 
-    def _end(self, tags: frozenset[str], fences: frozenset[str]) -> None:
-        """Closes the outermost open element of ``tags`` above the nearest fence, and all in it."""
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth].tag in fences:
-                return
-            if self.stack[depth].tag in tags:
-                while len(self.stack) > depth:
-                    self._pop()
-                return
+    def _last(self, tags) -> int:
+        """Where in the stack the last open element of ``tags`` is; 0 without one."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def _end(self, tags, fence: int) -> None:
+        """Closes the outermost open element of ``tags`` above the fence, and all in it."""
+        depth = len(self.stack)
+        for tag in tags:
+            depths = self.depths.get(tag)
+            if depths:
+                at = bisect.bisect_right(depths, fence)
+                if at < len(depths):
+                    depth = min(depth, depths[at])
+        self._cut(depth)
+
+    def _cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self._pop()
 
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._break()
-        if tag in VOID:
+        depths = self.depths.get(tag)
+        if tag in VOID or not depths:
             return
-        fences = NO_FENCE if tag in BLOCK else BLOCK - {"p"}
-        self._end(frozenset([tag]), fences)
+        # the innermost; an inline element only up to the element of text around it
+        if tag in BLOCK or not self.fences or depths[-1] > self.fences[-1]:
+            self._cut(depths[-1])
 
     def _pop(self) -> None:
         element = self.stack.pop()
+        self.depths[element.tag].pop()
+        if element.tag in _INLINE_FENCES:
+            self.fences.pop()
         if element.tag in BLOCK:
             self._break()
         digest = xxhash.xxh64(element.tag.encode())
@@ -233,8 +274,9 @@ class Page:
             digest.update(b"\0" + part)
         element.parts = []
         element.parent.parts.append(digest.digest())
-        element.parent.chars += element.chars
-        element.parent.linked += element.chars if element.tag == "a" else element.linked
+        if not element.silent:
+            element.parent.chars += element.chars
+            element.parent.linked += element.chars if element.tag == "a" else element.linked
         element.counted = element.counted and not element.holds
         if element.counted:
             digest.update(b"\1" + self.host)
@@ -243,13 +285,47 @@ class Page:
     def subtree_keys(self) -> set[int]:
         return {e.key for e in self.elements if e.counted}
 
+    def _main_article(self, marks: dict[int, tuple[bool, bool]]) -> Element | None:
+        """The article with the most text out of links: of those in no side part, if one has a quarter of what the others have."""
+        best: list[Element | None] = [None, None, None]
+        for article in self.articles:
+            beside, named = marks[id(article)]
+            level = 2 if named or article.teaser else 1 if beside else 0
+            if best[level] is None or self._own(article) > self._own(best[level]):
+                best[level] = article
+        plain, beside, named = best
+        if plain and beside and 4 * self._own(plain) < self._own(beside):
+            plain = beside
+        return plain or beside or named
+
+    @staticmethod
+    def _own(article: Element) -> int:
+        return article.chars - article.linked
+
     def main_text(self, template: Callable[[int], bool]) -> str:
         """The text blocks left, joined by line ends: of the articles, if there are any with text, else of the page."""
-        gone: set[int] = set()
+        marks: dict[int, tuple[bool, bool]] = {id(self.root): (False, False)}
         for e in self.elements:  # parents come first
-            if e.dropped or (e.named and not e.holds) or id(e.parent) in gone or (e.counted and template(e.key)):
+            beside, named = marks[id(e.parent)]
+            marks[id(e)] = (beside or e.beside, named or e.named)
+        main = self._main_article(marks)
+        named = main is not None and (marks[id(main)][1] or main.teaser)
+        text = self._left(template, None if named else main)
+        # an article in a part with a side name is only the main text where there is no other
+        return text if text or not named else self._left(template, main)
+
+    def _left(self, template: Callable[[int], bool], main: Element | None) -> str:
+        around: set[int] = set()
+        at = main
+        while at is not None:
+            around.add(id(at))
+            at = at.parent
+        gone: set[int] = set()
+        for e in self.elements:
+            teaser = e.teaser and e.article is e
+            if e.silent or id(e.parent) in gone or ((e.beside or e.named or teaser) and id(e) not in around) or (e.counted and template(e.key)):
                 gone.add(id(e))
-        every, articles = [], []
+        every, articles, inside, other = [], [], 0, 0
         for block in self.blocks:
             kept = [(owner, text) for owner, text in block if id(owner) not in gone]
             text = " ".join("".join(text for _, text in kept).split())
@@ -257,7 +333,12 @@ class Page:
                 every.append(text)
                 if kept[0][0].inside:
                     articles.append(text)
-        return "\n".join(articles or every)
+                    inside += len(text)
+                elif not kept[0][0].link:
+                    other += len(text)
+        if articles and not (other >= OTHER_CHARS and other >= OTHER_TIMES * inside):
+            return "\n".join(articles)
+        return "\n".join(every)
 
 
 def _page_number(host: str, source: str | None) -> int:
@@ -349,4 +430,5 @@ def _page_identity() -> Callable[[list], list[pa.Array]]:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page and its length."""
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
