@@ -115,9 +115,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes a folder of gzip WARC files at ``path``, any place that Spark writes to.
 
     Of the pages whose payloads (html as UTF-8, nothing for NULL) are equal and have ``least_bytes`` bytes or more,
-    that of the smallest page_id (NULL last, then by url) becomes a response record and the others revisit it; all
-    smaller ones are responses. A response longer than SEGMENT characters continues in further records. Rows equal in
-    page_id, url and html have a record each, of the same kind. Control characters in a url are left out of its header; pages without url or
+    that of the smallest page_id (NULL last; of several rows of that page_id the least url, NULL as an empty one) becomes a response
+    record and the others revisit it; all smaller ones are responses. A response longer than SEGMENT characters continues in further
+    records. Rows equal in page_id, url and html have a record each, of the same kind; a page without page_id is a response
+    if no other has its payload, and revisits one otherwise. Control characters in a url are left out of its header; pages without url or
     page_id lack that header. The text writer ends each record with the two line ends the format asks for.
     """
     records = warc_records(pages, least_bytes)
@@ -218,18 +219,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         .groupBy(F.coalesce("origin_id", "record_id").alias("record_id"))
         .agg(parts.alias("parts"), *first.values())
         .withColumn("numbers", F.transform("parts", lambda p: p["segment"]))
-        .withColumn("block", F.aggregate("parts", F.lit(b"").cast("binary"), lambda out, p: F.concat(out, p["block"])))
+        .withColumn("blocks", F.transform("parts", lambda p: p["block"]))
+        .withColumn("length", F.aggregate("blocks", F.lit(0).cast("long"), lambda sum_, b: sum_ + F.octet_length(b)))
         .withColumn("total", F.element_at("parts", -1)["total_length"])
-        .withColumn("fits", (F.col("numbers") == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))) & F.coalesce(F.octet_length("block") == F.col("total"), F.lit(False)))
+        .withColumn("fits", (F.col("numbers") == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))) & F.coalesce(F.col("length") == F.col("total"), F.lit(False)))
     )
-    names = ["record_id", "record_type", "page_id", "url", "header_digest", "refers_to_id", "fits", "block"]
+    alone = alone.withColumn("blocks", F.array("block"))
+    names = ["record_id", "record_type", "page_id", "url", "header_digest", "refers_to_id", "fits", "blocks"]
     joined = joined.withColumn("refers_to_id", F.lit(None).cast("string"))
     whole = alone.select(*names).unionAll(joined.select(*names))
 
     def unframe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("record_type").to_pylist(), batch.column("fits").to_pylist(), batch.column("block"))
-            payloads = [http_payload(block.as_py()) if fits and kind == "response" else None for kind, fits, block in rows]
+            # the segments are joined here, once; joining them one by one as columns would copy what is there each time
+            rows = zip(batch.column("record_type").to_pylist(), batch.column("fits").to_pylist(), batch.column("blocks"))
+            payloads = [http_payload(b"".join(blocks.as_py())) if fits and kind == "response" else None for kind, fits, blocks in rows]
             sound = [fits and (p is not None or kind != "response") for p, fits, kind in zip(payloads, batch.column("fits").to_pylist(), batch.column("record_type").to_pylist())]
             columns = [batch.column(n) for n in names[:-2]] + [pa.array(payloads, pa.binary()), pa.array(sound, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names[:-2], "payload", "whole"])
@@ -265,19 +269,22 @@ def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back, with the kind of their record and the digest of what came back."""
     found = round_trip(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
 
 
 CHECK_SQL = f"""
 WITH page AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
-hashed AS (SELECT page_id, url, payload, sha1(payload) AS hex, min(page_id) OVER (PARTITION BY payload) AS first_id FROM page),
+hashed AS (
+  SELECT page_id, url, payload, sha1(payload) AS hex, rank() OVER same AS place, first_value(page_id) OVER same AS first_id
+  FROM page WINDOW same AS (PARTITION BY payload ORDER BY page_id NULLS LAST, coalesce(url, ''))),
 digits AS (
   SELECT *, [('0x' || substr(hex, 1 + 10 * g, 10))::BIGINT FOR g IN range(0, 4)] AS groups FROM hashed),
 named AS (
   SELECT *, list_aggregate([substr('{BASE32}', CAST((groups[1 + i // 8] >> (5 * (7 - i % 8))) & 31 AS BIGINT) + 1, 1) FOR i IN range(0, 32)], 'string_agg', '') AS digest FROM digits)
 SELECT page_id, strlen(payload) AS payload_bytes, digest AS payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url, true AS intact
+       CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN first_id END AS refers_to, url, true AS intact
 FROM named
 """
