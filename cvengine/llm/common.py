@@ -30,7 +30,9 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str = "__row") -> DataFrame:
-    """A staged copy with a distinct long per row that every later read sees alike."""
+    """A staged copy with a distinct long per row that every later read sees alike; ``name`` must be new."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name}")
     return stage(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
@@ -65,6 +67,14 @@ def labelled_sample(labels: DataFrame, target: str, folds: int, fold: int, rows_
     return parts[0].unionAll(parts[1])
 
 
+def labelled_texts(documents: DataFrame, labels: DataFrame, target: str, folds: int, fold: int, rows_per_class: int) -> DataFrame:
+    """(doc_id, y, text): one text for each id of ``labelled_sample``; of several rows of an id that of least text hash."""
+    sample = F.broadcast(labelled_sample(labels, target, folds, fold, rows_per_class))
+    texts = documents.select("doc_id", "text").join(sample, "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return texts.groupBy("doc_id", "y").agg(least).select("doc_id", "y", "least.text")
+
+
 def map_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list[pa.Array]]], fields: str) -> DataFrame:
     """Adds the columns ``fields`` that the function from ``make()`` computes for lists of texts; drops ``text``.
 

@@ -134,9 +134,10 @@ def dedup_lines(documents: DataFrame, min_words: int = 50, counts: bool = False)
     (doc_id, row, line) stays, NULL ids last; every line of the others goes, and all else stays as it was, lines
     without a word too. ``n_chars``, if there is such a column, is set to the new length. NULL texts stay NULL and empty ones empty;
     a document may end up empty, but no row is dropped. Of repeated rows the later ones lose what counts. Other
-    columns pass through. ``counts`` adds ``n_lines`` and ``n_removed``.
+    columns pass through. ``counts`` adds ``n_lines`` and ``n_removed`` in place of columns of those names.
     """
-    rows = numbered(documents)
+    given = {f"__given_{i}": c for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
+    rows = numbered(documents.withColumnsRenamed({c: g for g, c in given.items()}))
     gone = repeated_lines(rows, min_words).groupBy("__row").agg(F.collect_set("line").alias("__gone"))
     gone = stage(gone, "removed-lines").withColumnRenamed("__row", "__at")
     joined = rows.join(gone, rows["__row"] == gone["__at"], "left")
@@ -146,11 +147,11 @@ def dedup_lines(documents: DataFrame, min_words: int = 50, counts: bool = False)
     joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     joined = joined.withColumn("__kept", text)
-    changed = {"text": F.col("__kept")}
+    changed = {c: F.col(g) for g, c in given.items()} | {"doc_id": F.col("doc_id"), "text": F.col("__kept")}
     if "n_chars" in documents.columns:
         length = F.length("__kept").cast(documents.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(length)
-    out = [changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns]
+        changed["n_chars"] = F.when(F.col("__gone").isNull(), changed["n_chars"]).otherwise(length)
+    out = [changed[c].alias(c) for c in documents.columns if not counts or c not in ("n_lines", "n_removed")]
     if counts:
         out += [
             F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"),
@@ -160,6 +161,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 50, counts: bool = False)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the later copies of line runs of 50 words, with their lines, those removed and the text's digest."""
     result = dedup_lines(table(spark, sf_dir, "documents"), min_words=50, counts=True)
     return result.select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")

@@ -48,11 +48,12 @@ def replicate(documents: DataFrame, weights: DataFrame | None = None, total: int
     at a hash of its doc_id and ``seed`` (of its text, where doc_id is NULL); rows of one doc_id draw alike. Rates above
     PART_RATE are drawn in parts, so no distribution underflows and no row is exploded by a large count at once.
     NULL is a source of its own. An empty table gives an empty result. Copies are dealt to partitions and ordered in them by a
-    hash of id and copy, which no source or document can make uneven. ``marks`` adds part, copy and the hash, ``shuffle_key``.
+    hash of id and copy, which no source or document can make uneven. ``marks`` adds part, copy and the hash, ``shuffle_key``, in
+    place of columns of those names; all other columns pass through. Several weights of a source add up.
     """
     counts = stage(documents.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source-counts")
     weights = tempered_weights(counts) if weights is None else weights
-    weights = weights.select(F.col("source").alias("__source"), F.col("weight").cast("double").alias("__weight")).where("__weight > 0")
+    weights = weights.groupBy(F.col("source").alias("__source")).agg(F.sum(F.col("weight").cast("double")).alias("__weight")).where("__weight > 0")
     known = stage(counts.join(weights, F.col("source").eqNullSafe(F.col("__source"))).select("__source", "n", "__weight"), "source-weights")
     sources, size, mass = known.agg(F.count(F.lit(1)), F.sum("n"), F.sum("__weight")).first()
     if total is None:
@@ -74,13 +75,14 @@ def replicate(documents: DataFrame, weights: DataFrame | None = None, total: int
         .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__count"))))
         .withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), "__own", "__part", "__copy")))
     )
-    names = [F.col(c) for c in documents.columns]
+    names = [F.col(c) for c in documents.columns if not marks or c not in ("part", "copy", "shuffle_key")]
     if marks:
         names += [F.col("__part").alias("part"), F.col("__copy").alias("copy"), F.col("__key").alias("shuffle_key")]
     return drawn.repartition("__key").sortWithinPartitions("__key").select(*names)
 
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the mix of square-root weights, with the part and copy that each row is and its place in the order."""
     mixed = replicate(table(spark, sf_dir, "documents"), seed=17, marks=True)
     return mixed.select("doc_id", "source", "part", "copy", "shuffle_key", F.md5("text").alias("text_md5"))
 
