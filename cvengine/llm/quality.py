@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvengine.llm.common import held_out, labelled_sample, map_texts, small_text_batches, stage, table
+from cvengine.llm.common import held_out, labelled_texts, map_texts, small_text_batches, stage, table
 
 #: Words share this many vectors by hash, so the table of vectors has a fixed size (2 MB) however large the corpus.
 BUCKETS = 1 << 14
@@ -204,12 +204,11 @@ def learn(pooled: np.ndarray, y: np.ndarray, vectors: np.ndarray, share: float,
 def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> QualityModel:
     """Word vectors of all documents, and a network of ``labels.quality`` outside the held-out fold.
 
-    The network sees at most ``rows_per_class`` documents of each label; only their pooled vectors reach the
-    driver. Without labels of both kinds scores are constant.
+    The network sees at most ``rows_per_class`` documents of each label, an id once however many rows have it; only their
+    pooled vectors reach the driver. Without labels of both kinds scores are constant.
     """
     vectors = word_vectors(documents)
-    sample = F.broadcast(labelled_sample(labels, "quality", FOLDS, FOLD, rows_per_class))
-    texts = documents.select("doc_id", "text").join(sample, "doc_id")
+    texts = labelled_texts(documents, labels, "quality", FOLDS, FOLD, rows_per_class)
 
     def make():
         ids = _Ids()
@@ -231,6 +230,7 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from those whose crc32(doc_id as text) mod 4 is not 2."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(documents, fit(documents, labels))
     return scored.select(

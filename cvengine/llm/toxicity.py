@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvengine.llm.common import held_out, labelled_sample, map_texts, table
+from cvengine.llm.common import held_out, labelled_texts, map_texts, stage, table
 
-#: Rows of each label that are fitted at most; the bound on what reaches the driver (at most BUCKETS numbers a row).
+#: Rows of each label that are fitted at most, and entries of their bags (of 8 bytes), which bounds what reaches the driver.
 ROWS_PER_CLASS = 3000
+ENTRIES_PER_CLASS = 12_000_000
 BUCKETS = 1 << 16
 DIMENSION = 12
 GRAMS = (3, 4, 5)
@@ -154,16 +155,22 @@ def learn(bags: pa.Table, seed: int = 3) -> SubwordModel:
     return SubwordModel((state["embedding"] @ along * SCALE).astype(np.float32), float(state["bias"][1] - state["bias"][0]))
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> SubwordModel:
+def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, entries_per_class: int = ENTRIES_PER_CLASS) -> SubwordModel:
     """A model of ``labels.toxic`` from labelled documents outside the held-out fold, at most ``rows_per_class`` of each label.
 
-    Only the bags of that bounded sample reach the driver. Scores are probabilities at the sample's mix of labels, where
+    An id counts once, however many rows have it. Only the bags of that bounded sample reach the driver: of each label, in order of an
+    id hash, as many as have ``entries_per_class`` entries together. Scores are probabilities at the sample's mix of labels, where
     toxic documents are as many as the bound allows. Without labels of both kinds scores are constant.
     """
-    sample = F.broadcast(labelled_sample(labels, "toxic", FOLDS, FOLD, rows_per_class))
-    texts = documents.select("doc_id", "text").join(sample, "doc_id")
-    bags = map_texts(texts, "text", _bag_of_texts, "ids array<int>, shares array<float>").toArrow()
-    return learn(bags)
+    texts = labelled_texts(documents, labels, "toxic", FOLDS, FOLD, rows_per_class)
+    bags = stage(map_texts(texts, "text", _bag_of_texts, "ids array<int>, shares array<float>"), "bags")
+    sizes = bags.select("doc_id", "y", F.size("ids").alias("size"), F.xxhash64("doc_id").alias("hash")).toPandas()
+    sizes = sizes.sort_values(["y", "hash", "doc_id"])
+    kept = sizes[sizes.groupby("y")["size"].cumsum() <= entries_per_class]
+    if len(kept) < len(sizes):
+        chosen = bags.sparkSession.createDataFrame([(int(i),) for i in kept["doc_id"]], "doc_id long")
+        bags = bags.join(F.broadcast(chosen), "doc_id", "left_semi")
+    return learn(bags.toArrow())
 
 
 def score(documents: DataFrame, model: SubwordModel) -> DataFrame:
@@ -181,6 +188,7 @@ def keep_clean(documents: DataFrame, model: SubwordModel, threshold: float = 0.5
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from those whose crc32(doc_id as text) mod 5 is not 0."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(documents, fit(documents, labels))
     return scored.select(
