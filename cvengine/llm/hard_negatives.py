@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cvengine.llm.blocks import block_count
 from cvengine.llm.common import stage, table
 
-#: Rows, and anchors, of a block; a block of rows meets a block of anchors in one task.
-BLOCK_ROWS = 4096
+#: Rows of a block, and anchors of a part, at most; a block meets a part in one task.
+BLOCK_ROWS = 16_384
 #: Rows whose scores choose the first thresholds, those of least id hash.
 SAMPLE_ROWS = 4096
 #: Dimensions that are accumulated between two prunings, and anchors that are accumulated together.
-CHUNK = 8
+CHUNK = 16
 STRIP = 256
 #: Below this share of open pairs these are finished one by one.
 SPARSE = 0.05
@@ -204,8 +205,8 @@ def mine(
     rows = stage(part.withColumns({"row": F.monotonically_increasing_id(), "width": F.size("v")}), "vectors")
     n = rows.count()
     counted = rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.count_if("anchor").alias("asking"))
-    blocks, parts = F.ceil(F.col("n") / F.lit(BLOCK_ROWS)), F.ceil(F.col("asking") / F.lit(BLOCK_ROWS))
-    sizes = stage(counted.where("asking > 0").select("width", blocks.cast("int").alias("blocks"), parts.cast("int").alias("parts")), "sizes")
+    blocks, parts = block_count(spark, F.col("n"), BLOCK_ROWS), F.ceil(F.col("asking") / F.lit(BLOCK_ROWS)).cast("int")
+    sizes = stage(counted.where("asking > 0").select("width", blocks.alias("blocks"), parts.alias("parts")), "sizes")
 
     anchors = rows.where("anchor").select(*_ANCHOR, F.col("vec_id").alias("anchor_id"))
     asked = anchors.select(F.col("row").alias("window"), *_ANCHOR, F.lit(HIGHEST).alias("upper"), F.lit(LOWEST).alias("limit"))

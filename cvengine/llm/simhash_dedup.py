@@ -169,4 +169,5 @@ def keep_first(documents: DataFrame, shingle_words: int = 4, max_distance: int =
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their groups at 4 bits or fewer, over shingles of 4 words."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, max_distance=4)

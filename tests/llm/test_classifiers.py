@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cvengine.llm import neighbour_forest, quality, toxicity
+from cvengine.llm import common, neighbour_forest, quality, toxicity
 
 SCORED = "doc_id long, text string, score double, extra string"
 ODD = [(None, None, 1.0, "x"), (10**17 + 1, "", 2.0, "x"), (3, " \n", 3.0, "x"), (3, "word " * 60_000, 4.0, "x"), (4, "the the", 5.0, "x"), (4, "the the", 5.0, "x")]
@@ -62,6 +62,25 @@ def test_toxicity_odd_inputs(spark):
     assert 0 <= toxicity.fit(documents.select("doc_id", "text"), labels.limit(0)).scorer()("x") <= 1
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_repeated_documents_stay_within_the_bound(spark, module):
+    """An id is one fitted row, however often it occurs; its text is the same whatever the order of the rows."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    text = F.concat(F.when(F.col("doc_id") % 2 == 1, F.lit("rotten fool ")).otherwise("fine day "), (F.col("id") % 3).cast("string"))
+    documents = spark.range(3000).withColumn("doc_id", F.col("id") % 60).select("doc_id", text.alias("text"))
+    found = common.labelled_texts(documents, labels, "toxic", 5, 0, 7).collect()
+    assert len({r.doc_id for r in found}) == len(found) == 14
+    assert sorted(found) == sorted(common.labelled_texts(documents.repartition(5), labels, "toxic", 5, 0, 7).collect())
+    assert module.score(documents, module.fit(documents, labels, rows_per_class=7)).count() == 3000
+
+
+def test_toxicity_entries_are_bounded(spark):
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    documents = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, F.lit("rotten fool")).otherwise("fine day").alias("text"))
+    score = toxicity.fit(documents, labels, entries_per_class=200).scorer()
+    assert score("rotten") > 0.5 > score("fine")
+
+
 def test_quality(spark, larger):
     rows = quality.op6_quality(spark, larger).collect()
     right, tested = accuracy(rows, spark.read.parquet(f"{larger}/labels.parquet"), "quality", 4, 2)

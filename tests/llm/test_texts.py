@@ -4,6 +4,7 @@ import hashlib
 import base64
 import math
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -192,6 +193,37 @@ def test_html_side_names():
     assert text('<div class=x><article class="comment"><p>b</article></div><article><p>a</article>') == "a"
 
 
+PARTS = [
+    ('<form id="aspnetForm"><article>text here</article></form>', "text here"),
+    ('<div aria-hidden="true"><article>text</article></div>', "text"),
+    ('<div role="dialog"><main>text</main></div><div role="dialog">more</div>', "text"),
+    ('<article>Story</article><section class="comments"><article class="c">first!</article></section>', "Story"),
+    ('<div class="content">story text</div><section class="comments"><article class="c">first!</article></section>', "story text"),
+    ('<article>Story</article><section class="related-posts"><article>Teaser</article></section>', "Story"),
+    ('<article>Story</article><div class="sidebar"><article class="card">x</article></div>', "Story"),
+    ('<article>Story<p class="ad">buy</p><p class="notice">read this</p></article>', "Story\nread this"),
+    ('<div class="content">long story</div><article class="teaser">Read next</article>', "long story"),
+    ('<section class="comments"><article>nothing else</article></section>', "nothing else"),
+    ('<article>one</article><article>two</article>', "one\ntwo"),
+    ("<div>" + "a long text. " * 60 + "</div><article>short</article>", " ".join(["a long text."] * 60) + "\nshort"),
+    ('<article>a<b>b<b>c</b>d</b>e</article>', "abcde"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+    ('<article>x<script>var a="</article>";</script>y</article>z', "xy"),
+]
+
+
+@pytest.mark.parametrize("source, text", PARTS)
+def test_html_main_article(source, text):
+    assert html_text.Page(source, "h").main_text(lambda key: False) == text
+
+
+def test_html_nesting_takes_linear_time():
+    began = time.time()
+    for tag in ("div", "b", "p", "li", "td", "article"):
+        html_text.Page(f"<{tag}>" * 20_000 + "x" + f"</{tag}>" * 20_000, "h").main_text(lambda key: False)
+    assert time.time() - began < 6
+
+
 def test_html_template_share(spark):
     rows = [(n, "http://large.example/", f"<p>own {n}</p><div>every page</div>" + "<div>on six pages</div>" * (n < 6)) for n in range(700)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -242,6 +274,41 @@ def test_warc_repeated_rows(spark, tmp_path):
     assert Counter(map(tuple, found.collect())) == Counter(connection.execute(warc.CHECK_SQL).fetchall())
 
 
+def test_warc_repeated_ids_and_no_ids(spark, tmp_path):
+    rows = [(1, "a", "same"), (1, "b", "same"), (2, "c", "same"), (None, "d", "same"), (None, "e", "lone"), (None, "f", "two"), (None, None, "two"), (3, None, "x" * 50_000), (3, "g", "x" * 50_000)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"]
+    found = warc.round_trip(table, new_path(spark, "warc")).select(columns).collect()
+    table.write.parquet(str(tmp_path / "pages"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    assert Counter(map(tuple, found)) == Counter(connection.execute(warc.CHECK_SQL).fetchall())
+    assert {(r.page_id, r.url): r.record_type for r in found if r.page_id == 1 or r.url == "e"} == {(1, "a"): "response", (1, "b"): "revisit", (None, "e"): "response"}
+
+
+def test_clashing_columns(spark):
+    """Columns named like those that an operator adds are replaced where it adds them, and pass through elsewhere."""
+    text = "\n".join(f"line {i} of many words in a long text" for i in range(20))
+    rows = [(1, text, "s"), (2, text, "s"), (3, "own", "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name in ("part", "copy", "shuffle_key", "n_lines", "n_removed", "__row", "line", "pos", "n_chars"):
+        table = table.withColumn(name, F.lit(7))
+    marked = source_mix.replicate(table, marks=True)
+    assert sorted(marked.columns) == sorted(table.columns)
+    assert marked.where("part = 7 or shuffle_key = '7'").count() == 0 and source_mix.replicate(table).where("part = 7").count() > 0
+    deduped = line_dedup.dedup_lines(table, counts=True)
+    assert sorted(deduped.columns) == sorted(table.columns)
+    assert sorted((r.doc_id, r.n_removed, r["__row"], r.line) for r in deduped.collect()) == [(1, 0, 7, 7), (2, 20, 7, 7), (3, 0, 7, 7)]
+    assert line_dedup.dedup_lines(table).columns == table.columns
+
+
+def test_weights_of_a_source_add_up(spark):
+    table = spark.createDataFrame([(i, "x", "a" if i % 2 else "b") for i in range(200)], "doc_id long, text string, source string")
+    twice = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "source string, weight double")
+    once = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    assert sorted(source_mix.replicate(table, twice).collect()) == sorted(source_mix.replicate(table, once).collect())
+
+
 def test_warc_limits(spark):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
