@@ -17,12 +17,15 @@ Up to ``CELL_ROWS`` rows no cuts are made and one task sorts the column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cvengine.session import stage
 
@@ -30,6 +33,8 @@ CELL_ROWS = 1_000_000
 MAX_CUTS = 4096
 SAMPLE_PER_CUT = 100
 BROADCAST_KEYS = 100_000
+#: Rows that are sampled to bracket a position.
+BRACKET_SAMPLE = 20_000
 
 Fraction = tuple[int, int]
 
@@ -114,74 +119,112 @@ def percent_rank(
     return ranked.withColumn(out, F.col("__rank") / F.lit(float(max(rows, 1))) * 100).drop("__rank")
 
 
-def values_at(
-    df: DataFrame, value: str, positions: Sequence[int], rows: int, cell_rows: int = CELL_ROWS
-) -> dict[int, float]:
-    """The values at 0-based ``positions`` of the ascending order of the non-NULL values.
+class _Gap(NamedTuple):
+    """An open interval of a column's values, the rows before it and in it, and the positions sought there."""
+
+    column: str
+    low: object
+    high: object
+    before: int
+    rows: int
+    positions: tuple[int, ...]
+
+    def holds(self, value: Column) -> Column:
+        inside = value.isNotNull()
+        if self.low is not None:
+            inside = inside & (value > F.lit(self.low))
+        if self.high is not None:
+            inside = inside & (value < F.lit(self.high))
+        return inside
 
-    Repeatedly narrows the open interval that holds a position until the interval is small,
-    then counts the distinct values inside it.
+
+def select_at(
+    df: DataFrame, wanted: dict[str, Sequence[int]], rows: dict[str, int], cell_rows: int = CELL_ROWS
+) -> dict[str, dict[int, tuple]]:
+    """Per column ``{position: (value, rows before it, rows equal to it)}`` for 0-based positions among the non-NULL values.
+
+    Selection after Floyd and Rivest, for all columns at once and for any type that sorts (one type for all columns). A
+    bounded sample brackets each position; one aggregate counts the rows below and at the ends of the brackets, which are
+    exact new bounds whether or not they hold the position. Only when at most ``cell_rows`` rows are left between the bounds
+    of a position are the values there counted.
     """
-    data = df.select(F.col(value).alias("v")).where(F.col("v").isNotNull())
-    found: dict[int, float] = {}
-    # open interval -> (rows before it, rows in it, positions in it)
-    open_gaps = {(None, None): (0, rows, sorted(set(positions)))}
-    while open_gaps:
-        small = {g: s for g, s in open_gaps.items() if s[1] <= cell_rows}
-        large = {g: s for g, s in open_gaps.items() if s[1] > cell_rows}
+    found: dict[str, dict[int, tuple]] = {c: {} for c in wanted}
+    gaps = [_Gap(c, None, None, 0, rows[c], tuple(sorted(set(p)))) for c, p in wanted.items() if rows[c] and len(p)]
+    round_ = 0
+    while gaps:
+        small, large = [g for g in gaps if g.rows <= cell_rows], [g for g in gaps if g.rows > cell_rows]
         if small:
-            found.update(_pick(data, small))
-        open_gaps = _narrow(data, large, cell_rows, found) if large else {}
+            _pick(df, small, found)
+        gaps = _narrow(df, large, found, round_) if large else []
+        round_ += 1
     return found
 
 
-def _in_gap(gap) -> Column:
-    low, high = gap
-    inside = F.lit(True)
-    if low is not None:
-        inside = inside & (F.col("v") > low)
-    if high is not None:
-        inside = inside & (F.col("v") < high)
-    return inside
+def values_at(
+    df: DataFrame, value: str, positions: Sequence[int], rows: int, cell_rows: int = CELL_ROWS
+) -> dict[int, float]:
+    """The values at 0-based ``positions`` of the ascending order of the non-NULL values."""
+    found = select_at(df.select(value), {value: positions}, {value: rows}, cell_rows)[value]
+    return {p: v for p, (v, _, _) in found.items()}
 
 
-def _tag(data: DataFrame, gaps) -> DataFrame:
-    tag = F.coalesce(*[F.when(_in_gap(gap), F.lit(i)) for i, gap in enumerate(gaps)])
-    return data.select("v", tag.alias("gap")).where(F.col("gap").isNotNull())
+def _in_gaps(df: DataFrame, gaps: Sequence[_Gap]) -> DataFrame:
+    """(gap, v) for each value that lies in a gap of its column; rows without one are gone before anything is exploded."""
+    marked = [F.when(g.holds(F.col(g.column)), F.struct(F.lit(i).alias("gap"), F.col(g.column).alias("v"))) for i, g in enumerate(gaps)]
+    if len({g.column for g in gaps}) == 1:
+        return df.select(F.coalesce(*marked).alias("hit")).where(F.col("hit").isNotNull()).select("hit.gap", "hit.v")
+    hits = df.select(F.filter(F.array(*marked), lambda hit: hit.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    return hits.select(F.explode("hits").alias("hit")).select("hit.gap", "hit.v")
 
 
-def _pick(data: DataFrame, gaps) -> dict[int, float]:
-    counted = _tag(data, gaps).groupBy("gap", "v").agg(F.count(F.lit(1)).alias("n"))
+def _pick(df: DataFrame, gaps: Sequence[_Gap], found: dict[str, dict[int, tuple]]) -> None:
+    counted = _in_gaps(df, gaps).groupBy("gap", "v").agg(F.count(F.lit(1)).alias("n"))
     end = F.sum("n").over(Window.partitionBy("gap").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     counted = counted.withColumn("end", end)
-    hits, wanted = [], []
-    for i, (before, _, positions) in enumerate(gaps.values()):
-        for p in positions:
-            here = p - before
-            hits.append((F.col("gap") == i) & (F.col("end") > here) & (F.col("end") - F.col("n") <= here))
-            wanted.append((i, p, here))
-    picked = counted.where(reduce(lambda a, b: a | b, hits)).collect()
-    return {p: r["v"] for i, p, here in wanted for r in picked if r["gap"] == i and r["end"] - r["n"] <= here < r["end"]}
-
-
-def _narrow(data: DataFrame, gaps, cell_rows: int, found: dict[int, float]):
-    tagged = _tag(data, gaps)
-    inside = sum(size for _, size, _ in gaps.values())
-    cuts = _sampled_cuts(tagged, inside, min(-(-inside // cell_rows) + len(gaps), MAX_CUTS))
-    sizes = with_bucket(tagged, "v", cuts, "bucket").groupBy("gap", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    narrower = {}
-    for i, ((low, high), (before, _, positions)) in enumerate(gaps.items()):
-        start = before
-        for bucket, size in sorted((r["bucket"], r["n"]) for r in sizes if r["gap"] == i):
-            here = [p for p in positions if start <= p < start + size]
-            below = bucket // 2
-            if here and bucket % 2 == 0:
-                found.update({p: cuts[below - 1] for p in here})
-            elif here:
-                left = cuts[below - 1] if below and (low is None or cuts[below - 1] > low) else low
-                right = cuts[below] if below < len(cuts) and (high is None or cuts[below] < high) else high
-                narrower[(left, right)] = (start, size, here)
-            start += size
+    begin = F.col("end") - F.col("n")
+    sought = [(i, p, p - g.before) for i, g in enumerate(gaps) for p in g.positions]
+    hits = [(F.col("gap") == i) & (begin <= here) & (F.col("end") > here) for i, _, here in sought]
+    for r in counted.where(reduce(lambda a, b: a | b, hits)).collect():
+        for i, p, here in sought:
+            if r["gap"] == i and r["end"] - r["n"] <= here < r["end"]:
+                found[gaps[i].column][p] = (r["v"], gaps[i].before + r["end"] - r["n"], r["n"])
+
+
+def _brackets(gap: _Gap, sample: list) -> list:
+    """Ends of intervals around the places that the gap's positions should have in a sorted sample of it."""
+    if len(sample) < 8:
+        return sample
+    reach = int(2 * math.sqrt(len(sample)))
+    ends = set()
+    for p in gap.positions:
+        at = (p - gap.before) * len(sample) // gap.rows
+        ends |= {sample[i] for i in (at - reach, at + reach) if 0 <= i < len(sample)}
+    return sorted(ends) or [sample[len(sample) // 2]]
+
+
+def _narrow(df: DataFrame, gaps: Sequence[_Gap], found: dict[str, dict[int, tuple]], seed: int) -> list[_Gap]:
+    share = min(1.0, BRACKET_SAMPLE * len(gaps) / sum(g.rows for g in gaps))
+    samples: list[list] = [[] for _ in gaps]
+    for r in _in_gaps(df, gaps).sample(False, share, 7 + seed).collect():
+        samples[r["gap"]].append(r["v"])
+    ends = [_brackets(g, sorted(s)) for g, s in zip(gaps, samples)]
+    counts = []
+    for i, (g, cuts) in enumerate(zip(gaps, ends)):
+        value, inside = F.col(g.column), g.holds(F.col(g.column))
+        for k, cut in enumerate(cuts):
+            counts += [F.count_if(inside & (value < F.lit(cut))).alias(f"below_{i}_{k}"), F.count_if(inside & (value <= F.lit(cut))).alias(f"upto_{i}_{k}")]
+    counted = df.agg(*counts).first() if counts else None
+    narrower = []
+    for i, (g, cuts) in enumerate(zip(gaps, ends)):
+        low, start = g.low, g.before
+        for k, cut in enumerate([*cuts, None]):
+            below = g.before + (g.rows if cut is None else counted[f"below_{i}_{k}"])
+            upto = below if cut is None else g.before + counted[f"upto_{i}_{k}"]
+            between = tuple(p for p in g.positions if start <= p < below)
+            if between:
+                narrower.append(_Gap(g.column, low, g.high if cut is None else cut, start, below - start, between))
+            found[g.column].update({p: (cut, below, upto - below) for p in g.positions if below <= p < upto})
+            low, start = cut, upto
     return narrower
 
 
@@ -205,38 +248,100 @@ def quantiles(
     ]
 
 
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], fractions: Sequence[Fraction], cell_rows: int = CELL_ROWS
+) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of several numeric columns, all of them in the same passes.
+
+    A first pass counts the values of each column. Up to ``cell_rows`` rows one aggregate takes all quantiles; beyond
+    that ``select_at`` narrows all positions together, so no pass turns rows into one row per column.
+    """
+    doubles = df.select(*[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(columns)])
+    names = doubles.columns
+    counts = doubles.agg(*[F.count(n).alias(n) for n in names]).first().asDict()
+    if max(counts.values(), default=0) <= cell_rows:
+        shares = [F.percentile(n, [k / q for k, q in fractions]).alias(n) for n in names]
+        found = doubles.agg(*shares).first()
+        return {c: list(found[n]) if found[n] is not None else [None] * len(fractions) for c, n in zip(columns, names)}
+    spots = {n: [divmod(k * (counts[n] - 1), q) for k, q in fractions] if counts[n] else [] for n in names}
+    wanted = {n: [p for p, _ in s] + [p + 1 for p, rest in s if rest] for n, s in spots.items()}
+    at = select_at(doubles, wanted, counts, cell_rows)
+    result = {}
+    for c, n in zip(columns, names):
+        value = {p: v for p, (v, _, _) in at[n].items()}
+        between = [value[p] + (value[p + 1] - value[p]) * (rest / q) if rest else value[p] for (p, rest), (_, q) in zip(spots[n], fractions)]
+        result[c] = between or [None] * len(fractions)
+    return result
+
+
 def row_positions(df: DataFrame, keys: Sequence[str], rows: int, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``keys``, which identify rows, with ``position``: 0-based in the order by ``keys``.
+    """``keys``, which identify rows, with ``position``: 0-based in the order by ``keys``; NULLs come first.
 
-    Range partitioning on all keys splits long runs of equal leading keys. The sorted
-    keys are staged because partition bounds come from a sample: one evaluation must
-    serve both the counting and the result.
+    Rows are divided at cut points of the first key, and rows tied at a cut, if they are many, at cut points of the second. Each
+    part is sorted on its own and offset by the rows of the parts before it, of which there are at most a few per cut.
     """
     slim = df.select(*keys)
     if rows <= cell_rows:
         order = Window.partitionBy(F.lit(0)).orderBy(*keys)
         return slim.withColumn("position", F.row_number().over(order).cast("bigint") - 1)
-    parts = -(-rows // cell_rows)
-    mark = F.monotonically_increasing_id()
-    ordered = stage(
-        slim.repartitionByRange(parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("__mark", mark)
-        .withColumn("__part", F.shiftright("__mark", 33).cast("int"))
-        .withColumn("__at", F.col("__mark").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("__mark"),
-        "ordered",
-    )
-    sizes = {r["__part"]: r["n"] for r in ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = _running([sizes.get(part, 0) for part in range(max(sizes) + 1)])
-    start = F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("__part"))
-    return ordered.select(*keys, (start + F.col("__at")).alias("position"))
+    numeric = isinstance(slim.schema[keys[0]].dataType, T.NumericType)
+    divided = with_bucket(slim, keys[0], cut_points(slim, keys[0], rows, cell_rows), "__bucket") if numeric else slim.withColumn("__bucket", F.lit(0))
+    divided = divided.withColumn("__bucket", F.coalesce("__bucket", F.lit(-1)))
+    sizes = _sizes(divided, "__bucket")
+    tied = {b: n for (b,), n in sizes.items() if n > cell_rows and (b < 0 or b % 2 == 0)}  # -1 are NULLs
+    inner = keys[1] if numeric and len(keys) > 1 else keys[0]
+    cell = F.lit(0)
+    if tied:
+        share = min(1.0, SAMPLE_PER_CUT * sum(-(-n // cell_rows) for n in tied.values()) / sum(tied.values()))
+        picked = divided.where(F.col("__bucket").isin(list(tied)) & F.col(inner).isNotNull()).select("__bucket", F.col(inner).alias("k")).sample(False, share, 7)
+        samples: dict[int, list] = {}
+        for r in picked.collect():
+            samples.setdefault(r["__bucket"], []).append(r["k"])
+        for bucket, sample in samples.items():
+            sample.sort()
+            parts = min(-(-tied[bucket] // cell_rows), MAX_CUTS)
+            cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)})
+            if cuts:
+                within = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(inner)))
+                cell = F.when(F.col("__bucket") == bucket, F.when(F.col(inner).isNotNull(), within).otherwise(0)).otherwise(cell)
+    divided = divided.withColumn("__cell", cell)
+    sizes = _sizes(divided, "__bucket", "__cell")
+    cells: dict[int, int] = {}
+    for b, c in sizes:
+        cells[b] = max(cells.get(b, 0), c + 1)
+    buckets = range(-1, max(cells, default=0) + 1)
+    first_cell = _running([cells.get(b, 0) for b in buckets])
+    before = _running([sizes.get((b, c), 0) for b in buckets for c in range(cells.get(b, 0))])
+    at = F.get(F.array(*[F.lit(n) for n in first_cell]), F.col("__bucket") + 1) + F.col("__cell")
+    start = F.get(F.array(*[F.lit(n).cast("bigint") for n in before]), at)
+    number = F.row_number().over(Window.partitionBy("__bucket", "__cell").orderBy(*keys))
+    return divided.select(*keys, (start + number - 1).alias("position"))
+
+
+def _sizes(df: DataFrame, *group: str) -> dict[tuple, int]:
+    return {tuple(r[g] for g in group): r["n"] for r in df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def rows_at(df: DataFrame, keys: Sequence[str], positions: Sequence[int], rows: int, cell_rows: int = CELL_ROWS):
-    """The key tuples at 0-based ``positions`` of the order by ``keys``, which identify rows."""
-    placed = row_positions(df, keys, rows, cell_rows).where(F.col("position").isin(list(positions)))
-    return {r["position"]: tuple(r[k] for k in keys) for r in placed.collect()}
+    """The key tuples at 0-based ``positions`` of the order by ``keys``, which identify rows and are not NULL.
+
+    Nothing is sorted as a whole: the first key's value at a position is selected, then the second's among the rows
+    that share it, and so on.
+    """
+    if rows <= cell_rows:
+        placed = row_positions(df, keys, rows, cell_rows).where(F.col("position").isin(list(positions)))
+        return {r["position"]: tuple(r[k] for k in keys) for r in placed.collect()}
+    groups = {(): (rows, {p: p for p in positions})}  # leading key values -> (rows, {position: position among them})
+    for key in keys:
+        deeper: dict[tuple, tuple[int, dict[int, int]]] = {}
+        for prefix, (size, sought) in groups.items():
+            same = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in zip(keys, prefix)], F.lit(True))
+            found = select_at(df.where(same).select(key), {key: list(sought.values())}, {key: size}, cell_rows)[key]
+            for p, here in sought.items():
+                value, begin, ties = found[here]
+                deeper.setdefault((*prefix, value), (ties, {}))[1][p] = here - begin
+        groups = deeper
+    return {p: prefix for prefix, (_, sought) in groups.items() for p in sought}
 
 
 def not_after(keys: Sequence[str], bound: Sequence) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cvengine import fixed_values as fixed
-from cvengine.operators.order import CELL_ROWS, grouped_quantiles
+from cvengine.operators.order import CELL_ROWS, column_quantiles
 
 NON_NEGATIVE = fixed.VALIDATED_COLUMNS[1:6]
 RESULT = "rule string, level string, violations bigint"
@@ -58,17 +58,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def outlier_bounds(df: DataFrame, columns: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Fences 1.5 quartile ranges outside the quartiles, all columns in one pass."""
-    doubles = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("values"))
-    long = doubles.select(F.posexplode("values").alias("at", "value"))
-    counted = F.array(*[F.count(c) for c in columns])
-    sizes = df.agg(counted.alias("counts")).select(F.posexplode("counts").alias("at", "rows"))
-    wanted = {"q1": (1, 4), "q3": (3, 4)}
-    found = grouped_quantiles(long, ["at"], "value", wanted, sizes, cell_rows)
-    names = F.array(*[F.lit(c) for c in columns])
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    return found.select(names[F.col("at")].alias("column"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+def outlier_bounds(df: DataFrame, columns: list[str], cell_rows: int = CELL_ROWS) -> dict[str, tuple[float, float]]:
+    """Per column with values the fences 1.5 quartile ranges outside the quartiles, all columns in the same passes."""
+    quartiles = column_quantiles(df, columns, [(1, 4), (3, 4)], cell_rows)
+    return {c: (q1 - (q3 - q1) * 1.5, q3 + (q3 - q1) * 1.5) for c, (q1, q3) in quartiles.items() if q1 is not None}
 
 
 def _outlying(df: DataFrame, cell_rows: int) -> Column:
@@ -76,7 +69,7 @@ def _outlying(df: DataFrame, cell_rows: int) -> Column:
     columns = numeric_columns(df)
     if not columns:
         return F.lit(0.0)
-    fences = {r["column"]: (r["low"], r["high"]) for r in outlier_bounds(df, columns, cell_rows).collect()}
+    fences = outlier_bounds(df, columns, cell_rows)
     outside = [
         F.count_if((F.col(c) < F.lit(fences[c][0])) | (F.col(c) > F.lit(fences[c][1]))) for c in columns if c in fences
     ]

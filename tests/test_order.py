@@ -84,3 +84,48 @@ def test_empty_column(spark):
     df = spark.createDataFrame([("a", None)], "id string, v double")
     assert order.quantiles(df, "v", [(1, 2)]) == [None]
     assert order.percent_rank(df, "v", "r", ["id"]).first()["r"] is None
+
+
+@pytest.mark.parametrize("cell_rows", [1_000_000, 60, 9])
+def test_quantiles_of_many_columns(spark, cell_rows):
+    columns = {kind: sample(kind) for kind in KINDS}
+    rows = list(zip(*columns.values()))
+    df = spark.createDataFrame([(*r, None) for r in rows], ", ".join(f"{k} double" for k in [*KINDS, "empty"])).repartition(6)
+    fractions = [(0, 1), (1, 4), (1, 2), (999, 1000), (1, 1)]
+    got = order.column_quantiles(df, [*KINDS, "empty"], fractions, cell_rows)
+    for kind in KINDS:
+        want = pd.Series(columns[kind], dtype="float64").quantile([k / q for k, q in fractions]).tolist()
+        assert got[kind] == pytest.approx(want)
+    assert got["empty"] == [None] * 5
+
+
+@pytest.mark.parametrize("cell_rows", [500, 40, 6])
+def test_selection_of_strings(spark, cell_rows):
+    rng = random.Random(8)
+    words = sorted(rng.choice(["a", "b", "ba", "zz"]) if rng.random() < 0.6 else f"w{rng.randint(0, 300)}" for _ in range(700))
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    found = order.select_at(df, {"w": [0, 5, 350, 699]}, {"w": 700}, cell_rows)["w"]
+    assert found == {p: (words[p], words.index(words[p]), words.count(words[p])) for p in (0, 5, 350, 699)}
+
+
+@pytest.mark.parametrize("cell_rows", [10_000, 60, 11])
+def test_row_positions(spark, cell_rows):
+    values = sample("third_equal")
+    df = frame(spark, values).unionAll(spark.createDataFrame([("none", None), ("nothing", None)], "id string, v double"))
+    placed = order.row_positions(df, ["v", "id"], len(values) + 2, cell_rows)
+    want = sorted([(v is not None, v or 0, i) for v, i in [(None, "none"), (None, "nothing"), *((v, f"id{i:05d}") for i, v in enumerate(values))]])
+    assert [r["id"] for r in placed.orderBy("position").collect()] == [w[2] for w in want]
+    assert [r["position"] for r in placed.orderBy("position").collect()] == list(range(len(want)))
+
+
+def test_selection_sorts_no_table(spark):
+    """No range partitioning and no one-task sort of the data: only counts and the few rows between brackets."""
+    df = frame(spark, sample("spread"))
+    seen = []
+    whole = order.Window.partitionBy
+    try:
+        order.Window.partitionBy = staticmethod(lambda *c: seen.append(c) or whole(*c))
+        order.rows_at(df, ["v", "id"], [10, 500], 600, 50)
+    finally:
+        order.Window.partitionBy = whole
+    assert set(seen) == {("gap",)}
