@@ -9,9 +9,9 @@ from cvengine.functions import scalars
 from cvengine.operators import batches, cleaning, logs, quality, reports
 from cvengine.plans import pipeline
 from cvengine.plans.check_sql import CUST, RAW, SEASON, r6
-from cvengine.plans.registry import day, query, six_digits
+from cvengine.plans.registry import CHECK_SQL, day, query, six_digits
 from cvengine.session import new_path, stage
-from cvengine.sources import readers, schemas, sinks, tables
+from cvengine.sources import readers, retained_log, schemas, sinks, tables
 from cvengine.streaming import action_log
 
 CUSTOMER_COLUMNS = """customer_id, age, total_purchases, round(avg_order_value, 6) AS avg_order_value,
@@ -511,6 +511,59 @@ def log_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return left.groupBy("id").agg(F.count(F.lit(1)).alias("count"))
 
 
+SENT = """e AS (SELECT *, (event_id * 4 // (SELECT max(event_id) + 1 FROM events))::BIGINT AS f FROM events),
+  sent AS (
+    SELECT CASE WHEN event_id % 23 = 0 THEN 3 ELSE f END AS batch, * FROM e
+    UNION ALL SELECT CASE WHEN event_id % 23 = 0 THEN 3 ELSE f END, * FROM e WHERE event_id % 10 = 0
+    UNION ALL SELECT least(f + 1, 3), * FROM e WHERE event_id % 15 = 0),
+  newest AS (
+    SELECT b.batch, max(s.ts) FILTER (s.batch < b.batch AND s.event_id % 50 NOT IN (1, 2)) AS newest
+    FROM (SELECT DISTINCT batch FROM sent) b, sent s GROUP BY b.batch),
+  marked AS (
+    SELECT sent.batch, event_id, event_id % 50 AS flaw, coalesce(ts < newest - INTERVAL 1 DAY, false) AS late, ts
+    FROM sent JOIN newest USING (batch))"""
+
+
+@query(
+    "x2_split_intake",
+    f"""WITH {SENT} SELECT batch, kind, id, count(*) AS count FROM (
+      SELECT batch, CASE WHEN flaw <> 2 THEN event_id::VARCHAR END AS id, CASE WHEN flaw IN (1, 2) THEN 'malformed' WHEN late THEN 'late'
+        WHEN row_number() OVER (PARTITION BY event_id, flaw IN (1, 2), late ORDER BY batch, ts) = 1 THEN 'taken' ELSE 'repeated' END AS kind
+      FROM marked) GROUP BY ALL""",
+)
+def split_intake(spark: SparkSession, folder: str) -> DataFrame:
+    """Four files of actions, with repeats, late ones and lines that are no record, taken in batch by batch; all are in one of the parts."""
+    actions = tables.actions(spark, folder).withColumn("number", F.col("id").cast("bigint"))
+    last = actions.agg(F.max("number") + 1).first()[0]
+    file, number = F.floor(F.col("number") * 4 / F.lit(last)).cast("int"), F.col("number")
+    own = F.when(number % 23 == 0, 3).otherwise(file)
+    sent = actions.withColumn("file", own).unionAll(actions.where(number % 10 == 0).withColumn("file", own))
+    sent = sent.unionAll(actions.where(number % 15 == 0).withColumn("file", F.least(file + 1, F.lit(3))))
+    sent = stage(sent.withColumn("action", F.when(number % 50 != 1, F.col("action"))), "sent")
+    record = F.to_json(F.struct("timestamp", "action", "details", "session_id", "id"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    line = F.when(number % 50 == 2, F.concat(F.lit("{broken "), F.col("id"))).otherwise(record)
+    path = new_path(spark, "incoming")
+    for k in range(4):
+        sent.where(F.col("file") == k).select(line.alias("value")).coalesce(1).write.mode("append").text(path)
+    parts = action_log.split_intake(spark, path, new_path(spark, "intake"), new_path(spark, "intake-progress"), files_per_batch=1)
+    return parts.groupBy("batch", "kind", "id").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("s7_retained_log", CHECK_SQL["s7_most_recent"])
+def kept_on_disk(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest entries of a log on disk after three appends and two compactions."""
+    actions = tables.actions(spark, folder)
+    stored = retained_log.RetainedLog(spark, new_path(spark, "log"), schemas.ACTION)
+    part = F.col("id").cast("bigint") % 3
+    stored.append(actions.where(part == 0))
+    stored.compact()
+    stored.append(actions.where(part == 1))
+    stored.append(actions.where(part == 2))
+    stored.compact()
+    stored.clean()
+    return day(stored.read().select("id", "action", "session_id", "timestamp"), "timestamp")
+
+
 # ---- file round trips ----
 
 @query("s1_s4_csv_round_trip", "SELECT conv_id, turn::INTEGER AS turn, md5(text) AS digest FROM conversations")
