@@ -4,29 +4,34 @@ from __future__ import annotations
 
 import json
 import logging
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
-    Imputer,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
     VectorSlicer,
 )
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from cvengine import fixed_values as fixed
 from cvengine.functions.scalars import finite
 from cvengine.operators.metrics import evaluate, fit_quality
 from cvengine.operators.order import CELL_ROWS
+from cvengine.plans.medians import MedianImputer
 from cvengine.session import stage
+from cvengine.sources.published import announce, digests, latest
 
 log = logging.getLogger(__name__)
 
@@ -103,8 +108,8 @@ def mark_test(df: DataFrame, config: TrainConfig) -> DataFrame:
     return df.withColumns({"is_test": draw < config.test_percent, "fold": fold})
 
 
-def fit_preprocessing(train: DataFrame, columns: list[str]) -> tuple[PipelineModel, list[str]]:
-    """One-hot categories, median imputation, one vector, one scaled vector.
+def fit_preprocessing(train: DataFrame, columns: list[str], cell_rows: int = CELL_ROWS) -> tuple[PipelineModel, list[str]]:
+    """One-hot categories, imputation by exact medians, one vector, one scaled vector.
 
     Labels are indexed in descending order, so the slot to leave out, that of the
     alphabetically first label, is the last one. Unseen and missing labels are all zero.
@@ -116,7 +121,7 @@ def fit_preprocessing(train: DataFrame, columns: list[str]) -> tuple[PipelineMod
     stages, vectors, names = [], [], []
     if numeric:
         filled = [f"{c}__filled" for c in numeric]
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=filled))
+        stages.append(MedianImputer(numeric, filled, cell_rows))
         vectors += filled
         names += numeric
     if categorical:
@@ -240,84 +245,171 @@ class ClvModel:
         )
 
 
+#: The parameter whose smaller values are prefixes of its largest, per learner.
+PREFIX_OF = {"Random_Forest": "numTrees", "Gradient_Boosting": "maxIter"}
+
+
+def _r2_of_prefixes(model, valid: DataFrame, sizes: list[int]) -> dict[int, float]:
+    """R2 on ``valid`` of the ensembles of the first ``sizes`` members of ``model``."""
+    mean_squares = F.avg((F.col(LABEL) - F.col("prediction")) ** 2)
+    spread = valid.agg(F.var_pop(LABEL)).first()[0] or 0.0
+
+    def r2(error: float) -> float:
+        return 1 - error / spread if spread else float("nan")
+
+    if isinstance(model, GBTRegressionModel):
+        errors = model.evaluateEachIteration(valid.select("features", LABEL), "squared")
+        return {n: r2(errors[min(n, len(errors)) - 1]) for n in sizes}
+    found = {}
+    for n in sizes:
+        if n >= model.getNumTrees:
+            scored = model.transform(valid)
+        else:
+            scored = valid
+            for i, tree in enumerate(model.trees[:n]):
+                scored = tree.copy().setPredictionCol(f"tree_{i}").transform(scored)
+            scored = scored.withColumn("prediction", sum((F.col(f"tree_{i}") for i in range(n)), F.lit(0.0)) / n)
+        found[n] = r2(scored.agg(mean_squares).first()[0])
+    return found
+
+
+def search(name: str, estimator, grid: list[dict], train: DataFrame, folds: int, run: Callable) -> tuple[dict, list[float], object]:
+    """(best point, its R2 per fold, the estimator refitted there on all of ``train``); ``run`` maps a function over tasks.
+
+    An ensemble of few members is the beginning of a larger one, so of points that differ in that number only the
+    largest is fitted, and its prefixes are scored; every (point, fold) is a task.
+    """
+    prefix = PREFIX_OF.get(name)
+    families: dict[tuple, list[dict]] = {}
+    for point in grid:
+        rest = tuple(sorted((p.name, v) for p, v in point.items() if p.name != prefix))
+        families.setdefault(rest, []).append(point)
+
+    def size(point: dict) -> int:
+        return next((v for p, v in point.items() if p.name == prefix), 0)
+
+    def score(task: tuple) -> dict[tuple, float]:
+        rest, fold = task
+        points = families[rest]
+        largest = max(points, key=size)
+        model = estimator.copy(largest).fit(train.where(F.col("fold") != fold))
+        valid = train.where(F.col("fold") == fold)
+        sizes = sorted({size(p) for p in points})
+        if len(sizes) > 1:
+            return {(rest, n, fold): r2 for n, r2 in _r2_of_prefixes(model, valid, sizes).items()}
+        value = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(model.transform(valid))
+        return {(rest, sizes[0], fold): value}
+
+    scores: dict[tuple, float] = {}
+    for found in run(score, [(rest, fold) for rest in families for fold in range(folds)]):
+        scores |= found
+    per_point = {
+        (rest, size(point)): ([scores[rest, size(point), fold] for fold in range(folds)], point)
+        for rest, points in families.items()
+        for point in points
+    }
+    values, best = max(per_point.values(), key=lambda found: sum(found[0]))
+    return best, values, estimator.copy(best).fit(train)
+
+
 def train_models(frame: DataFrame, columns: list[str], config: TrainConfig, cell_rows: int = CELL_ROWS) -> ClvModel:
     """Fit, search and evaluate every regressor. ``frame`` comes from ``model_input``.
 
-    The vectors are staged once; every fit, fold and evaluation reads them from there.
+    The vectors are staged once; every fit, fold and evaluation reads them from there. Models, points and folds share
+    one pool of ``config.parallelism`` concurrent fits.
     """
-    marked = mark_test(frame, config)
-    preprocessing, names = fit_preprocessing(marked.where(~F.col("is_test")), columns)
+    spark = frame.sparkSession
+    marked = stage(mark_test(frame, config), "marked")
+    rows = marked.count()
+    preprocessing, names = fit_preprocessing(marked.where(~F.col("is_test")), columns, cell_rows)
     vectors = preprocessing.transform(marked).select(ID, "features", "scaled", LABEL, "is_test", "fold")
-    ready = stage(vectors.coalesce(max(1, frame.count() // VECTOR_ROWS)), "vectors")
+    parts = max(spark.sparkContext.defaultParallelism, rows // VECTOR_ROWS)
+    ready = stage(vectors.repartition(parts, ID), "vectors")
     train, test = ready.where(~F.col("is_test")), ready.where("is_test")
-    models, performance, failures = {}, [], {}
-    for name, (estimator, grid, scaled) in regressors(config).items():
-        if name not in config.models:
-            continue
+    chosen = {n: r for n, r in regressors(config).items() if n in config.models}
+    fits, comparisons = ThreadPool(config.parallelism), ThreadPool(max(1, len(chosen)))
+
+    def run(function: Callable, tasks: list) -> list:
+        return fits.map(inheritable_thread_target(spark)(function), tasks)
+
+    def compare(name: str) -> tuple:
+        estimator, grid, scaled = chosen[name]
         try:
-            search = CrossValidator(
-                estimator=estimator,
-                estimatorParamMaps=grid,
-                evaluator=RegressionEvaluator(labelCol=LABEL, metricName="r2"),
-                numFolds=config.folds,
-                foldCol="fold",
-                parallelism=config.parallelism,
-            ).fit(train)
-            model = search.bestModel
-            at = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
+            best, folds, model = search(name, estimator, grid, train, config.folds, run)
             pairs = [F.col(ID), F.col(LABEL).alias("actual"), F.col("prediction").alias("predicted")]
             on_train = fit_quality(model.transform(train).select(*pairs)).first()
             on_test = evaluate(stage(model.transform(test).select(*pairs), "predictions"), cell_rows).first()
         except Exception as error:  # one failing model does not end the comparison
             log.error("training %s failed: %s", name, error)
-            failures[name] = str(error)
-            continue
-        models[name] = model
-        performance.append(
-            {
-                "model": name,
-                "best_params": json.dumps({p.name: v for p, v in sorted(grid[at].items(), key=lambda x: x[0].name)}),
-                "train_r2": on_train["r2"],
-                "test_r2": on_test["r2"],
-                "train_rmse": on_train["rmse"],
-                "test_rmse": on_test["rmse"],
-                "test_mae": on_test["mae"],
-                "test_mape": 999.0 if on_test["mape"] is None else on_test["mape"],
-                "ranking_correlation": on_test["ranking_correlation"],
-                "top_10_precision": on_test["top_10_precision"],
-                "cv_r2_mean": float(search.avgMetrics[at]),
-                "cv_r2_std": float(search.stdMetrics[at]),
-                "needs_scaling": scaled,
-            }
-        )
+            return None, str(error)
+        mean = sum(folds) / len(folds)
+        return model, {
+            "model": name,
+            "best_params": json.dumps({p.name: v for p, v in sorted(best.items(), key=lambda x: x[0].name)}),
+            "train_r2": on_train["r2"],
+            "test_r2": on_test["r2"],
+            "train_rmse": on_train["rmse"],
+            "test_rmse": on_test["rmse"],
+            "test_mae": on_test["mae"],
+            "test_mape": 999.0 if on_test["mape"] is None else on_test["mape"],
+            "ranking_correlation": on_test["ranking_correlation"],
+            "top_10_precision": on_test["top_10_precision"],
+            "cv_r2_mean": mean,
+            "cv_r2_std": (sum((f - mean) ** 2 for f in folds) / len(folds)) ** 0.5,
+            "needs_scaling": scaled,
+        }
+
+    try:
+        results = dict(zip(chosen, comparisons.map(inheritable_thread_target(spark)(compare), list(chosen))))
+    finally:
+        fits.close()
+        comparisons.close()
+    models = {n: model for n, (model, _) in results.items() if model is not None}
+    performance = [found for model, found in results.values() if model is not None]
+    failures = {n: found for n, (model, found) in results.items() if model is None}
     if not performance:
         raise RuntimeError(f"no model could be trained: {failures}")
     best = max(performance, key=lambda r: r["test_r2"])["model"]
     return ClvModel(preprocessing, columns, names, models, best, performance, failures)
 
 
-def save_model(model: ClvModel, spark: SparkSession, path: str) -> None:
-    """Preprocessing, each regressor and a one-row manifest under ``path``."""
-    model.preprocessing.write().overwrite().save(f"{path}/preprocessing")
+def save_model(model: ClvModel, spark: SparkSession, path: str) -> int:
+    """Publish the model under ``path`` as its next version and return the number.
+
+    Preprocessing and regressors are written to a folder of their own. The manifest, with the digest of every file, is announced
+    last; until then readers see the version before, and a save that is killed leaves a folder nobody reads.
+    """
+    parts = f"parts/{uuid.uuid4().hex}"
+    model.preprocessing.write().save(f"{path}/{parts}/preprocessing")
     for name, fitted in model.models.items():
-        PipelineModel(stages=[fitted]).write().overwrite().save(f"{path}/models/{name}")
+        PipelineModel(stages=[fitted]).write().save(f"{path}/{parts}/models/{name}")
     manifest = {
+        "parts": parts,
+        "digests": digests(spark, f"{path}/{parts}"),
         "columns": model.columns,
         "feature_names": model.feature_names,
         "models": list(model.models),
         "best_name": model.best_name,
         "performance": model.performance,
     }
-    spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/manifest"
-    )
+    number = latest(spark, f"{path}/versions")[0] + 1
+    announce(spark, f"{path}/versions", number, manifest)
+    return number
 
 
 def load_model(spark: SparkSession, path: str) -> ClvModel:
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    models = {n: PipelineModel.load(f"{path}/models/{n}").stages[0] for n in manifest["models"]}
+    """The last published version; a file that is missing or differs from the manifest is an error."""
+    number, manifest = latest(spark, f"{path}/versions")
+    if not number:
+        raise ValueError(f"no model has been published under {path}")
+    parts = f"{path}/{manifest['parts']}"
+    present = digests(spark, parts)
+    wrong = sorted(f for f, digest in manifest["digests"].items() if present.get(f) != digest)
+    if wrong:
+        raise ValueError(f"version {number} of the model is damaged: {', '.join(wrong[:5])}")
+    models = {n: PipelineModel.load(f"{parts}/models/{n}").stages[0] for n in manifest["models"]}
     return ClvModel(
-        PipelineModel.load(f"{path}/preprocessing"),
+        PipelineModel.load(f"{parts}/preprocessing"),
         manifest["columns"],
         manifest["feature_names"],
         models,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -812,14 +816,61 @@ def leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     return model.leaderboard(spark)
 
 
-@query("m2_m3_preprocessing")
+HOLED = f"""{CUST},
+  holed AS (
+    SELECT customer_id, ('0x' || substr(md5('42|' || customer_id), 1, 8))::BIGINT % 100 < 20 AS is_test,
+      CASE WHEN age % 9 <> 0 THEN age END::DOUBLE AS age, total_purchases::DOUBLE AS total_purchases,
+      CASE WHEN customer_id::BIGINT % 13 <> 0 THEN avg_order_value END AS avg_order_value,
+      days_since_first_purchase::DOUBLE AS days_since_first_purchase, days_since_last_purchase::DOUBLE AS days_since_last_purchase,
+      acquisition_channel, location, CASE WHEN customer_id::BIGINT % 17 <> 0 THEN subscription_status END AS subscription_status
+    FROM cust),
+  middle AS (SELECT median(age) AS age, median(avg_order_value) AS value, min(acquisition_channel) AS channel,
+    min(location) AS location, min(subscription_status) AS status FROM holed WHERE NOT is_test)"""
+
+
+def holed_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer summaries in which some ages, values and statuses are missing or infinite."""
+    number = F.col("customer_id").cast("bigint")
+    return split.summary_target(tables.customers(spark, folder)).withColumns(
+        {
+            "age": F.when(F.col("age") % 9 != 0, F.col("age")),
+            "avg_order_value": F.when(number % 13 == 0, F.lit(float("inf"))).otherwise(F.col("avg_order_value")),
+            "subscription_status": F.when(number % 17 != 0, F.col("subscription_status")),
+        }
+    )
+
+
+@query(
+    "m2_m3_preprocessing",
+    f"""WITH {HOLED} SELECT customer_id, coalesce(h.age, m.age) AS age, total_purchases,
+      round(coalesce(avg_order_value, value), 6) AS avg_order_value, days_since_first_purchase, days_since_last_purchase,
+      concat_ws('|', CASE WHEN acquisition_channel <> channel THEN 'acquisition_channel_' || acquisition_channel END,
+        CASE WHEN h.location <> m.location THEN 'location_' || h.location END,
+        CASE WHEN subscription_status <> status THEN 'subscription_status_' || subscription_status END) AS ones
+      FROM holed h, middle m""",
+)
 def preprocessing(spark: SparkSession, folder: str) -> DataFrame:
-    """One-hot, imputed and scaled vectors of customer summaries."""
+    """Vectors of customer summaries with holes by a pipeline fitted on the training rows, saved and loaded again."""
+    table = holed_customers(spark, folder)
+    columns = modeling.feature_columns(table)
+    ready = stage(modeling.mark_test(modeling.model_input(table, columns, "predicted_clv"), modeling.TrainConfig()), "input")
+    fitted, names = modeling.fit_preprocessing(ready.where(~F.col("is_test")), columns, cell_rows=500)
+    path = new_path(spark, "preprocessing")
+    fitted.write().save(path)
+    values = vector_to_array("features")
+    numeric = [c for c in columns if c in names]
+    ones = [F.when(F.get(values, F.lit(i)) == 1, F.lit(n)) for i, n in enumerate(names) if n not in numeric]
+    filled = [F.get(values, F.lit(i)).alias(c) for i, c in enumerate(numeric)]
+    return six_digits(PipelineModel.load(path).transform(ready).select("customer_id", *filled, F.concat_ws("|", *ones).alias("ones")))
+
+
+@query("m11_wide_search")
+def wide_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaderboard of the larger grids over customer summaries."""
     table = split.summary_target(tables.customers(spark, folder))
     columns = modeling.feature_columns(table)
-    ready = modeling.model_input(table, columns, "predicted_clv")
-    fitted, _ = modeling.fit_preprocessing(stage(ready, "input"), columns)
-    return fitted.transform(ready).select("customer_id", F.col("features").cast("string").alias("features"))
+    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, modeling.wide_search())
+    return model.leaderboard(spark)
 
 
 @query(
@@ -843,22 +894,26 @@ def importance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "m16_s8_saved_model_scores",
-    f"""WITH {CUST} SELECT customer_id, true AS same_value, true AS enriched FROM cust""",
+    f"""WITH {CUST} SELECT customer_id, model, true AS same_value, true AS enriched FROM cust,
+    (VALUES ('Linear_Regression'), ('Ridge_Regression'), ('Random_Forest'), ('Gradient_Boosting')) AS m(model)""",
 )
 def saved_model_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Fit on customer summaries, save, load and score all customers; each score against that before saving."""
+    """All four models fitted on customer summaries, published twice, loaded and scored; each value against that before saving."""
     table = stage(split.summary_target(tables.customers(spark, folder)), "training")
     columns = modeling.feature_columns(table)
-    config = modeling.TrainConfig(models=("Linear_Regression", "Ridge_Regression"))
-    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, config)
+    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, modeling.TrainConfig())
     path = new_path(spark, "model")
     modeling.save_model(model, spark, path)
-    before = model.predict(table).select("customer_id", F.col("predicted_clv").alias("before"))
-    after = pipeline.score(table, modeling.load_model(spark, path))
-    enriched = F.col("customer_segment").isNotNull() & F.col("percentile_rank").between(0, 100) & F.col("churn_risk").isNotNull()
-    return after.join(before, "customer_id").select(
-        "customer_id", (F.abs(F.col("predicted_clv") - F.col("before")) <= 1e-9 * F.abs("before")).alias("same_value"), enriched.alias("enriched")
-    )
+    modeling.save_model(model, spark, path)
+    loaded = modeling.load_model(spark, path)
+    parts = []
+    for name in model.models:
+        before = model.predict(table, name).select("customer_id", F.col("predicted_clv").alias("before"))
+        after = scoring.enrich(stage(loaded.predict(table, name), "predicted"), on_ties="merge")
+        enriched = F.col("customer_segment").isNotNull() & F.col("percentile_rank").between(0, 100) & F.col("churn_risk").isNotNull()
+        same = F.abs(F.col("predicted_clv") - F.col("before")) <= 1e-9 * F.abs("before")
+        parts.append(after.join(before, "customer_id").select("customer_id", F.lit(name).alias("model"), same.alias("same_value"), enriched.alias("enriched")))
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query(

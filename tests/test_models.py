@@ -25,7 +25,7 @@ def test_one_hot_drops_first_label_and_zeroes_unseen(spark):
     assert names == ["age", "location_c", "location_b"]
     probe = spark.createDataFrame([("5", "z", 2.0), ("6", None, None), ("7", "b", 9.0)], df.schema)
     vectors = [r[0].toArray().tolist() for r in fit.transform(modeling.model_input(probe, ["age", "location"])).orderBy("customer_id").select("features").collect()]
-    assert vectors == [[2.0, 0.0, 0.0], [1.0, 0.0, 0.0], [9.0, 0.0, 1.0]]
+    assert vectors == [[2.0, 0.0, 0.0], [2.0, 0.0, 0.0], [9.0, 0.0, 1.0]]
 
 
 def test_split_is_stable(customers):
