@@ -21,8 +21,10 @@ ROTATION_ROUNDS = 30
 #: Pairs at the cosine threshold that are made up from the sample to choose the number of tables, and the share that these may miss.
 PLANTED, MISS = 4000, 0.003
 #: Vectors that share the value of a whole substring on average.
-BUCKET_ROWS = 16
+BUCKET_ROWS = 64
 BLOCK_ROWS = 2048
+#: Buckets of a unit up to this size are compared together, larger ones strip by strip.
+SMALL_BUCKET = 256
 UNIT_ROWS = 32_768
 #: Up to so many distinct vectors of a length are compared without tables.
 FEW_ROWS = 1000
@@ -94,18 +96,15 @@ class Tables:
         others = ~(np.uint64(1) << np.arange(self.bits, dtype=np.uint64))
         return np.concatenate([self.substring(codes, t)[:, None] & others for t in range(self.tables)], axis=1).astype(np.int64)
 
-    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of all pairs the bits that differ."""
-        return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1]))
-
-    def first_meeting(self, a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
-        """Of pairs that share key ``at``, whether it is the first they share."""
-        t, bit = divmod(at, self.bits)
+    def first_meeting(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of pairs that share the keys ``at``, whether it is the first they share."""
+        table, bit = np.divmod(at, self.bits)
         differ = a ^ b
         first = np.ones(len(a), bool)
-        for earlier in range(t):
-            first &= np.bitwise_count(self.substring(differ, earlier)) > 1
-        return first if bit == 0 else first & (self.substring(differ, t) != 0)
+        for t in range(self.tables):
+            part = self.substring(differ, t)
+            first &= np.where(t < table, np.bitwise_count(part) > 1, (t > table) | (bit == 0) | (part != 0))
+        return first
 
 
 def substring_bits(rows: int, dimension: int) -> int:
@@ -161,42 +160,52 @@ def _coded(classes: DataFrame, learned: dict[int, Tables]) -> DataFrame:
     return classes.select("class", "width", "vector").mapInPandas(add, "class long, width int, codes array<long>, keys array<long>")
 
 
-def _buckets(rows: pd.DataFrame) -> Iterator[tuple[slice, int, int]]:
-    """(rows, width, table and bit) of each bucket of a unit; rows are sorted by bucket."""
-    width, at, key = (rows[c].to_numpy() for c in ("width", "at", "key"))
-    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (width[1:] != width[:-1])])
-    for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
-        if b - a > 1:
-            yield slice(a, b), int(width[a]), int(at[a])
+def _near_codes(rows: pd.DataFrame, learned: dict[int, Tables]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, as positions, that share a bucket, have near codes and share no earlier key; rows are sorted by bucket."""
+    width, at, key, own = (rows[c].to_numpy() for c in ("width", "at", "key", "__own"))
+    codes = _words(rows["codes"])
+    left, right = int(rows["__left"].iat[0]), int(rows["__right"].iat[0])
 
+    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for w in np.unique(width[i]):
+            some = width[i] == w
+            tables = learned.get(int(w))
+            if tables is not None:
+                some[some] = np.bitwise_count(codes[i[some]] ^ codes[j[some]]).sum(axis=1) <= tables.reach
+                some[some] = tables.first_meeting(codes[i[some]], codes[j[some]], at[i[some]])
+            yield i[some], j[some]
 
-def _near_codes(rows: pd.DataFrame, learned: dict[int, Tables], codes: np.ndarray, own: np.ndarray, here: slice, width: int, at: int):
-    """Pairs of a bucket, strip by strip, whose codes are near and that share no earlier key: positions in the bucket."""
-    left, right = int(rows["__left"].iat[0]), int(rows["__right"].iat[0])
-    size, tables = here.stop - here.start, learned.get(width)
-    for start in range(0, size, 512):
-        strip = slice(start, min(size, start + 512))
-        mask = pair_mask(left, right, own[here], strip, slice(start, size))
-        if tables is not None:
-            mask &= tables.distances(codes[here][strip], codes[here][start:]) <= tables.reach
-        i, j = np.nonzero(mask)
-        i, j = i + start, j + start
-        if tables is not None:
-            first = tables.first_meeting(codes[here][i], codes[here][j], at)
-            i, j = i[first], j[first]
-        yield i, j
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (width[1:] != width[:-1])])
+    sizes = np.diff(np.r_[starts, len(rows)])
+    end = np.repeat(starts + sizes, sizes)
+    here = np.flatnonzero(np.repeat((sizes <= SMALL_BUCKET) & (sizes > 1), sizes))
+    if left != right or left >= 0:  # a block, or two, of one hot bucket
+        here = here[:0]
+    step = 1
+    while here.size:
+        here = here[here + step < end[here]]
+        yield from near(here, here + step)
+        step += 1
+    for a, size in zip(starts, sizes):
+        if size > SMALL_BUCKET or (size > 1 and (left != right or left >= 0)):
+            for start in range(0, size, 512):
+                strip, rest = slice(start, min(size, start + 512)), slice(start, size)
+                i, j = np.nonzero(pair_mask(left, right, own[a : a + size], strip, rest))
+                for some in np.array_split(np.arange(i.size), max(1, i.size >> 18)):
+                    yield from near(a + start + i[some], a + start + j[some])
+
+
+def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["width", "at", "key", "class"], ignore_index=True)
 
 
 def _meeting(learned: dict[int, Tables]):
     """Per unit the (width, at, key, class) of rows with a near code in that bucket."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["width", "at", "key", "class"], ignore_index=True)
-        codes = _words(rows["codes"])
-        own, hit = rows["__own"].to_numpy(), np.zeros(len(rows), bool)
-        for here, width, at in _buckets(rows):
-            for i, j in _near_codes(rows, learned, codes, own, here, width, at):
-                hit[here.start + i] = hit[here.start + j] = True
+        rows, hit = _sorted(rows), np.zeros(len(rows), bool)
+        for i, j in _near_codes(rows, learned):
+            hit[i] = hit[j] = True
         return rows.loc[hit, ["width", "at", "key", "class"]]
 
     return meet
@@ -212,31 +221,43 @@ def _compare(min_cosine: float, learned: dict[int, Tables]):
     """Per unit: for each vector with links found here its links, counted with copies, and a spanning forest."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["width", "at", "key", "class"], ignore_index=True)
-        ids, copies, own = rows["class"].to_numpy(), rows["copies"].to_numpy(np.int64), rows["__own"].to_numpy()
-        codes = _words(rows["codes"])
-        out = []
-        for here, width, at in _buckets(rows):
-            vectors = unit_rows(rows["vector"].iloc[here])
-            size = here.stop - here.start
-            links, roots = np.zeros(size, np.int64), np.arange(size)
-            for i, j in _near_codes(rows, learned, codes, own, here, width, at):
-                near = np.zeros(i.size, bool)
-                for some in np.array_split(np.arange(i.size), max(1, i.size * width >> 22)):
-                    near[some] = (vectors[i[some]] * vectors[j[some]]).sum(axis=1) >= min_cosine
-                i, j = i[near], j[near]
-                np.add.at(links, i, copies[here][j])
-                np.add.at(links, j, copies[here][i])
-                kept = np.flatnonzero(roots != np.arange(size))
-                roots = forest(size, np.r_[kept, i], np.r_[roots[kept], j])
-            found = np.flatnonzero(links)
-            out.append(np.stack([ids[here][found], ids[here][roots[found]], links[found]]))
-        result = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pd.DataFrame({"a": result[0], "b": result[1], "links": result[2]})
+        rows = _sorted(rows)
+        ids, copies = rows["class"].to_numpy(), rows["copies"].to_numpy(np.int64)
+        vectors, longest = _padded(rows["vector"])
+        links, roots = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        held, size = [], 0
+
+        def join() -> None:
+            nonlocal roots, held, size
+            kept = np.flatnonzero(roots != np.arange(len(rows)))
+            roots = forest(len(rows), np.concatenate([kept, *(i for i, _ in held)]), np.concatenate([roots[kept], *(j for _, j in held)]))
+            held, size = [], 0
+
+        for i, j in _near_codes(rows, learned):
+            for some in np.array_split(np.arange(i.size), max(1, i.size * longest >> 22)):
+                near = some[(vectors[i[some]] * vectors[j[some]]).sum(axis=1) >= min_cosine]
+                np.add.at(links, i[near], copies[j[near]])
+                np.add.at(links, j[near], copies[i[near]])
+                held.append((i[near], j[near]))
+                size += near.size
+            if size > 1 << 18:
+                join()
+        join()
+        found = np.flatnonzero(links)
+        return pd.DataFrame({"a": ids[found], "b": ids[roots[found]], "links": links[found]})
 
     return compare
 
 
+def _padded(vectors: pd.Series) -> tuple[np.ndarray, int]:
+    """Vectors of length one as rows, shorter ones filled with zeros, and the width."""
+    widths = vectors.map(len).to_numpy()
+    rows = np.zeros((len(vectors), widths.max()))
+    for width in np.unique(widths):
+        rows[widths == width, :width] = unit_rows(vectors[widths == width])
+    return rows, rows.shape[1]
+
+
 def _worked(entries: DataFrame) -> DataFrame:
     """Entries of buckets that hold two or more, with their unit of work."""
     bucket = ["width", "at", "key"]
