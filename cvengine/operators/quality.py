@@ -92,10 +92,43 @@ def completeness(df: DataFrame) -> DataFrame:
     return df.agg(_complete(df).alias("completeness"))
 
 
+def _canonical(value: Column, kind: T.DataType) -> Column:
+    """``value`` so that equal values have one form: one NaN, no -0.0, entries of maps in the order of their keys.
+
+    Times become text, since JSON would cut them at milliseconds.
+    """
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(F.isnan(value), F.lit(float("nan"))).otherwise(value + F.lit(0.0).cast(kind))
+    if isinstance(kind, T.MapType):
+        pair = lambda e: F.struct(_canonical(e["key"], kind.keyType).alias("k"), _canonical(e["value"], kind.valueType).alias("v"))
+        return F.array_sort(F.transform(F.map_entries(value), pair))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _canonical(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[_canonical(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind)])
+        return F.when(value.isNotNull(), fields)
+    if isinstance(kind, (T.DatetimeType, T.DayTimeIntervalType, T.YearMonthIntervalType)):
+        return value.cast("string")
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return value
+
+
+def row_digest(df: DataFrame) -> Column:
+    """16 bytes that are equal for equal rows, whatever the columns' types: a digest of the row's canonical JSON."""
+    if not df.columns:
+        return F.lit(b"")
+    cells = [_canonical(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)]
+    return F.unhex(F.md5(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})))
+
+
 def duplicate_rate(df: DataFrame) -> DataFrame:
-    """Percentage of rows that repeat an earlier identical row."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__rows"))
-    rows = F.sum("__rows")
+    """Percentage of rows that repeat an earlier identical row; maps and variants are compared by content.
+
+    Only a digest of each row is shuffled.
+    """
+    groups = df.select(row_digest(df).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.sum("rows")
     return groups.agg((F.try_divide(rows - F.count(F.lit(1)), rows) * 100).alias("duplicate_rate"))
 
 

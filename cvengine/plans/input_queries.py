@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cvengine.functions import scalars
@@ -350,9 +350,9 @@ def input_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return six_digits(reports.input_tiles(tables.customers(spark, folder)), avg_order_value=4)
 
 
-def _newest(log: DataFrame):
-    """The newest time in the log as one row beside every entry."""
-    return log.crossJoin(F.broadcast(log.agg(F.max("timestamp").alias("asof"))))
+def _newest(log: DataFrame) -> Column:
+    """The newest time in the log, as a literal that a scan can filter by."""
+    return F.lit(log.agg(F.max("timestamp")).first()[0])
 
 
 @query(
@@ -380,7 +380,7 @@ def action_details(spark: SparkSession, folder: str) -> DataFrame:
 )
 def action_summary(spark: SparkSession, folder: str) -> DataFrame:
     log = tables.actions(spark, folder).select("timestamp")
-    return logs.action_summary(_newest(log), F.col("asof"))
+    return logs.action_summary(log, _newest(log))
 
 
 @query(
@@ -400,7 +400,8 @@ RATING = "CASE WHEN event_id % 7 <> 0 THEN 1 + event_id % 5 END"
     count(*) FILTER (ts > (SELECT max(ts) FROM events) - INTERVAL 168 HOUR) AS this_week FROM events""",
 )
 def feedback_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return six_digits(logs.feedback_summary(_newest(tables.feedback(spark, folder)), F.col("asof")))
+    log = tables.feedback(spark, folder)
+    return six_digits(logs.feedback_summary(log, _newest(log)))
 
 
 @query(
@@ -418,8 +419,8 @@ def request_summary(spark: SparkSession, folder: str) -> DataFrame:
     WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 168 HOUR""",
 )
 def trailing_week(spark: SparkSession, folder: str) -> DataFrame:
-    log = _newest(tables.feedback(spark, folder))
-    return logs.trailing(log, F.col("asof"), 24 * 7).select("id", "feedback_type")
+    log = tables.feedback(spark, folder)
+    return logs.trailing(log, _newest(log), 24 * 7).select("id", "feedback_type")
 
 
 @query(
@@ -437,7 +438,7 @@ def feedback_display(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT strftime(ts, '%Y-%m-%d %H:%M') AS "Date", 'request ' || event_id AS "Title",
     CASE event_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS "Priority",
     event_type AS "Category", CASE WHEN event_id % 4 = 0 THEN 'Completed' ELSE 'Pending' END AS "Status",
-    'user' || user_id || '@example.com' AS "Email" FROM events""",
+    'user' || user_id || '@example.com' AS "Email" FROM events ORDER BY ts DESC, event_id::VARCHAR""",
 )
 def requests_newest_first(spark: SparkSession, folder: str) -> DataFrame:
     return logs.request_display(logs.newest_first(tables.feature_requests(spark, folder)))
@@ -564,6 +565,63 @@ def kept_on_disk(spark: SparkSession, folder: str) -> DataFrame:
     return day(stored.read().select("id", "action", "session_id", "timestamp"), "timestamp")
 
 
+@query(
+    "c5_c6_rejected_cells",
+    f"""WITH {CUST},
+      bad AS (
+        SELECT customer_id, 'age' AS "column", age || ' years' AS raw, 'missing' AS becomes FROM cust WHERE age % 8 = 0
+        UNION ALL SELECT customer_id, 'total_purchases', 'many', 'zero' FROM cust WHERE customer_id::BIGINT % 11 = 0
+        UNION ALL SELECT customer_id, 'days_since_last_purchase', '1O', 'zero' FROM cust WHERE customer_id::BIGINT % 6 = 1),
+      cleaned AS (
+        SELECT customer_id, CASE WHEN age % 8 <> 0 THEN age END::DOUBLE AS age,
+          CASE WHEN customer_id::BIGINT % 11 <> 0 AND customer_id::BIGINT % 5 <> 0 THEN total_purchases ELSE 0 END::DOUBLE AS total_purchases,
+          CASE WHEN customer_id::BIGINT % 6 <> 1 THEN days_since_last_purchase ELSE 0 END::DOUBLE AS days_since_last_purchase FROM cust)
+    SELECT customer_id AS id, "column", raw, becomes, age, total_purchases, days_since_last_purchase
+    FROM cleaned LEFT JOIN bad USING (customer_id)""",
+)
+def rejected_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as text with cells that are no number: the cleaned numbers, and beside them each cell that was replaced."""
+    text = tables.customers(spark, folder)
+    text = text.withColumns({c: F.col(c).cast("string") for c in text.columns})
+    number = F.col("customer_id").cast("bigint")
+    flawed = text.withColumns(
+        {
+            "age": F.when(F.col("age").cast("bigint") % 8 == 0, F.concat("age", F.lit(" years"))).otherwise(F.col("age")),
+            "total_purchases": F.when(number % 11 == 0, "many").when(number % 5 == 0, " ").otherwise(F.col("total_purchases")),
+            "days_since_last_purchase": F.when(number % 6 == 1, "1O").otherwise(F.col("days_since_last_purchase")),
+        }
+    )
+    cleaned, ledger = cleaning.clean_customers_with_ledger(flawed)
+    rows = cleaned.select(F.col("customer_id").alias("id"), "age", "total_purchases", "days_since_last_purchase")
+    return rows.join(ledger, "id", "left")
+
+
+@query(
+    "u4_log_duplicates",
+    """SELECT round((sum(n) - count(*))::DOUBLE / sum(n) * 100, 6) AS duplicate_rate FROM (
+      SELECT count(*) AS n FROM events GROUP BY ts::DATE, event_type, json_extract_string(props, '$.k'))""",
+)
+def log_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated entries of a day in the action log, whose details are a map."""
+    log = tables.actions(spark, folder).select(F.to_date("timestamp").alias("day"), "action", "details")
+    return six_digits(quality.duplicate_rate(log))
+
+
+@query("t7_preview", f"WITH {CUST} SELECT {CUSTOMER_COLUMNS} FROM cust ORDER BY customer_id LIMIT 5")
+def preview(spark: SparkSession, folder: str) -> DataFrame:
+    return six_digits(reports.preview(tables.customers(spark, folder).orderBy("customer_id")))
+
+
+@query(
+    "fn_title_words",
+    """SELECT p_partkey, array_to_string(list_transform(string_split(lower(replace(p_type, '_', ' ')), ' '),
+      lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part""",
+)
+def title_words(spark: SparkSession, folder: str) -> DataFrame:
+    parts = tables.table(spark, folder, "part")
+    return parts.select("p_partkey", scalars.title_words(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("title"))
+
+
 # ---- file round trips ----
 
 @query("s1_s4_csv_round_trip", "SELECT conv_id, turn::INTEGER AS turn, md5(text) AS digest FROM conversations")

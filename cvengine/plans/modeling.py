@@ -36,8 +36,8 @@ from cvengine.sources.published import announce, digests, latest
 log = logging.getLogger(__name__)
 
 ID, LABEL = "customer_id", "label"
-#: Rows of a partition of vectors: small tables are trained in few tasks.
-VECTOR_ROWS = 50_000
+#: Rows of a partition of vectors at most, and at least where that leaves cores idle: a job on fewer is all overhead.
+VECTOR_ROWS, LEAST_ROWS = 50_000, 1000
 
 
 @dataclass
@@ -323,7 +323,7 @@ def train_models(frame: DataFrame, columns: list[str], config: TrainConfig, cell
     rows = marked.count()
     preprocessing, names = fit_preprocessing(marked.where(~F.col("is_test")), columns, cell_rows)
     vectors = preprocessing.transform(marked).select(ID, "features", "scaled", LABEL, "is_test", "fold")
-    parts = max(spark.sparkContext.defaultParallelism, rows // VECTOR_ROWS)
+    parts = max(1, min(spark.sparkContext.defaultParallelism, rows // LEAST_ROWS), rows // VECTOR_ROWS)
     ready = stage(vectors.repartition(parts, ID), "vectors")
     train, test = ready.where(~F.col("is_test")), ready.where("is_test")
     chosen = {n: r for n, r in regressors(config).items() if n in config.models}

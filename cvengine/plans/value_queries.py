@@ -686,7 +686,7 @@ def value_by_subscription(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "a15_r3_segment_counts",
-    f"WITH {SCORED} SELECT customer_segment, count(*) AS count FROM scored GROUP BY customer_segment",
+    f"WITH {SCORED} SELECT customer_segment, count(*) AS count FROM scored GROUP BY customer_segment ORDER BY 2 DESC, 1",
 )
 def segment_counts(spark: SparkSession, folder: str) -> DataFrame:
     return reports.segment_counts(scored(spark, folder))

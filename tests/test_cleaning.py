@@ -101,3 +101,50 @@ def test_empty_text(spark):
 def test_non_finite_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-0.0,), (2.0,)], "v double")
     assert [r[0] for r in df.select(scalars.finite(F.col("v"))).collect()] == [None, None, 0.0, 2.0]
+
+
+def test_ledger_of_rejected_cells(spark):
+    rows = [("a", "12", "3", "1.5", "10", "2", "2024-01-01"), ("b", "x", "", None, "1e999", " 7 ", "soon"), ("c", None, "two", "NaN", "5", "9", " ")]
+    names = "Customer ID,age,total_purchases,avg_order_value,days_since_first_purchase,days_since_last_purchase,invoice_date".split(",")
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    cleaned, ledger = cleaning.clean_customers_with_ledger(df)
+    got = sorted((r["id"], r["column"], r["raw"], r["becomes"]) for r in ledger.collect())
+    assert got == [
+        ("b", "age", "x", "missing"),
+        ("b", "days_since_first_purchase", "1e999", "zero"),
+        ("b", "invoice_date", "soon", "dropped row"),
+        ("c", "avg_order_value", "NaN", "zero"),
+        ("c", "total_purchases", "two", "zero"),
+    ]
+    assert sorted(cleaned.collect()) == sorted(cleaning.clean_customers(df).select(cleaned.columns).collect())
+
+
+def test_ledger_of_typed_input_is_empty(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 3, 4)], "customer_id string, total_purchases long, avg_order_value double, days_since_first_purchase long, days_since_last_purchase long")
+    cleaned, ledger = cleaning.clean_customers_with_ledger(df)
+    assert ledger.count() == 0 and cleaned.count() == 1
+
+
+def test_duplicates_of_any_type(spark):
+    from cvengine.operators import quality
+
+    schema = "m map<string,map<int,double>>, a array<string>, x double, t timestamp, s struct<p:float,q:string>"
+    import datetime as dt
+
+    at, later = dt.datetime(2024, 1, 1, 0, 0, 0, 1), dt.datetime(2024, 1, 1, 0, 0, 0, 2)
+    nan = float("nan")
+    rows = [
+        ({"a": {1: 0.0}, "b": None}, ["x", None], 0.0, at, (nan, None)),
+        ({"b": None, "a": {1: -0.0}}, ["x", None], -0.0, at, (nan, None)),
+        ({"b": None, "a": {1: 0.0}}, [None, "x"], 0.0, at, (nan, None)),
+        ({"b": None, "a": {1: 0.0}}, ["x", None], 0.0, later, (nan, None)),
+        ({"b": None, "a": {1: 0.0}}, ["x", None], 0.0, at, None),
+        (None, None, None, None, (None, None)),
+        (None, None, None, None, None),
+        (None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    assert quality.duplicate_rate(df).first()[0] == 25.0
+    variants = spark.sql("""SELECT parse_json(x) AS v FROM VALUES ('{"a":1,"b":2}'), ('{"b":2,"a":1}'), ('[1]') AS t(x)""")
+    assert abs(quality.duplicate_rate(variants).first()[0] - 100 / 3) < 1e-9
+    assert quality.duplicate_rate(df.limit(0)).first()[0] is None

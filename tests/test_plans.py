@@ -65,3 +65,36 @@ def test_staged_tables_can_be_dropped(spark):
     drop_staged(spark)
     with pytest.raises(Exception):
         df.count()
+
+
+def test_quality_score_makes_no_row_per_column(spark, sf, monkeypatch):
+    """Neither the plan of the score nor any pass on the way to it turns rows into one row per column."""
+    from cvengine.operators import quality
+
+    lines = tables.table(spark, sf, "lineitem")
+    exploded = []
+    real = F.explode
+    monkeypatch.setattr(F, "explode", lambda c: exploded.append(c) or real(c))
+    assert "Generate" not in plan(quality.outlier_rate(lines)) and "Generate" not in plan(quality.quality_score(lines))
+    assert not exploded
+    # in selection from large columns only values between brackets are exploded, after a filter
+    small = quality.outlier_bounds(lines, ["l_quantity", "l_extendedprice"], cell_rows=500)
+    assert exploded and small == quality.outlier_bounds(lines, ["l_quantity", "l_extendedprice"])
+
+
+def test_positions_without_a_range_sort(spark, sf):
+    customers = tables.customers(spark, sf).select("total_purchases", "customer_id")
+    placed = order.row_positions(customers, ["total_purchases", "customer_id"], customers.count(), cell_rows=10)
+    text = plan(placed)
+    assert "rangepartitioning" not in text and "hashpartitioning(__bucket" in text
+
+
+def test_cutoff_reaches_the_scan(spark, sf, tmp_path):
+    """A trailing window over a stored log is a pushed filter, not a join."""
+    from cvengine.operators import logs
+    from cvengine.plans import input_queries
+
+    path = sinks.export_parquet(tables.feedback(spark, sf), str(tmp_path / "log"))
+    log = spark.read.parquet(path)
+    text = plan(logs.trailing(log, input_queries._newest(log), 24))
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThan(timestamp" in text and "Join" not in text
