@@ -191,18 +191,22 @@ def revenue_concentration(scored: DataFrame, cell_rows: int = CELL_ROWS) -> Data
     )
 
 
-def verdicts(scored: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Readings of concentration and risk."""
-    share, risk = F.col("top_10_percent_share"), F.col("high_risk_percentage")
-    figures = revenue_concentration(scored, cell_rows).crossJoin(F.broadcast(risk_exposure(scored)))
-    return figures.select(
+def readings(concentration: DataFrame, risk: DataFrame) -> DataFrame:
+    """Verdicts on a row of concentration and a row of exposure."""
+    share, risky = F.col("top_10_percent_share"), F.col("high_risk_percentage")
+    return concentration.crossJoin(F.broadcast(risk)).select(
         share,
         F.when(share > 50, "concentrated").otherwise("healthy").alias("revenue_verdict"),
-        risk,
-        F.when(risk > 30, "high").when(risk > 15, "moderate").otherwise("low").alias("churn_verdict"),
+        risky,
+        F.when(risky > 30, "high").when(risky > 15, "moderate").otherwise("low").alias("churn_verdict"),
     )
 
 
+def verdicts(scored: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Readings of concentration and risk."""
+    return readings(revenue_concentration(scored, cell_rows), risk_exposure(scored))
+
+
 def channel_segments(scored: DataFrame) -> DataFrame:
     return scored.groupBy("acquisition_channel", "customer_segment").agg(F.count(F.lit(1)).alias("count"))
 
@@ -333,45 +337,3 @@ def filter_choices(scored: DataFrame, column: str = "customer_segment") -> DataF
 
 def preview(df: DataFrame, count: int = 5) -> DataFrame:
     return df.limit(count)
-
-
-def reports(scored: DataFrame, importance: DataFrame | None = None, cell_rows: int = CELL_ROWS) -> dict[str, DataFrame]:
-    """Every report table the columns allow."""
-    tables = {
-        "clv_distribution": histogram(scored, CLV, 20),
-        "customer_segments": segment_counts(scored),
-        "clv_vs_churn": scatter_grid(scored, "churn_risk"),
-        "segment_boxplot": box_plot(scored, cell_rows),
-        "churn_distribution": histogram(scored, "churn_risk", 15),
-        "percentile_distribution": histogram(scored, "percentile_rank", 20),
-        "risk_reward_matrix": scatter_points(scored),
-        "top_customers": top_customers(scored),
-        "high_risk_customers": top_high_risk(scored),
-        "summary_stats": segment_summary(scored, cell_rows=cell_rows),
-        "segment_comparison": segment_comparison(scored, cell_rows=cell_rows),
-        "segment_revenue": segment_revenue(scored),
-    }
-    if importance is not None:
-        tables["feature_importance"] = importance.orderBy(F.desc("importance"), "feature").limit(10)
-    for axis in SCATTER_AXES[1:]:
-        if axis in scored.columns:
-            tables[f"{axis}_vs_clv"] = scatter_grid(scored, axis)
-    if "acquisition_channel" in scored.columns:
-        tables["channel_segment"] = channel_segments(scored)
-    for column in ("location", "subscription_status"):
-        if column in scored.columns:
-            tables[f"{column}_clv"] = mean_value_by(scored, column)
-    if "confidence_lower" in scored.columns and "confidence_upper" in scored.columns:
-        tables["confidence_intervals"] = band_sample(scored)
-    return tables
-
-
-def lifetime_metrics(scored: DataFrame, cell_rows: int = CELL_ROWS) -> dict[str, DataFrame]:
-    return {
-        "portfolio": portfolio(scored, cell_rows),
-        "segment_analysis": segment_metrics(scored, cell_rows=cell_rows),
-        "tier_analysis": tier_table(scored, cell_rows=cell_rows),
-        "risk": risk_exposure(scored),
-        "concentration": revenue_concentration(scored, cell_rows),
-        "verdicts": verdicts(scored, cell_rows),
-    }

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvengine.operators import cleaning, reports, scoring, split, strategies
+from cvengine.operators import bundle, cleaning, reports, scoring, split, strategies
 from cvengine.operators.features import customer_features
 from cvengine.operators.metrics import evaluate
 from cvengine.operators.order import CELL_ROWS
@@ -102,8 +102,9 @@ def score(df: DataFrame, model: ClvModel, on_ties: str = "raise", cell_rows: int
 def describe(scored: DataFrame, model: ClvModel | None = None, cell_rows: int = CELL_ROWS) -> dict[str, DataFrame]:
     """Reports, lifetime metrics and recommendations."""
     importance = model.importance(scored.sparkSession) if model else None
+    made = bundle.Bundle(scored, cell_rows=cell_rows)
     return {
-        **reports.reports(scored, importance, cell_rows),
-        **reports.lifetime_metrics(scored, cell_rows),
+        **bundle.reports(scored, importance, cell_rows, made),
+        **bundle.lifetime_metrics(scored, cell_rows, made),
         "recommendations": strategies.recommendations(scored),
     }

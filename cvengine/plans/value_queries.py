@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cvengine import fixed_values as fixed
 from cvengine.functions import scalars
-from cvengine.operators import binning, features, metrics, order, reports, scoring, split, strategies
+from cvengine.operators import binning, bundle, features, metrics, order, reports, scoring, split, strategies
 from cvengine.operators.rollup import MODES, customer_rollup, staged_rollup
 from cvengine.plans import modeling, pipeline
 from cvengine.plans.check_sql import CLV, CUST, FEATURES, LABELS, PAIRS, ROLL, SCORED, TXN, money, r6
@@ -805,6 +805,33 @@ def scatter_grid(spark: SparkSession, folder: str) -> DataFrame:
     return reports.scatter_grid(scored(spark, folder), "age")
 
 
+@query(
+    "r10_report_bundle",
+    f"""WITH {SCORED}, t AS (SELECT quantile_cont(predicted_clv, [0.25, 0.5, 0.75]) AS q, min(predicted_clv) AS lo,
+        (max(predicted_clv) - min(predicted_clv)) / 20 AS w FROM scored),
+      kinds AS (
+        SELECT 'segment' AS report, customer_segment AS key, predicted_clv, churn_risk FROM scored
+        UNION ALL SELECT 'tier', CASE WHEN predicted_clv <= q[1] THEN 'Bronze' WHEN predicted_clv <= q[2] THEN 'Silver'
+          WHEN predicted_clv <= q[3] THEN 'Gold' ELSE 'Platinum' END, predicted_clv, churn_risk FROM scored, t
+        UNION ALL SELECT 'channel_segment', acquisition_channel || '/' || customer_segment, predicted_clv, churn_risk FROM scored
+        UNION ALL SELECT 'location', location, predicted_clv, churn_risk FROM scored
+        UNION ALL SELECT 'subscription_status', subscription_status, predicted_clv, churn_risk FROM scored
+        UNION ALL SELECT 'clv_distribution', least(floor((predicted_clv - lo) / w), 19)::INTEGER::VARCHAR, predicted_clv, churn_risk FROM scored, t
+        UNION ALL SELECT 'all', '', predicted_clv, churn_risk FROM scored)
+    SELECT report, key, count(*) AS customers, round({money('predicted_clv')}, 4) AS total, round({money('predicted_clv')} / count(*), 4) AS mean,
+      round(max(predicted_clv), 6) AS largest, round(avg(churn_risk), 6) AS churn, count(*) FILTER (churn_risk > 0.5) AS risky
+    FROM kinds GROUP BY ALL""",
+)
+def report_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments, tiers, channels, places, states, a histogram and the totals, all from the one aggregate of a bundle."""
+    made = bundle.Bundle(scored(spark, folder))
+    keys = {name: F.col(f"k_{name}").cast("string") for name in ("segment", "tier", "location", "subscription_status", "clv_distribution")}
+    keys |= {"channel_segment": F.concat_ws("/", "k_acquisition_channel", "k_segment"), "all": F.lit("")}
+    figures = [F.col("rows").alias("customers"), F.round("sum", 4).alias("total"), F.round("mean", 4).alias("mean"), F.round("max", 6).alias("largest"), F.round("churn", 6).alias("churn"), "risky"]
+    parts = [made.part(name, F.lit(name).alias("report"), key.alias("key"), *figures) for name, key in keys.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 # ---- models: results depend on the learner, so only shape is compared ----
 
 @query("m1_m14_leaderboard")

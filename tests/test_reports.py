@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cvengine.operators import metrics, reports, scoring, strategies
+from cvengine.operators import bundle, metrics, reports, scoring, strategies
 from cvengine.plans import pipeline
 from cvengine.session import stage
 
@@ -139,3 +139,50 @@ def test_metrics_edge_cases(spark):
     df = stage(spark.createDataFrame([("a", 0.0, 1.0), ("b", 0.0, 2.0)], "customer_id string, actual double, predicted double"))
     row = metrics.evaluate(df).first()
     assert row["mape"] is None and row["top_10_precision"] == 0.0 and row["r2"] == 0.0
+
+
+@pytest.mark.parametrize("cell_rows", [1_000_000, 30])
+def test_bundle_equals_the_single_tables(spark, scored, cell_rows):
+    """Every grouped table of the bundle has the rows that its own function finds."""
+    extra = scored.withColumn("location", F.when(F.col("age") > 30, F.concat(F.lit("l"), F.col("age") % 4)))
+    extra = stage(extra.withColumn("total_purchases", F.lit(5)))
+    made = bundle.Bundle(extra, cell_rows=cell_rows)
+    pairs = [
+        (made.segment_summary(None), reports.segment_summary(extra, None)),
+        (made.segment_metrics(None), reports.segment_metrics(extra, None)),
+        (made.segment_comparison(None), reports.segment_comparison(extra, None)),
+        (made.segment_revenue(None), reports.segment_revenue(extra, None)),
+        (made.segment_counts(), reports.segment_counts(extra)),
+        (made.tier_table(None), reports.tier_table(extra, None)),
+        (made.channel_segments(), reports.channel_segments(extra)),
+        (made.mean_value_by("location"), reports.mean_value_by(extra, "location")),
+        (made.portfolio(), reports.portfolio(extra)),
+        (made.risk_exposure(), reports.risk_exposure(extra)),
+        (made.scatter_grid("age"), reports.scatter_grid(extra, "age")),
+        (made.scatter_grid("total_purchases"), reports.scatter_grid(extra, "total_purchases")),
+        *[(made.histogram(name), reports.histogram(extra, *at)) for name, at in bundle.HISTOGRAMS.items()],
+    ]
+    for ours, theirs in pairs:
+        assert sorted(ours.columns) == sorted(theirs.columns)
+        rows = [sorted(map(lambda r: [r[c] for c in sorted(theirs.columns)], df.collect()), key=repr) for df in (ours, theirs)]
+        for a, b in zip(*rows, strict=True):
+            assert all(x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9)) for x, y in zip(a, b)), (a, b)
+
+
+def test_bundle_reads_the_customers_three_times(spark, scored, monkeypatch):
+    """Ends and quantiles, the grouping sets, the medians; the tables themselves read what was staged."""
+    seen = []
+    for name in ("agg", "groupingSets"):
+        real = getattr(type(scored), name)
+        monkeypatch.setattr(type(scored), name, lambda self, *a, _r=real, _n=name, **k: seen.append(_n) or _r(self, *a, **k))
+    made = bundle.Bundle(scored)
+    assert seen.count("groupingSets") == 1 and len(seen) <= 3
+    path = scored.inputFiles()[0].rsplit("/", 1)[0]
+    for table in (made.segment_summary(), made.tier_table(), made.channel_segments(), made.portfolio(), made.scatter_grid("age")):
+        assert path not in "".join(table.inputFiles())
+
+
+def test_bundle_of_nothing(spark, scored):
+    made = bundle.Bundle(stage(scored.limit(0)))
+    assert made.segment_summary().count() == 5 and made.tier_table().count() == 4
+    assert made.histogram("clv_distribution").count() == 0 and made.scatter_grid("age").count() == 0
