@@ -24,6 +24,8 @@ CHARACTERS = 6_000_000
 CELLS = 2_000_000
 #: Words that a task remembers.
 MEMORY = 600_000
+#: Words longer than this are cut where no piece reaches across, and their parts advance with other words.
+CUT_FROM = 48
 INFINITE = np.int32(2**31 - 1)
 LEADING_SHIFT = np.uint64(43)
 
@@ -45,6 +47,7 @@ class PieceTable:
     longest: int
     dummy_prefix: bool
     lines_apart: bool
+    pairs: np.ndarray  # of characters that stand next to each other in a piece, sorted
 
     @property
     def unknown(self) -> int:
@@ -119,9 +122,24 @@ def load_pieces(path: str) -> PieceTable:
         longest=max(map(len, pieces)),
         dummy_prefix=model.id_to_piece(model.encode("a")[0]).startswith(SPACE),
         lines_apart=not any("\n" in p for p in pieces),
+        pairs=np.unique(np.concatenate([_pairs(p) for p in pieces])),
     )
 
 
+def _pairs(word: str) -> np.ndarray:
+    """Each character and the next one as a number."""
+    codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return (codes[:-1] << np.uint64(32)) | codes[1:]
+
+
+def _cut(t: PieceTable, word: str) -> list[str]:
+    """The word in parts whose encodings follow each other in the word's: no merge makes a piece that no piece contains."""
+    pairs = _pairs(word)
+    at = np.minimum(np.searchsorted(t.pairs, pairs), t.pairs.size - 1)
+    ends = [*(np.flatnonzero(t.pairs[at] != pairs) + 1).tolist(), len(word)]
+    return [word[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _find(t: PieceTable, hashes: np.ndarray) -> np.ndarray:
     """Piece ids of substring hashes, -1 where there is none: a probe of the sorted keys.
 
@@ -158,7 +176,28 @@ def _may_follow(t: PieceTable, powers: np.ndarray, a: np.ndarray, b: np.ndarray)
 
 
 def encode_words(t: PieceTable, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, starts, sizes): the piece ids of word i are ``ids[starts[i] : starts[i] + sizes[i]]``.
+    """(ids, starts, sizes): the piece ids of word i are ``ids[starts[i] : starts[i] + sizes[i]]``; long words are encoded in parts."""
+    parts = {i: _cut(t, w) for i, w in enumerate(words) if len(w) > CUT_FROM}
+    if not parts:
+        return _encode_whole(t, words)
+    number: dict[str, int] = {}
+    for i, word in enumerate(words):
+        for part in parts.get(i, (word,)):
+            number.setdefault(part, len(number))
+    ids, first, size = _encode_whole(t, list(number))
+    at = [np.array([number[p] for p in parts.get(i, (word,))]) for i, word in enumerate(words)]
+    starts, sizes = np.array([first[a[0]] for a in at], np.int64), np.array([size[a].sum() for a in at], np.int64)
+    found, total = [ids], ids.size
+    for i in parts:
+        joined = [ids[first[k] : first[k] + size[k]] for k in at[i]]
+        starts[i] = total
+        total += sizes[i]
+        found += joined
+    return np.concatenate(found), starts, sizes
+
+
+def _encode_whole(t: PieceTable, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``encode_words``.
 
     Words of equal length advance together. Viterbi over positions: the candidates that end at a position are the
     substrings that are pieces; a candidate counts only if it may follow the best piece that ends where it starts, and

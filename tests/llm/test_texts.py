@@ -134,6 +134,21 @@ def test_pieces_equal_the_library(spark, sf, pieces):
     assert sentence_pieces.encode(table.limit(0), pieces).count() == 0
 
 
+def test_pieces_of_long_words(pieces):
+    """Words without a blank are cut where no piece reaches across; ids stay the library's, and a page of them takes seconds."""
+    model = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    order = random.Random(5)
+    alphabets = ["".join(map(chr, range(0x4E00, 0x4E00 + 3000))), "abcdefgh", "the of and ing".replace(" ", ""), "日本語のテキスト漢字", "\U0001f600é語a", "a"]
+    words = ["".join(order.choice(a) for _ in range(n)) for a in alphabets for n in (49, 120, 700)]
+    words += [w for a in alphabets for w in ("".join(order.choice(a) for _ in range(n)) for n in (1, 5, 48))]
+    ids, starts, sizes = sentence_pieces.encode_words(pieces, [sentence_pieces.SPACE + w for w in words])
+    for word, start, size in zip(words, starts, sizes):
+        assert ids[start : start + size].tolist() == model.encode(word)
+    began = time.time()
+    sentence_pieces.encode_words(pieces, ["".join(order.choice(alphabets[0]) for _ in range(200_000))])
+    assert time.time() - began < 20
+
+
 def test_pieces_query(spark, sf):
     assert sentence_pieces.op7_sentence_pieces(spark, sf).where(~F.col("round_trip")).count() == 0
 
