@@ -891,6 +891,59 @@ def preprocessing(spark: SparkSession, folder: str) -> DataFrame:
     return six_digits(PipelineModel.load(path).transform(ready).select("customer_id", *filled, F.concat_ws("|", *ones).alias("ones")))
 
 
+ONE_INPUT = f"""{CLV},
+  drawn AS (
+    SELECT customer_id, total_purchases::DOUBLE AS x, predicted_clv AS y,
+      ('0x' || substr(md5('42|' || customer_id), 1, 8))::BIGINT % 100 < 20 AS is_test,
+      ('0x' || substr(md5('43|' || customer_id), 1, 8))::BIGINT % 2 AS fold FROM clv),
+  scaled AS (SELECT *, x / (SELECT stddev_samp(x) FROM drawn WHERE NOT is_test) AS s FROM drawn),
+  fits AS (
+    SELECT model, part, regr_sxy(y, s) / (regr_sxx(y, s) + alpha) AS slope, avg(y) AS my, avg(s) AS ms
+    FROM scaled, (VALUES ('Linear_Regression', 0.0), ('Ridge_Regression', 10.0)) AS m(model, alpha), (VALUES (-1), (0), (1)) AS p(part)
+    WHERE NOT is_test AND fold <> part GROUP BY model, part, alpha),
+  errors AS (
+    SELECT model, part, is_test, fold, y, my + slope * (s - ms) AS predicted FROM scaled, fits),
+  quality AS (
+    SELECT model, part, is_test, fold, grouping_id(fold) AS whole, 1 - sum((y - predicted) ** 2) / (var_pop(y) * count(*)) AS r2,
+      sqrt(avg((y - predicted) ** 2)) AS rmse, avg(abs(y - predicted)) AS mae, avg(abs(y - predicted) / y) FILTER (y > 0) AS mape
+    FROM errors GROUP BY GROUPING SETS ((model, part, is_test), (model, part, is_test, fold)))"""
+
+
+@query(
+    "m6_m7_m12_m14_one_input",
+    f"""WITH {ONE_INPUT}
+    SELECT model, round(a.r2, 6) AS train_r2, round(b.r2, 6) AS test_r2, round(a.rmse, 4) AS train_rmse, round(b.rmse, 4) AS test_rmse,
+      round(b.mae, 4) AS test_mae, round(b.mape, 6) AS test_mape, round(c.mean, 6) AS cv_r2_mean, round(c.std, 6) AS cv_r2_std
+    FROM (SELECT * FROM quality WHERE part = -1 AND whole = 1 AND NOT is_test) a
+    JOIN (SELECT * FROM quality WHERE part = -1 AND whole = 1 AND is_test) b USING (model)
+    JOIN (SELECT model, avg(r2) AS mean, stddev_pop(r2) AS std FROM quality WHERE whole = 0 AND part = fold AND NOT is_test GROUP BY model) c USING (model)""",
+)
+def one_input(spark: SparkSession, folder: str) -> DataFrame:
+    """Linear and ridge regression on one input, where both have a closed form: every figure of the leaderboard."""
+    table = split.summary_target(tables.customers(spark, folder))
+    config = modeling.TrainConfig(models=("Linear_Regression", "Ridge_Regression"), ridge_alphas=(10.0,))
+    model = modeling.train_models(modeling.model_input(table, ["total_purchases"], "predicted_clv"), ["total_purchases"], config)
+    figures = ["train_r2", "test_r2", "train_rmse", "test_rmse", "test_mae", "test_mape", "cv_r2_mean", "cv_r2_std"]
+    return six_digits(model.leaderboard(spark).select("model", *figures), train_rmse=4, test_rmse=4, test_mae=4)
+
+
+@query(
+    "m16_one_input_predictions",
+    f"""WITH {ONE_INPUT} SELECT customer_id, model, round(my + slope * (s - ms), 4) AS predicted
+    FROM scaled, fits WHERE part = -1""",
+)
+def one_input_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """What the loaded linear and ridge models of one input predict for every customer."""
+    table = stage(split.summary_target(tables.customers(spark, folder)), "training")
+    config = modeling.TrainConfig(models=("Linear_Regression", "Ridge_Regression"), ridge_alphas=(10.0,))
+    model = modeling.train_models(modeling.model_input(table, ["total_purchases"], "predicted_clv"), ["total_purchases"], config)
+    path = new_path(spark, "model")
+    modeling.save_model(model, spark, path)
+    loaded = modeling.load_model(spark, path)
+    parts = [loaded.predict(table, name).select("customer_id", F.lit(name).alias("model"), F.round("predicted_clv", 4).alias("predicted")) for name in model.models]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query("m11_wide_search")
 def wide_search(spark: SparkSession, folder: str) -> DataFrame:
     """The leaderboard of the larger grids over customer summaries."""
