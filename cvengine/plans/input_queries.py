@@ -624,13 +624,19 @@ def title_words(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- file round trips ----
 
-@query("s1_s4_csv_round_trip", "SELECT conv_id, turn::INTEGER AS turn, md5(text) AS digest FROM conversations")
+@query(
+    "s1_s4_csv_round_trip",
+    """SELECT conv_id, turn::INTEGER AS turn, CASE WHEN turn % 5 = 0 OR turn % 7 = 1 THEN 'missing' ELSE md5(text) END AS digest
+    FROM conversations""",
+)
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with quotes and line breaks, exported as CSV and read again."""
+    """Texts with quotes and line breaks, some missing and some empty, exported as CSV and read again: an empty cell is missing."""
     talks = tables.table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    path = sinks.export_csv(talks, new_path(spark, "csv"), "talks")
+    holed = F.when(F.col("turn") % 5 != 0, F.when(F.col("turn") % 7 == 1, "").otherwise(F.col("text")))
+    path = sinks.export_csv(talks.withColumn("text", holed), new_path(spark, "csv"), "talks")
     read = readers.read_table(spark, path, multi_line=True)
-    return read.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("int").alias("turn"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    digest = F.coalesce(F.md5("text"), F.lit("missing"))
+    return read.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("int").alias("turn"), digest.alias("digest"))
 
 
 @query(

@@ -702,22 +702,25 @@ def score_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return six_digits(reports.score_tiles(scored(spark, folder)))
 
 
-ACTION_CASE = "CASE strategy " + " ".join(
-    f"WHEN '{name}' THEN '{'; '.join(actions)}'" for name, actions in fixed.STRATEGY_ACTIONS.items()
-) + " END"
+# the texts stand here once more, so that a wrong one among the engine's fixed values is found
+ACTION_TEXTS = """(VALUES
+  ('retain_and_grow', 'Retain And Grow', 'Premium loyalty programs; Exclusive early access to new products; Personalized VIP customer service; Cross-selling and upselling opportunities; Referral program incentives'),
+  ('retention_focus', 'Retention Focus', 'Proactive customer outreach; Personalized retention offers; Customer satisfaction surveys; Issue resolution prioritization; Loyalty program enrollment'),
+  ('growth_focus', 'Growth Focus', 'Product education and training; Bundle offers and promotions; Usage optimization recommendations; Feature adoption campaigns; Cross-selling initiatives'),
+  ('win_back_or_let_go', 'Win Back Or Let Go', 'Targeted win-back campaigns; Special reactivation offers; Customer feedback collection; Service improvement opportunities; Consider reducing marketing spend'))
+  AS texts(strategy, label, actions)"""
 
 
 @query(
     "a17_recommendations",
     f"""WITH {SCORED}, s AS (SELECT predicted_clv, {STRATEGY} AS strategy FROM scored)
-    SELECT strategy, upper(strategy[1]) || replace(strategy[2:], '_', ' ') AS label, count(*) AS count,
-    round({money('predicted_clv')} / count(*), 6) AS avg_clv, {ACTION_CASE} AS actions FROM s
-    WHERE strategy IS NOT NULL GROUP BY strategy""",
+    SELECT strategy, label, count(*) AS count, round({money('predicted_clv')} / count(*), 6) AS avg_clv, actions
+    FROM s JOIN {ACTION_TEXTS} USING (strategy) GROUP BY strategy, label, actions""",
 )
 def recommendations(spark: SparkSession, folder: str) -> DataFrame:
     found = strategies.recommendations(scored(spark, folder))
-    sentence = F.concat(F.upper(F.substring("strategy", 1, 1)), F.expr("substring(replace(strategy, '_', ' '), 2)"))
-    return six_digits(found.select("strategy", sentence.alias("label"), "count", "avg_clv", F.array_join("actions", "; ").alias("actions")))
+    label = scalars.title_words(F.col("strategy")).alias("label")
+    return six_digits(found.select("strategy", label, "count", "avg_clv", F.array_join("actions", "; ").alias("actions")))
 
 
 @query(

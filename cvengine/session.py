@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +68,18 @@ def drop_staged(spark: SparkSession) -> None:
         path.getFileSystem(configuration).delete(path, True)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving the intermediate tables that were staged inside. Frames built on them end there."""
+    application = spark.sparkContext.applicationId
+    outer, outer_tables = _staged.pop(application, []), _tables.pop(application, [])
+    try:
+        yield
+    finally:
+        drop_staged(spark)
+        _staged[application], _tables[application] = outer, outer_tables
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

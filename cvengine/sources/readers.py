@@ -15,7 +15,7 @@ SPREADSHEETS = (".xlsx", ".xls")
 def read_table(spark: SparkSession, source: str | DataFrame, multi_line: bool = False) -> DataFrame:
     """A DataFrame as it is, or a path read by its suffix.
 
-    A spreadsheet path is read from the CSV of the same name beside it. ``multi_line`` takes quoted line breaks in
+    An empty CSV cell is missing (NULL), quoted or not. A spreadsheet path is read from the CSV of the same name beside it. ``multi_line`` takes quoted line breaks in
     CSV cells; each file is then read by one task, so large files should be several.
     """
     if isinstance(source, DataFrame):

@@ -160,3 +160,20 @@ def test_split_intake_without_input(spark, tmp_path):
     (tmp_path / "in").mkdir()
     parts = action_log.split_intake(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"))
     assert parts.count() == 0 and "kind" in parts.columns
+
+
+def test_staging_scope_deletes_its_tables(spark):
+    import os
+
+    from cvengine.session import stage, stage_bucketed, staging
+
+    def place(df):
+        return df.inputFiles()[0].split("://")[-1].removeprefix("file:").rsplit("/", 1)[0]
+
+    kept = stage(spark.range(5))
+    with staging(spark):
+        inner, bucketed = stage(spark.range(3)), stage_bucketed(spark.range(9), "id")
+        inside = [place(inner), place(bucketed)]
+        assert all(map(os.path.exists, inside)) and bucketed.count() == 9
+    assert not any(map(os.path.exists, inside)) and kept.count() == 5
+    assert "Exchange" not in stage_bucketed(spark.range(9), "id").groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
