@@ -947,12 +947,15 @@ def one_input_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-@query("m11_wide_search")
-def wide_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The leaderboard of the larger grids over customer summaries."""
+@query("m11_grid_search")
+def grid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaderboard of grids with several values of each parameter over customer summaries; ensembles are scored by prefixes."""
     table = split.summary_target(tables.customers(spark, folder))
     columns = modeling.feature_columns(table)
-    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, modeling.wide_search())
+    config = modeling.TrainConfig(
+        folds=3, ridge_alphas=(0.1, 1.0, 10.0), forest_trees=(10, 20), forest_depths=(5, 8), boosting_rounds=(5, 10), boosting_rates=(0.05, 0.1)
+    )
+    model = modeling.train_models(modeling.model_input(table, columns, "predicted_clv"), columns, config)
     return model.leaderboard(spark)
 
 

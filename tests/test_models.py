@@ -116,3 +116,29 @@ def test_ridge_penalty_follows_the_rows(spark):
 def test_missing_inputs_are_named(fitted, customers):
     with pytest.raises(ValueError, match="age"):
         fitted.model.predict(customers.drop("age"))
+
+
+def test_prefixes_equal_smaller_ensembles(spark, customers):
+    """The first rounds of boosting are the smaller ensemble; the first trees of a forest are their mean."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    table = customers.withColumn("predicted_clv", F.col("total_purchases") * F.col("avg_order_value"))
+    ready = modeling.model_input(table, ["total_purchases", "avg_order_value"], "predicted_clv")
+    fit, _ = modeling.fit_preprocessing(ready, ["total_purchases", "avg_order_value"])
+    vectors = fit.transform(ready).select("customer_id", "features", "label").cache()
+    judge = RegressionEvaluator(labelCol="label", metricName="r2")
+    large = GBTRegressor(labelCol="label", seed=1, maxIter=6, maxDepth=2).fit(vectors)
+    found = modeling._r2_of_prefixes(large, vectors, [3, 6])
+    for rounds in (3, 6):
+        small = GBTRegressor(labelCol="label", seed=1, maxIter=rounds, maxDepth=2).fit(vectors)
+        assert found[rounds] == pytest.approx(judge.evaluate(small.transform(vectors)))
+    forest = RandomForestRegressor(labelCol="label", seed=1, numTrees=5, maxDepth=3).fit(vectors)
+    found = modeling._r2_of_prefixes(forest, vectors, [2, 5])
+    assert found[5] == pytest.approx(judge.evaluate(forest.transform(vectors)))
+    rows = vectors.collect()
+    mean = [sum(t.predict(r["features"]) for t in forest.trees[:2]) / 2 for r in rows]
+    actual = [r["label"] for r in rows]
+    centre = sum(actual) / len(actual)
+    want = 1 - sum((a - m) ** 2 for a, m in zip(actual, mean)) / sum((a - centre) ** 2 for a in actual)
+    assert found[2] == pytest.approx(want)

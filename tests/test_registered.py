@@ -50,8 +50,8 @@ def test_query(spark, sf, duck, name):
         assert all(map(same, ours, theirs)), (ours, theirs)
 
 
-#: Their own tests in tests/llm run them; the wide search takes minutes.
-ELSEWHERE = ("op", "pipeline", "m11_wide_search")
+#: Their own tests in tests/llm run them.
+ELSEWHERE = ("op", "pipeline")
 
 
 @pytest.mark.parametrize("name", sorted(n for n in set(entry_points.queries()) - set(SQL) if not n.startswith(ELSEWHERE)))
