@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cvengine.llm.common import held_out, labelled_texts, map_texts, stage, table
 
-#: Rows of each label that are fitted at most, and entries of their bags (of 8 bytes), which bounds what reaches the driver.
+#: Rows of each label that are fitted at most, and entries of their bags (of 4 bytes), which bounds what reaches the driver.
 ROWS_PER_CLASS = 3000
 ENTRIES_PER_CLASS = 12_000_000
 BUCKETS = 1 << 16
@@ -28,6 +28,8 @@ RATE = 0.03
 POWER = 0.5
 #: The mean of a bag is multiplied by this before the softmax, so that a few words in a hundred can decide.
 SCALE = 100.0
+#: Shares of a bag are kept in units of one in so many, as 16-bit floats.
+SHARE_UNIT = 1024.0
 #: Words whose subwords a worker remembers.
 MEMORY = 400_000
 FOLDS, FOLD = 5, 0
@@ -93,9 +95,10 @@ def _bag_of_texts() -> Callable[[list], list[pa.Array]]:
                 times = np.repeat(np.array(list(counted.values())) ** POWER, [f.size for f in found])
                 bag = np.bincount(np.concatenate(found), times, BUCKETS)
             kept = np.flatnonzero(bag)
-            ids.append(kept.astype(np.int32))
-            shares.append((bag[kept] / max(1.0, bag.sum())).astype(np.float32))
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
+            ids.append(kept.astype(np.uint16).tobytes())
+            # times SHARE_UNIT, so that the share of one word in a million still has all digits of a half
+            shares.append((bag[kept] * (SHARE_UNIT / max(1.0, bag.sum()))).astype(np.float16).tobytes())
+        return [pa.array(ids, pa.binary()), pa.array(shares, pa.binary())]
 
     return work
 
@@ -103,11 +106,9 @@ def _bag_of_texts() -> Callable[[list], list[pa.Array]]:
 def _views(bags: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Labels, ids and shares of the rows in order of doc_id; the lists are views, so the bags lie in memory once."""
     ids, shares = [], []
-    for batch in bags.to_batches():
-        for name, out in (("ids", ids), ("shares", shares)):
-            column = batch.column(name)
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            out += [values[a:b] for a, b in zip(offsets, offsets[1:])]
+    for name, kind, out in (("ids", np.uint16, ids), ("shares", np.float16, shares)):
+        for chunk in bags[name].chunks:
+            out += [np.frombuffer(value.as_buffer(), kind) for value in chunk]
     order = np.argsort(bags["doc_id"].to_numpy(), kind="stable")
     return bags["y"].to_numpy().astype(np.int64)[order], [ids[i] for i in order], [shares[i] for i in order]
 
@@ -130,8 +131,8 @@ def learn(bags: pa.Table, seed: int = 3) -> SubwordModel:
     for _ in range(EPOCHS):
         for rows in np.array_split(order.permutation(len(y)), -(-len(y) // BATCH)):
             step += 1
-            flat = np.concatenate([ids[r] for r in rows])
-            part = np.concatenate([shares[r] for r in rows]) * SCALE
+            flat = np.concatenate([ids[r] for r in rows]).astype(np.int64)
+            part = np.concatenate([shares[r] for r in rows]).astype(np.float32) * np.float32(SCALE / SHARE_UNIT)
             owner = np.repeat(np.arange(len(rows)), [ids[r].size for r in rows])
             weighted = state["embedding"][flat] * part[:, None]
             pooled = np.stack([np.bincount(owner, weighted[:, d], len(rows)) for d in range(DIMENSION)], axis=1)
@@ -163,13 +164,16 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
     toxic documents are as many as the bound allows. Without labels of both kinds scores are constant.
     """
     texts = labelled_texts(documents, labels, "toxic", FOLDS, FOLD, rows_per_class)
-    bags = stage(map_texts(texts, "text", _bag_of_texts, "ids array<int>, shares array<float>"), "bags")
-    sizes = bags.select("doc_id", "y", F.size("ids").alias("size"), F.xxhash64("doc_id").alias("hash")).toPandas()
-    sizes = sizes.sort_values(["y", "hash", "doc_id"])
-    kept = sizes[sizes.groupby("y")["size"].cumsum() <= entries_per_class]
+    bags = stage(map_texts(texts, "text", _bag_of_texts, "ids binary, shares binary"), "bags")
+    order = ["y", F.xxhash64("doc_id").alias("hash"), "doc_id"]
+    sizes = sorted(tuple(r) for r in bags.select(*order, (F.octet_length("ids") / 2).cast("int").alias("size")).collect())
+    total, kept = {0: 0, 1: 0}, []
+    for y, _, doc_id, size in sizes:
+        total[y] += size
+        if total[y] <= entries_per_class:
+            kept.append((doc_id,))
     if len(kept) < len(sizes):
-        chosen = bags.sparkSession.createDataFrame([(int(i),) for i in kept["doc_id"]], "doc_id long")
-        bags = bags.join(F.broadcast(chosen), "doc_id", "left_semi")
+        bags = bags.join(F.broadcast(bags.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
     return learn(bags.toArrow())
 
 
