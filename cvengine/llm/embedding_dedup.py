@@ -166,33 +166,39 @@ def _near_codes(rows: pd.DataFrame, learned: dict[int, Tables]) -> Iterator[tupl
     codes = _words(rows["codes"])
     left, right = int(rows["__left"].iat[0]), int(rows["__right"].iat[0])
 
-    def near(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for w in np.unique(width[i]):
-            some = width[i] == w
-            tables = learned.get(int(w))
-            if tables is not None:
-                some[some] = np.bitwise_count(codes[i[some]] ^ codes[j[some]]).sum(axis=1) <= tables.reach
-                some[some] = tables.first_meeting(codes[i[some]], codes[j[some]], at[i[some]])
-            yield i[some], j[some]
+    widths = np.unique(width)
+    reach = np.full(len(rows), 64 * codes.shape[1])
+    for w in widths:
+        if int(w) in learned:
+            reach[width == w] = learned[int(w)].reach
+
+    def first(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for w in widths:
+            some, tables = slice(None) if widths.size == 1 else width[i] == w, learned.get(int(w))
+            a, b = i[some], j[some]
+            if tables is not None and a.size:
+                met = tables.first_meeting(codes[a], codes[b], at[a])
+                a, b = a[met], b[met]
+            yield a, b
 
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (width[1:] != width[:-1])])
     sizes = np.diff(np.r_[starts, len(rows)])
-    end = np.repeat(starts + sizes, sizes)
-    here = np.flatnonzero(np.repeat((sizes <= SMALL_BUCKET) & (sizes > 1), sizes))
-    if left != right or left >= 0:  # a block, or two, of one hot bucket
-        here = here[:0]
-    step = 1
-    while here.size:
-        here = here[here + step < end[here]]
-        yield from near(here, here + step)
-        step += 1
+    whole = left == right == -1  # else a block, or two, of one hot bucket
+    end = np.repeat(np.where((sizes <= SMALL_BUCKET) & whole, starts + sizes, starts), sizes)
+    place = np.arange(len(rows))
+    for step in range(1, int(min(SMALL_BUCKET, sizes.max())) if whole else 0):
+        differ = np.bitwise_count(codes[:-step] ^ codes[step:]).sum(axis=1, dtype=np.int16) if codes.shape[1] > 1 else np.bitwise_count(codes[:-step, 0] ^ codes[step:, 0])
+        i = np.flatnonzero((place[step:] < end[:-step]) & (differ <= reach[:-step]))
+        yield from first(i, i + step)
     for a, size in zip(starts, sizes):
-        if size > SMALL_BUCKET or (size > 1 and (left != right or left >= 0)):
+        if size > SMALL_BUCKET or (size > 1 and not whole):
             for start in range(0, size, 512):
                 strip, rest = slice(start, min(size, start + 512)), slice(start, size)
-                i, j = np.nonzero(pair_mask(left, right, own[a : a + size], strip, rest))
+                mine, others = codes[a : a + size][strip], codes[a : a + size][rest]
+                differ = sum(np.bitwise_count(mine[:, None, w] ^ others[None, :, w]).astype(np.int16) for w in range(codes.shape[1]))
+                i, j = np.nonzero(pair_mask(left, right, own[a : a + size], strip, rest) & (differ <= reach[a]))
                 for some in np.array_split(np.arange(i.size), max(1, i.size >> 18)):
-                    yield from near(a + start + i[some], a + start + j[some])
+                    yield from first(a + start + i[some], a + start + j[some])
 
 
 def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -213,8 +219,10 @@ def _meeting(learned: dict[int, Tables]):
 
 def _words(codes: pd.Series) -> np.ndarray:
     """Codes as rows of words; those of other lengths may have fewer and are filled with zeros."""
-    most = max(len(c) for c in codes)
-    return np.stack([np.pad(np.asarray(c, np.int64), (0, most - len(c))) for c in codes]).view(np.uint64)
+    sizes, flat = codes.map(len).to_numpy(), np.concatenate(codes.to_numpy())
+    words = np.zeros((sizes.size, sizes.max()), np.int64)
+    words[np.arange(words.shape[1]) < sizes[:, None]] = flat
+    return words.view(np.uint64)
 
 
 def _compare(min_cosine: float, learned: dict[int, Tables]):
