@@ -180,19 +180,17 @@ def encode_words(t: PieceTable, words: list[str]) -> tuple[np.ndarray, np.ndarra
     parts = {i: _cut(t, w) for i, w in enumerate(words) if len(w) > CUT_FROM}
     if not parts:
         return _encode_whole(t, words)
-    number: dict[str, int] = {}
-    for i, word in enumerate(words):
-        for part in parts.get(i, (word,)):
-            number.setdefault(part, len(number))
-    ids, first, size = _encode_whole(t, list(number))
-    at = [np.array([number[p] for p in parts.get(i, (word,))]) for i, word in enumerate(words)]
-    starts, sizes = np.array([first[a[0]] for a in at], np.int64), np.array([size[a].sum() for a in at], np.int64)
+    whole = [i for i, w in enumerate(words) if len(w) <= CUT_FROM]
+    number = {p: len(whole) + k for k, p in enumerate(dict.fromkeys(p for cut in parts.values() for p in cut))}
+    ids, first, size = _encode_whole(t, [*(words[i] for i in whole), *number])
+    starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    starts[whole], sizes[whole] = first[: len(whole)], size[: len(whole)]
     found, total = [ids], ids.size
-    for i in parts:
-        joined = [ids[first[k] : first[k] + size[k]] for k in at[i]]
-        starts[i] = total
-        total += sizes[i]
-        found += joined
+    for i, cut in parts.items():
+        at = [number[p] for p in cut]
+        found += [ids[first[k] : first[k] + size[k]] for k in at]
+        starts[i], sizes[i] = total, size[at].sum()
+        total += int(sizes[i])
     return np.concatenate(found), starts, sizes
 
 
