@@ -1,7 +1,9 @@
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from cvengine.plans import modeling, pipeline
+from cvengine.session import stage
 from cvengine.sources import generators
 
 CONFIG = modeling.TrainConfig()
@@ -142,3 +144,25 @@ def test_prefixes_equal_smaller_ensembles(spark, customers):
     centre = sum(actual) / len(actual)
     want = 1 - sum((a - m) ** 2 for a, m in zip(actual, mean)) / sum((a - centre) ** 2 for a in actual)
     assert found[2] == pytest.approx(want)
+
+
+def test_partitions_are_as_many_as_cores():
+    """Up to VECTOR_ROWS rows each; before, they grew by one for every 50,000 rows."""
+    assert [modeling.vector_partitions(n, 12) for n in (0, 999, 5000, 900_000, 2_400_000, 5_400_000)] == [1, 1, 5, 12, 12, 36]
+
+
+def test_sole_point_is_refitted_beside_its_folds(spark):
+    """With one point the fit on all rows is a task of the same batch as the folds, and forests keep the rows' places in trees."""
+    rows = spark.range(400).selectExpr("double(id % 7) AS a", "double(id % 7) * 2 + double(id % 3) AS label", "int(id % 2) AS fold")
+    ready = stage(VectorAssembler(inputCols=["a"], outputCol="features").transform(rows))
+    estimator, grid, _ = modeling.regressors(modeling.TrainConfig(forest_trees=(3,), forest_depths=(3,)))["Random_Forest"]
+    batches = []
+
+    def run(function, tasks):
+        batches.append(len(tasks))
+        return [function(t) for t in tasks]
+
+    best, values, model = modeling.search("Random_Forest", estimator, grid, ready, 2, run)
+    assert batches == [3] and len(values) == 2 and best == grid[0] and estimator.getCacheNodeIds()
+    again = estimator.copy(best).setCacheNodeIds(False).fit(ready)
+    assert model.featureImportances == again.featureImportances and model.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
