@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cvengine.llm.common import map_texts, small_text_batches, table
+from cvengine.llm.common import small_text_batches, table
 
 #: Where the query's model lies; only the driver reads it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -360,18 +361,36 @@ def encode(documents: DataFrame, pieces: PieceTable, text: str = "text", ids: st
     return documents.select(*names).mapInArrow(run, T.StructType([*passed, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
-def decode_ids(pieces: PieceTable, ids: list[int]) -> str:
-    text = b"".join([pieces.text[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if pieces.dummy_prefix and text.startswith(" ") else text
+def decode_lists(pieces: PieceTable, table: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The text of each list of ids, NULL for NULL; ``table`` has ``pieces.text`` as large binaries.
+
+    Taken one after the other, the bytes of all pieces lie in one buffer, of which each text is a stretch.
+    """
+    taken = table.take(ids.flatten())
+    begins = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+    data = taken.buffers()[2].to_pybytes() if len(taken) else b""
+    ends = begins[np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))].tolist()
+    texts = []
+    for first, last, some in zip([int(begins[0]), *ends], ends, ids.is_valid().to_pylist()):
+        text = data[first:last].decode("utf-8", "replace").replace(SPACE, " ") if some else None
+        texts.append(text[1:] if text and pieces.dummy_prefix and text[0] == " " else text)
+    return pa.array(texts, pa.string())
 
 
 def decode(encoded: DataFrame, pieces: PieceTable, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with ``text`` in place of ``ids``: exactly the encoded text, but that U+2581 comes back as a blank."""
+    small_text_batches(encoded.sparkSession)
+    passed = [f for f in encoded.schema.fields if f.name != ids]
+    names = [f.name for f in passed]
 
-    def make() -> Callable[[list], list[pa.Array]]:
-        return lambda rows: [pa.array([None if row is None else decode_ids(pieces, row) for row in rows], pa.string())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(pieces.text, pa.large_binary())
+        for batch in batches:
+            if batch.num_rows:
+                made = decode_lists(pieces, table, batch.column(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], names=[*names, text])
 
-    return map_texts(encoded, ids, make, f"`{text}` string")
+    return encoded.select(*names, ids).mapInArrow(run, T.StructType([*passed, T.StructField(text, T.StringType())]))
 
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

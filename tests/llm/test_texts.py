@@ -8,6 +8,8 @@ import time
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -149,6 +151,23 @@ def test_pieces_of_long_words(pieces):
     assert time.time() - began < 20
 
 
+def test_pieces_decode_whole_lists(pieces):
+    """Lists of a slice, NULL and empty ones; millions of ids are decoded in a second or two, which took twenty one by one."""
+    rows = [[5], None, [], *([int(i) for i in pieces.key_ids[k : k + 40]] for k in range(0, 4000, 40)), [pieces.bytes_first + 0xE2], [pieces.bytes_first + 10, 300]]
+    table = pa.array(pieces.text, pa.large_binary())
+    want = [None if r is None else b"".join(pieces.text[i] for i in r).decode("utf-8", "replace").replace(sentence_pieces.SPACE, " ") for r in rows]
+    want = [w[1:] if w and pieces.dummy_prefix and w[0] == " " else w for w in want]
+    ids = pa.array(rows, pa.list_(pa.int32()))
+    assert sentence_pieces.decode_lists(pieces, table, ids).to_pylist() == want
+    assert sentence_pieces.decode_lists(pieces, table, ids.slice(1, 50)).to_pylist() == want[1:51]
+    assert sentence_pieces.decode_lists(pieces, table, ids.slice(1, 2)).to_pylist() == [None, ""]
+    assert sentence_pieces.decode_lists(pieces, table, ids.slice(0, 0)).to_pylist() == []
+    many = pa.ListArray.from_arrays(pa.array(np.arange(0, 8_000_001, 2000), pa.int32()), pa.array(np.resize(pieces.key_ids, 8_000_000)))
+    began = time.process_time()
+    sentence_pieces.decode_lists(pieces, table, many)
+    assert time.process_time() - began < 8
+
+
 def test_pieces_query(spark, sf):
     assert sentence_pieces.op7_sentence_pieces(spark, sf).where(~F.col("round_trip")).count() == 0
 
