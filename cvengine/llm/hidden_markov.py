@@ -28,14 +28,17 @@ OWN = 5
 #: Occurrences, spread like all tokens over the states, that are added to a word's own.
 PRIOR = 1.0
 LEAST_SHARE = 1e-6
-#: Bounds of the sample that only chooses where Baum-Welch starts: documents, their tokens, and rounds there.
-SEED_DOCUMENTS = 3000
-SEED_LENGTH = 1500
-SEED_ROUNDS = 12
+#: Classes of words whose neighbours say where Baum-Welch starts: the most frequent words, each its own, and all others by hash.
+START_WORDS, START_REST = 256, 128
+#: Places from which the fit of neighbouring classes sets out, the likeliest of which counts, and its rounds.
+START_TRIES, START_ROUNDS = 6, 150
+#: Part of a word's shares at the start that is as of all tokens: neighbours alone say less than whole documents.
+START_EVEN = 0.2
 FOLDS, FOLD = 5, 1
 
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids binary, keys binary, counts binary"
-_SENT = "shard int, block long, index binary, n binary, shares binary, totals array<double>"
+_COUNTED = "shard int, block long, counts binary, index binary, n binary, totals array<double>, top array<long>, top_counts array<long>"
+_SENT = "shard int, block long, shares binary, totals array<double>"
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +91,8 @@ class Model:
     unseen: np.ndarray
     tokens: int = 0
     types: int = 0
-    seed_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    seed_shares: np.ndarray = field(default_factory=lambda: np.zeros((0, STATES), np.float32))
+    start_words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    start_shares: np.ndarray = field(default_factory=lambda: np.zeros((0, STATES), np.float32))
 
     def emissions(self, counts: np.ndarray, own: np.ndarray, shares: np.ndarray) -> np.ndarray:
         """P(word | state) of words seen ``counts`` times; ``shares`` are those of the words ``own``."""
@@ -185,75 +188,97 @@ def blank(states: int = STATES) -> Model:
     return Model(even, stay, even, np.tile(even, (OWN - 1, 1)), np.ones(states), even)
 
 
-def _groups(sequences: list[np.ndarray], words: int, states: int, seed: int) -> np.ndarray:
-    """A group for each sequence, by a few rounds of spherical k-means over its most frequent words; a place to start from."""
-    width = min(words, 2048)
-    bags = np.stack([np.bincount(s[s < width], minlength=width) for s in sequences]).astype(np.float32)
-    bags = np.sqrt(bags)
-    bags /= np.maximum(np.linalg.norm(bags, axis=1, keepdims=True), 1e-9)
-    centres = bags[np.random.default_rng(seed).integers(len(bags), size=1)]
-    while len(centres) < states:
-        centres = np.vstack([centres, bags[np.argmin((bags @ centres.T).max(axis=1))]])
-    for _ in range(6):
-        group = np.argmax(bags @ centres.T, axis=1)
-        sums = np.stack([bags[group == g].sum(axis=0) for g in range(states)])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return group
-
-
-def seeded(sequences: list[np.ndarray], states: int = STATES, rounds: int = SEED_ROUNDS, seed: int = 13) -> Model:
-    """Baum-Welch on a bounded list of sequences of word hashes: the place from which the passes over all documents start."""
-    model = blank(states)
-    if not sequences:
-        return model
-    keys, ids = np.unique(np.concatenate(sequences), return_inverse=True)
-    order = np.argsort(-np.bincount(ids), kind="stable")
-    renamed = np.empty(keys.size, np.int64)
-    renamed[order] = np.arange(keys.size)
-    ids, keys = renamed[ids], keys[order]
-    sizes = np.array([s.size for s in sequences])
-    counts = np.bincount(ids, minlength=keys.size)
-    group = _groups(np.split(ids, np.cumsum(sizes)[:-1]), keys.size, states, seed)
-    token_group = np.repeat(group, sizes)
-    words = np.stack([np.bincount(ids[token_group == s], minlength=keys.size) for s in range(states)], axis=1).astype(float)
-    model = replace(model, types=keys.size, unseen=np.full(states, 1e-9))
-    for _ in range(rounds):
-        shares = _shares(words, counts, words.sum(axis=0) / ids.size)
-        model = replace(model, mass=(counts[:, None] * shares.astype(float)).sum(axis=0))
-        emit = model.emissions(counts, np.ones(keys.size, bool), shares)
-        _, words, moves, starts = passes(ids, sizes, emit, model, True)
-        model = replace(_moved(model, moves, starts, words.sum(axis=0), model.rare * 0), unseen=model.unseen)
-    place = np.argsort(keys)
-    shares = _shares(words, counts, model.occupied)[place].astype(np.float32)
-    return replace(model, seed_keys=keys[place], seed_shares=shares, rare=np.tile(model.occupied, (OWN - 1, 1)))
-
-
-def _seed_sequences(blocks: DataFrame) -> list[np.ndarray]:
-    """Word hashes of at most SEED_DOCUMENTS training documents of at most SEED_LENGTH tokens, those of least id hash."""
-    documents = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "held", "sizes")).alias("at", "d"))
-    short = documents.where(~F.col("d.held") & (F.col("d.sizes") <= SEED_LENGTH))
-    order = [F.xxhash64("d.doc_ids"), F.col("d.doc_ids"), F.col("block"), F.col("at")]
-    chosen = short.orderBy(*order).limit(SEED_DOCUMENTS).select("block", "at").toPandas()
-    by_block = {b: np.sort(g.to_numpy()) for b, g in chosen.groupby("block")["at"]}
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for block, sizes, ids, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                if block in by_block:
-                    words, keys = from_planes(ids, "i4"), np.frombuffer(keys, np.uint64)
-                    ends = np.cumsum(sizes)
-                    rows += [(block, int(a), keys[words[ends[a] - sizes[a] : ends[a]]].tobytes()) for a in by_block[block]]
-            yield binary_batch(rows, ["block", "at", "words"], [pa.int64(), pa.int32(), pa.binary()])
+def _packed(shares: np.ndarray) -> bytes:
+    """16-bit shares by word and state, compressed: those of a state lie together, low bytes apart from high ones."""
+    return pa.compress(planes(shares.astype(np.float16).T.ravel()), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, words: int, states: int) -> np.ndarray:
+    return from_planes(pa.decompress(data, words * states * 2, "zstd"), "f2").reshape(states, words).T
+
+
+def _frequent(counted: DataFrame) -> np.ndarray:
+    """Ascending hashes of the START_WORDS words that occur most often in training documents, those of equal counts by hash."""
+    each = counted.where("top is not null").select(F.explode(F.arrays_zip("top", "top_counts")).alias("w")).select("w.*")
+    chosen = each.orderBy(F.desc("top_counts"), "top").limit(START_WORDS).collect()
+    return np.sort(np.array([r["top"] for r in chosen], np.int64).view(np.uint64))
+
+
+def _classes(frequent: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The class of each word: its place among the frequent ones, or one of START_REST by its hash."""
+    found = frequent.size + (keys % np.uint64(START_REST)).astype(np.int64)
+    if frequent.size:
+        at = np.minimum(np.searchsorted(frequent, keys), frequent.size - 1)
+        own = frequent[at] == keys
+        found[own] = at[own]
+    return found
 
-    found = blocks.select("block", "sizes", "ids", "keys").mapInArrow(take, "block long, at int, words binary")
-    return [np.frombuffer(r["words"], np.uint64) for r in found.orderBy("block", "at").collect()]
+
+def _neighbours(blocks: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """How often each class (column) follows each class (row) in all training documents; in the last row, how often it begins one."""
+    classes = frequent.size + START_REST
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes + 1) * classes, np.int64)
+        for batch in batches:
+            for held, sizes, ids, keys in zip(*batch.columns):
+                held, sizes = np.array(held.as_py(), bool), np.array(sizes.as_py(), np.int64)
+                words = _classes(frequent, np.frombuffer(keys.as_buffer(), np.uint64))[from_planes(ids.as_buffer(), "i4")]
+                before = np.r_[classes, words[:-1]]
+                before[np.cumsum(sizes) - sizes] = classes
+                total += np.bincount((before * classes + words)[np.repeat(~held, sizes)], minlength=total.size)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    each = blocks.select("held", "sizes", "ids", "keys").mapInArrow(count, "cell long, n long")
+    found = each.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros((classes + 1) * classes)
+    total[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return total.reshape(classes + 1, classes)
+
+
+def _fitted(pairs: np.ndarray, states: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log likelihood, expected counts of states and classes, of moves) after EM on pairs of neighbours: two states, each with its class."""
+    each, seen = pairs.sum(axis=0) + pairs.sum(axis=1), pairs > 0
+    words = each * np.random.default_rng(seed).gamma(1.0, size=(states, each.size)) + 1e-9
+    moves = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    for _ in range(START_ROUNDS):
+        emit, joint = words / words.sum(axis=1, keepdims=True), moves / moves.sum()
+        likely = emit.T @ joint @ emit
+        ratio = np.divide(pairs, likely, out=np.zeros_like(pairs), where=seen)
+        words = emit * (joint @ (emit @ ratio.T) + joint.T @ (emit @ ratio)) + 1e-3 * each / states + 1e-9
+        moves = joint * (emit @ ratio @ emit.T) + 1e-3
+    return float((pairs[seen] * np.log(likely[seen])).sum()), words, moves
+
+
+def started(neighbours: np.ndarray, frequent: np.ndarray, states: int = STATES) -> Model:
+    """Where the passes over all documents start: the model under which the neighbouring classes of all training tokens are likeliest."""
+    model, pairs, starts = blank(states), neighbours[:-1], neighbours[-1]
+    if not pairs.any():
+        return model
+    _, words, moves = max((_fitted(pairs, states, k) for k in range(START_TRIES)), key=lambda fit: fit[0])
+    occupied = words.sum(axis=1) / words.sum()
+    some = (pairs.sum(axis=0) + pairs.sum(axis=1) + starts) > 0
+    shares = np.where(some[:, None], (words / words.sum(axis=0)).T, occupied)
+    start = starts @ shares + 0.1
+    return replace(
+        model,
+        start=start / start.sum(),
+        move=(moves + 0.1) / (moves + 0.1).sum(axis=1, keepdims=True),
+        occupied=occupied,
+        rare=np.tile(occupied, (OWN - 1, 1)),
+        unseen=np.full(states, 1e-9),
+        start_words=frequent,
+        start_shares=np.maximum((1 - START_EVEN) * shares + START_EVEN * occupied, LEAST_SHARE).astype(np.float32),
+    )
 
 
 def _counted(blocks: DataFrame, shards: int) -> DataFrame:
-    """Per block and shard the corpus counts of the block's words, and the numbers in the shard of those seen OWN times or more.
+    """Per block and shard the corpus counts of the block's words, the numbers in the shard of those seen OWN times or more, and
+    how often the block's training documents have them.
 
-    Rows without a block hold a shard's totals: training tokens, words seen, and words seen 1 to OWN - 1 times.
+    Rows without a block hold a shard's totals: training tokens, words seen, and words seen 1 to OWN - 1 times; and its most
+    frequent words with their counts.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +289,12 @@ def _counted(blocks: DataFrame, shards: int) -> DataFrame:
                 order = np.argsort(keys)
                 keys, counts = keys[order], counts[order]
                 edges = shard_edges(keys, shards)
-                rows += [(s, block, keys[a:b].tobytes(), planes(counts[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                rows += [(s, block, planes(keys[a:b]), planes(counts[a:b])) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             yield binary_batch(rows, ["shard", "block", "keys", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("block", ignore_index=True)
-        parts = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+        parts = [from_planes(k, "u8") for k in rows["keys"]]
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         counts = np.zeros(keys.size, np.int64)
         np.add.at(counts, at, np.concatenate([from_planes(c, "i4") for c in rows["counts"]]))
@@ -278,13 +303,16 @@ def _counted(blocks: DataFrame, shards: int) -> DataFrame:
         ends = np.cumsum([p.size for p in parts])
         places = np.split(at, ends[:-1])
         totals = [counts.sum(), (counts > 0).sum(), *np.bincount(counts[~own], minlength=OWN)[1:OWN]]
-        out = [(int(rows["shard"].iat[0]), int(b), planes(counts[p]), planes(index[p]), None) for b, p in zip(rows["block"], places)]
-        out.append((int(rows["shard"].iat[0]), None, None, None, [float(x) for x in totals]))
-        frame = pd.DataFrame(out, columns=["shard", "block", "counts", "index", "totals"])
+        most = np.lexsort((keys.view(np.int64), -counts))[:START_WORDS]
+        most = most[counts[most] > 0]
+        shard, nothing = int(rows["shard"].iat[0]), (None, None, None)
+        out = [(shard, int(b), planes(counts[p]), planes(index[p]), n, *nothing) for b, p, n in zip(rows["block"], places, rows["counts"])]
+        out.append((shard, None, *nothing, [float(x) for x in totals], keys[most].view(np.int64), counts[most]))
+        frame = pd.DataFrame(out, columns=["shard", "block", "counts", "index", "n", "totals", "top", "top_counts"])
         return frame.astype({"block": "Int64"})
 
     sent = blocks.select("block", "keys", "counts").mapInArrow(send, "shard int, block long, keys binary, counts binary")
-    return sent.groupBy("shard").applyInPandas(add, "shard int, block long, counts binary, index binary, totals array<double>")
+    return sent.groupBy("shard").applyInPandas(add, _COUNTED)
 
 
 class _Block:
@@ -295,15 +323,15 @@ class _Block:
         self.ids, self.keys = from_planes(row["ids"], "i4"), np.frombuffer(row["keys"], np.uint64)
         self.learned = from_planes(row["counts"], "i4")
         self.order = np.argsort(self.keys)
-        self.counts, self.index, self.shard = np.zeros(self.keys.size, np.int64), np.full(self.keys.size, -1, np.int32), []
+        self.counts, self.shard = np.zeros(self.keys.size, np.int64), []
         at = 0
         for reply in row["replies"]:
             counts = from_planes(reply["counts"], "i8")
             here = self.order[at : at + counts.size]
-            self.counts[here], self.index[here] = counts, from_planes(reply["index"], "i4")
-            self.shard.append((int(reply["shard"]), here[self.index[here] >= 0]))
+            self.counts[here] = counts
+            self.shard.append((int(reply["shard"]), here[counts >= OWN]))
             at += counts.size
-        self.own = self.index >= 0
+        self.own = self.counts >= OWN
 
     def emissions(self, model: Model, replies: pd.DataFrame) -> np.ndarray:
         shares = np.zeros((self.keys.size, model.start.size), np.float32)
@@ -311,13 +339,11 @@ class _Block:
             by_shard = dict(zip(replies["shard"], replies["shares"]))
             for shard, words in self.shard:
                 if words.size:
-                    shares[words] = np.frombuffer(by_shard[shard], np.float16).reshape(-1, model.start.size)
+                    shares[words] = _unpacked(by_shard[shard], words.size, model.start.size)
+        elif model.start_shares.size:
+            shares[:] = model.start_shares[_classes(model.start_words, self.keys)]
         else:
             shares[:] = model.occupied
-            if model.seed_keys.size:
-                at = np.minimum(np.searchsorted(model.seed_keys, self.keys), model.seed_keys.size - 1)
-                seen = model.seed_keys[at] == self.keys
-                shares[seen] = model.seed_shares[at[seen]]
         return model.emissions(self.counts, self.own, shares[self.own])
 
 
@@ -326,7 +352,7 @@ def _expected(model: Model):
 
     def expect(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks):
-            return pd.DataFrame({c: [] for c in ["shard", "block", "index", "n", "shares", "totals"]})
+            return pd.DataFrame({c: [] for c in ["shard", "block", "shares", "totals"]})
         block = _Block(blocks.iloc[0])
         learn = ~np.asarray(blocks["held"].iat[0], bool)
         tokens = np.repeat(learn, block.sizes)
@@ -336,10 +362,8 @@ def _expected(model: Model):
         rows = []
         for shard, here in block.shard:
             here = here[block.learned[here] > 0]
-            n = block.learned[here]
-            shares = (words[here] / n[:, None]).astype(np.float16)
-            rows.append((shard, block.number, planes(block.index[here]), planes(n), shares.T.tobytes(), totals if not rows else None))
-        return pd.DataFrame(rows, columns=["shard", "block", "index", "n", "shares", "totals"])
+            rows.append((shard, block.number, _packed(words[here] / block.learned[here][:, None]), totals if not rows else None))
+        return pd.DataFrame(rows, columns=["shard", "block", "shares", "totals"])
 
     return expect
 
@@ -350,23 +374,27 @@ def _maximised(model: Model):
 
     def maximise(sent: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         sent = sent.sort_values("block", ignore_index=True)
-        # which words each block asks for is known from the counting pass
-        asked = [from_planes(i, "i4") for i in replies["index"]]
-        asked = [i[i >= 0] for i in asked]
+        # which words each block asks for, and how often it has them, is known from the counting pass
+        asked, taught = [], {}
+        for block, index, n in zip(replies["block"], replies["index"], replies["n"]):
+            index, n = from_planes(index, "i4"), from_planes(n, "i4")
+            asked.append(index[index >= 0])
+            some = (index >= 0) & (n > 0)
+            taught[int(block)] = index[some], n[some].astype(np.int64)
         size = max((int(i.max()) + 1 for i in asked if i.size), default=0)
         counts, words, mass = np.zeros(size, np.int64), np.zeros((size, states)), np.zeros(states)
         totals = np.zeros(2 * states + states * states + (OWN - 1) * states + 1)
-        for index, n, shares, extra in zip(sent["index"], sent["n"], sent["shares"], sent["totals"]):
-            index, n = from_planes(index, "i4"), from_planes(n, "i4").astype(np.int64)
+        for block, shares, extra in zip(sent["block"], sent["shares"], sent["totals"]):
+            index, n = taught[int(block)]
             counts[index] += n
-            shares = np.frombuffer(shares, np.float16).reshape(states, -1).T.astype(np.float64)
+            shares = _unpacked(shares, index.size, states).astype(np.float64)
             words[index] += shares * (n / np.maximum(shares.sum(axis=1), 1e-9))[:, None]
             if extra is not None:
                 totals += extra
         shares = _shares(words, counts, model.occupied)
         mass += (counts[:, None] * shares.astype(np.float64)).sum(axis=0)
         shard = int(replies["shard"].iat[0]) if len(replies) else int(sent["shard"].iat[0])
-        out = [(shard, int(b), shares[i].tobytes(), None) for b, i in zip(replies["block"], asked) if i.size]
+        out = [(shard, int(b), _packed(shares[i]), None) for b, i in zip(replies["block"], asked) if i.size]
         out.append((shard, None, None, [*totals, *mass]))
         return pd.DataFrame(out, columns=["shard", "block", "shares", "totals"]).astype({"block": "Int64"})
 
@@ -409,8 +437,8 @@ def score_texts(documents: DataFrame, held: Column, states: int = STATES, rounds
 
     Documents become blocks with local word numbers, staged and bucketed once. Word counts and, in each of ``rounds`` Baum-Welch
     passes, expected counts go from the blocks to shards of words and back, and only transitions and totals of a fixed size to the driver.
-    The start is fitted on at most SEED_DOCUMENTS training documents of at most SEED_LENGTH tokens; all that is counted or learned
-    after that covers every training token. Words seen fewer than OWN times share the state shares of all words seen as often, and
+    They start from a fit of how often words of START_WORDS + START_REST classes follow each other, counted over all training
+    tokens; so all that is counted or learned covers every one of them. Words seen fewer than OWN times share the state shares of all words seen as often, and
     unseen words together get the share that words seen once have in each state. Words are told apart by 64-bit hashes.
 
     NULL texts are empty: one token, the end. Rows come back as often as they occur, NULL ids as NULL. Without training
@@ -420,13 +448,15 @@ def score_texts(documents: DataFrame, held: Column, states: int = STATES, rounds
     source = documents.select("doc_id", F.coalesce(held, F.lit(True)).alias("held"), F.col("text").cast("binary").alias("text"))
     blocks = stage_bucketed(source.mapInArrow(_read_blocks, _BLOCKS), "block", "word-blocks")
     shards = shard_count(blocks.agg(F.sum(F.octet_length("keys") / 8)).first()[0])
-    counted = stage(_counted(blocks, shards), "word-counts")
+    counted = stage_bucketed(_counted(blocks, shards), "shard", "word-counts")
     totals = summed(counted, "totals")
-    replies = counted.where("block is not null").select("shard", "block", "counts", "index")
-    gathered = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts", "index"))).alias("replies"))
+    replies = counted.where("block is not null")
+    gathered = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("replies"))
     known = stage_bucketed(gathered, "block", "block-counts")
     ready = blocks.join(known.hint("merge"), "block")
-    model = seeded(_seed_sequences(blocks), states)
+    asked = replies.select("shard", "block", "index", "n")
+    frequent = _frequent(counted)
+    model = started(_neighbours(blocks, frequent), frequent, states)
     if totals.size:
         model.tokens, model.types = int(totals[0]), int(totals[1])
         few = totals[2:] * np.arange(1, OWN)
@@ -437,14 +467,14 @@ def score_texts(documents: DataFrame, held: Column, states: int = STATES, rounds
     shares = spark.createDataFrame([], "shard int, block long, shares binary")
     for _ in range(rounds if model.types else 0):
         sent = ready.groupBy("block").cogroup(shares.groupBy("block")).applyInPandas(_expected(model), _SENT)
-        maximised = sent.groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(
+        maximised = sent.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(
             _maximised(model), "shard int, block long, shares binary, totals array<double>"
         )
         maximised = stage(maximised, "word-shares")
         numbers = summed(maximised, "totals")
         moves, starts, occupied, rare, _, mass = np.split(numbers, np.cumsum([states * states, states, states, (OWN - 1) * states, 1]))
         model = _moved(model, moves.reshape(states, states), starts, occupied, rare.reshape(OWN - 1, states))
-        model = replace(model, mass=mass + few @ model.rare, seed_keys=model.seed_keys[:0], seed_shares=model.seed_shares[:0])
+        model = replace(model, mass=mass + few @ model.rare, start_words=model.start_words[:0], start_shares=model.start_shares[:0])
         shares = maximised.where("block is not null").select("shard", "block", "shares")
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

@@ -116,6 +116,21 @@ def test_more_rounds_fit_better(spark, monkeypatch):
     assert totals[1] > sum(r.base_score for r in got) * 0.8  # three worlds: log10(3) less a word
 
 
+def test_start_learns_from_every_document(spark, monkeypatch):
+    """Baum-Welch starts from the neighbours of all training tokens: of long documents too, and of none that are held out."""
+    monkeypatch.setattr(hidden_markov, "START_WORDS", 40)
+    order = np.random.default_rng(8)
+    worlds = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    rows = [(i, " ".join(order.choice(worlds[i % 3], 2000))) for i in range(9)] + [(100, "x y")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(hidden_markov, "started", lambda n, *a, f=hidden_markov.started: seen.append(n) or f(n, *a))
+    got = hidden_markov.score_texts(documents, F.col("doc_id") == 100, states=3).collect()
+    assert seen[0].sum() == 9 * 2001 and seen[0][-1].sum() == 9
+    taught = [r for r in got if r.doc_id < 100]
+    assert sum(r.score for r in taught) > sum(r.base_score for r in taught) * 0.8
+
+
 def test_language_model_odd_inputs(spark):
     long_text = "word " * 70_000
     rows = [(None, "a b"), (10**17, None), (2, ""), (2, ""), (3, " \t\n"), (4, "A a Ä ä"), (5, long_text), (6, "a\x85b a\x1fb")]
