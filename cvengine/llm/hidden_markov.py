@@ -12,9 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cvengine.llm.common import held_out, stage, table
+from cvengine.llm.common import held_out, table
 from cvengine.llm.shards import BlockNumbers, Vocabulary, binary_batch, from_planes, planes, shard_count, shard_edges, summed
-from cvengine.session import stage_bucketed
+from cvengine.session import shuffles_dropped, stage_bucketed
 
 STATES = 8
 #: Passes of Baum-Welch over all training tokens.
@@ -39,6 +39,8 @@ FOLDS, FOLD = 5, 1
 _BLOCKS = "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, ids binary, keys binary, counts binary"
 _COUNTED = "shard int, block long, counts binary, index binary, n binary, totals array<double>, top array<long>, top_counts array<long>"
 _SENT = "shard int, block long, shares binary, totals array<double>"
+_LEARNED = "shard int, size int, shares binary, totals array<double>"
+_ANSWERED = "shard int, block long, shares binary"
 
 
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,19 +371,18 @@ def _expected(model: Model):
 
 
 def _maximised(model: Model):
-    """Per shard the new shares of its words, one row for each block that has some; totals of the shard in a row without a block."""
+    """Per shard one row with the new shares of its words and its totals."""
     states = model.start.size
 
     def maximise(sent: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         sent = sent.sort_values("block", ignore_index=True)
-        # which words each block asks for, and how often it has them, is known from the counting pass
-        asked, taught = [], {}
+        # which words each block has, and how often, is known from the counting pass
+        size, taught = 0, {}
         for block, index, n in zip(replies["block"], replies["index"], replies["n"]):
             index, n = from_planes(index, "i4"), from_planes(n, "i4")
-            asked.append(index[index >= 0])
+            size = max(size, int(index.max(initial=-1)) + 1)
             some = (index >= 0) & (n > 0)
             taught[int(block)] = index[some], n[some].astype(np.int64)
-        size = max((int(i.max()) + 1 for i in asked if i.size), default=0)
         counts, words, mass = np.zeros(size, np.int64), np.zeros((size, states)), np.zeros(states)
         totals = np.zeros(2 * states + states * states + (OWN - 1) * states + 1)
         for block, shares, extra in zip(sent["block"], sent["shares"], sent["totals"]):
@@ -394,13 +395,28 @@ def _maximised(model: Model):
         shares = _shares(words, counts, model.occupied)
         mass += (counts[:, None] * shares.astype(np.float64)).sum(axis=0)
         shard = int(replies["shard"].iat[0]) if len(replies) else int(sent["shard"].iat[0])
-        out = [(shard, int(b), _packed(shares[i]), None) for b, i in zip(replies["block"], asked) if i.size]
-        out.append((shard, None, None, [*totals, *mass]))
-        return pd.DataFrame(out, columns=["shard", "block", "shares", "totals"]).astype({"block": "Int64"})
+        return pd.DataFrame([(shard, size, _packed(shares), [*totals, *mass])], columns=["shard", "size", "shares", "totals"])
 
     return maximise
 
 
+def _answered(states: int):
+    """Per shard one row for each block that has words of its own there, with their shares."""
+
+    def answer(asked: pd.DataFrame, learned: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for shard, size, shares in zip(learned["shard"], learned["size"], learned["shares"]):
+            shares = _unpacked(shares, int(size), states)
+            for block, index in zip(asked["block"], asked["index"]):
+                index = from_planes(index, "i4")
+                index = index[index >= 0]
+                if index.size:
+                    rows.append((int(shard), int(block), _packed(shares[index])))
+        return pd.DataFrame(rows, columns=["shard", "block", "shares"])
+
+    return answer
+
+
 def _scored(model: Model):
     """Per document its tokens, known tokens, the score of smoothed counts and the model's score, in base 10."""
     unit = np.log10(model.tokens + 0.5 * (model.types + 1))
@@ -445,37 +461,38 @@ def score_texts(documents: DataFrame, held: Column, states: int = STATES, rounds
     rows every token is unseen and both scores are 0. An empty table gives an empty result.
     """
     spark = documents.sparkSession
-    source = documents.select("doc_id", F.coalesce(held, F.lit(True)).alias("held"), F.col("text").cast("binary").alias("text"))
-    blocks = stage_bucketed(source.mapInArrow(_read_blocks, _BLOCKS), "block", "word-blocks")
-    shards = shard_count(blocks.agg(F.sum(F.octet_length("keys") / 8)).first()[0])
-    counted = stage_bucketed(_counted(blocks, shards), "shard", "word-counts")
-    totals = summed(counted, "totals")
-    replies = counted.where("block is not null")
-    gathered = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("replies"))
-    known = stage_bucketed(gathered, "block", "block-counts")
-    ready = blocks.join(known.hint("merge"), "block")
-    asked = replies.select("shard", "block", "index", "n")
-    frequent = _frequent(counted)
-    model = started(_neighbours(blocks, frequent), frequent, states)
-    if totals.size:
-        model.tokens, model.types = int(totals[0]), int(totals[1])
-        few = totals[2:] * np.arange(1, OWN)
-    else:
-        few = np.zeros(OWN - 1)
-    model = replace(model, mass=np.maximum(model.occupied * model.tokens, 1e-9), unseen=model.unseen if model.types else np.ones(states))
-
-    shares = spark.createDataFrame([], "shard int, block long, shares binary")
-    for _ in range(rounds if model.types else 0):
-        sent = ready.groupBy("block").cogroup(shares.groupBy("block")).applyInPandas(_expected(model), _SENT)
-        maximised = sent.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(
-            _maximised(model), "shard int, block long, shares binary, totals array<double>"
-        )
-        maximised = stage(maximised, "word-shares")
-        numbers = summed(maximised, "totals")
-        moves, starts, occupied, rare, _, mass = np.split(numbers, np.cumsum([states * states, states, states, (OWN - 1) * states, 1]))
-        model = _moved(model, moves.reshape(states, states), starts, occupied, rare.reshape(OWN - 1, states))
-        model = replace(model, mass=mass + few @ model.rare, start_words=model.start_words[:0], start_shares=model.start_shares[:0])
-        shares = maximised.where("block is not null").select("shard", "block", "shares")
+    with shuffles_dropped(spark):
+        source = documents.select("doc_id", F.coalesce(held, F.lit(True)).alias("held"), F.col("text").cast("binary").alias("text"))
+        blocks = stage_bucketed(source.mapInArrow(_read_blocks, _BLOCKS), "block", "word-blocks")
+        shards = shard_count(blocks.agg(F.sum(F.octet_length("keys") / 8)).first()[0])
+        counted = stage_bucketed(_counted(blocks, shards), "shard", "word-counts")
+        totals = summed(counted, "totals")
+        replies = counted.where("block is not null")
+        gathered = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "counts"))).alias("replies"))
+        known = stage_bucketed(gathered, "block", "block-counts")
+        ready = blocks.join(known.hint("merge"), "block")
+        asked, wanted = replies.select("shard", "block", "index", "n"), replies.select("shard", "block", "index")
+        frequent = _frequent(counted)
+        model = started(_neighbours(blocks, frequent), frequent, states)
+        if totals.size:
+            model.tokens, model.types = int(totals[0]), int(totals[1])
+            few = totals[2:] * np.arange(1, OWN)
+        else:
+            few = np.zeros(OWN - 1)
+        model = replace(model, mass=np.maximum(model.occupied * model.tokens, 1e-9), unseen=model.unseen if model.types else np.ones(states))
+
+        shares = spark.createDataFrame([], _ANSWERED)
+        for _ in range(rounds if model.types else 0):
+            sent = ready.groupBy("block").cogroup(shares.groupBy("block")).applyInPandas(_expected(model), _SENT)
+            maximised = sent.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(_maximised(model), _LEARNED)
+            # a word's shares are kept once, not once for each block that has it; blocks get theirs from here in the next pass
+            maximised = stage_bucketed(maximised, "shard", "word-shares")
+            numbers = summed(maximised, "totals")
+            moves, starts, occupied, rare, _, mass = np.split(numbers, np.cumsum([states * states, states, states, (OWN - 1) * states, 1]))
+            model = _moved(model, moves.reshape(states, states), starts, occupied, rare.reshape(OWN - 1, states))
+            model = replace(model, mass=mass + few @ model.rare, start_words=model.start_words[:0], start_shares=model.start_shares[:0])
+            learned = maximised.select("shard", "size", "shares")
+            shares = wanted.groupBy("shard").cogroup(learned.groupBy("shard")).applyInPandas(_answered(states), _ANSWERED)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = ready.groupBy("block").cogroup(shares.groupBy("block")).applyInPandas(_scored(model), schema)

@@ -1,6 +1,7 @@
 """The language model, collocations and hard negatives against brute force, and odd inputs."""
 
 import math
+import uuid
 import zlib
 from collections import Counter
 
@@ -131,6 +132,29 @@ def test_start_learns_from_every_document(spark, monkeypatch):
     assert sum(r.score for r in taught) > sum(r.base_score for r in taught) * 0.8
 
 
+def test_shares_are_kept_once_a_word(spark, monkeypatch, tmp_path):
+    """What a pass learns is staged once a word, however many blocks have it; shuffle files of a pass go with it."""
+    monkeypatch.setattr(hidden_markov, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr("cvengine.llm.shards.SHARD_ENTRIES", 200)
+    for module in ("cvengine.session", "cvengine.llm.common"):
+        monkeypatch.setattr(f"{module}.new_path", lambda _, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    seen, was = [], spark.conf.get(cleanup)
+    monkeypatch.setattr(hidden_markov, "summed", lambda *a, f=hidden_markov.summed: seen.append(spark.conf.get(cleanup)) or f(*a))
+    rows = [(i, " ".join(f"w{k}" for k in range(19))) for i in range(60)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = hidden_markov.score_texts(documents, F.lit(False), states=3).collect()
+    assert {r.n_tokens for r in got} == {20} and len(got) == 60
+    folders = [p for p in tmp_path.iterdir() if p.name.startswith("word-shares")]
+    assert len(folders) == hidden_markov.ROUNDS
+    for folder in folders:
+        learned = spark.read.parquet(str(folder)).where("shares is not null").collect()
+        # 20 blocks, each with all 20 words
+        assert len(learned) == len({r["shard"] for r in learned}) > 1
+        assert sum(r["size"] for r in learned) == 20
+    assert set(seen) == {"true"} and spark.conf.get(cleanup) == was
+
+
 def test_language_model_odd_inputs(spark):
     long_text = "word " * 70_000
     rows = [(None, "a b"), (10**17, None), (2, ""), (2, ""), (3, " \t\n"), (4, "A a Ä ä"), (5, long_text), (6, "a\x85b a\x1fb")]
