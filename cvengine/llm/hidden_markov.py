@@ -157,8 +157,8 @@ def passes(ids: np.ndarray, sizes: np.ndarray, emit: np.ndarray, model: Model, l
             after[: alive[t + 1]] = weighted @ model.move.T
         alpha[: alive[0]] *= after
         starts += alpha[: alive[0]].sum(axis=0)
-        cells = (tokens.astype(np.int64)[:, None] * states + np.arange(states)).ravel()
-        words += np.bincount(cells, alpha.ravel(), words.size).reshape(words.shape)
+        for k in range(states):
+            words[:, k] += np.bincount(tokens, alpha[:, k], len(words))
     return score, words, moves * model.move, starts
 
 
