@@ -129,3 +129,40 @@ def test_selection_sorts_no_table(spark):
     finally:
         order.Window.partitionBy = whole
     assert set(seen) == {("gap",)}
+
+
+def test_optimizer_derives_no_constraints_from_gaps(spark):
+    """Of a filter that spanned 12 renamed columns the optimizer derived some 2^12 constraints in the driver."""
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(50).select(*[F.col("id").cast("double").alias(n) for n in names])
+    gaps = [order._Gap(n, None, None, 0, 50, (24,)) for n in names]
+    hits = order._in_gaps(df, gaps)
+    assert hits._jdf.queryExecution().optimizedPlan().constraints().size() < 20
+    assert hits.groupBy("gap").count().collect() and hits.count() == 12 * 50
+
+
+def test_medians_of_as_many_columns_as_a_rollup_has(spark):
+    """33 columns of more rows than a cell has: before, planning took gigabytes of the driver."""
+    rng = random.Random(5)
+    columns = {f"c{i}": [None if rng.random() < 0.1 else float(rng.randint(0, 10 ** (i % 7))) for _ in range(300)] for i in range(33)}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    got = order.column_quantiles(df, list(columns), [(1, 2)], cell_rows=100)
+    assert {c: v[0] for c, v in got.items()} == {c: pytest.approx(pd.Series(v).median()) for c, v in columns.items()}
+
+
+def test_driver_gets_the_ends_of_brackets_not_the_sample(spark):
+    rng = random.Random(6)
+    values = {0: [rng.randint(0, 400) / 4 for _ in range(900)], 1: [3.0] * 200, 2: [float(i) for i in range(7)], 4: [float(i) for i in range(40)]}
+    rows = [(g, v) for g, vs in values.items() for v in vs]
+    rng.shuffle(rows)
+    positions = {0: (2, 450, 451, 899), 1: (100,), 2: (3, 5), 3: (9,), 4: (1020,)}
+    gaps = [order._Gap("v", None, None, 1000 * (g == 4), 900 if g == 0 else 200, p) for g, p in positions.items()]
+    got = order._brackets(spark.createDataFrame(rows, "gap int, v double").repartition(3), gaps)
+    for g, gap in enumerate(gaps):
+        sample, ends = sorted(values.get(g, [])), set()
+        reach = int(2 * len(sample) ** 0.5)
+        for p in gap.positions:
+            at = (p - gap.before) * len(sample) // gap.rows
+            ends |= {sample[i] for i in (at - reach, at + reach) if 0 <= i < len(sample)}
+        assert got[g] == (sample if len(sample) < 8 else sorted(ends) or [sample[len(sample) // 2]])
+    assert len(got[0]) <= 8 and got[1] == [3.0] and got[2] == values[2] and got[3] == [] and got[4]
