@@ -166,3 +166,18 @@ def test_sole_point_is_refitted_beside_its_folds(spark):
     assert batches == [3] and len(values) == 2 and best == grid[0] and estimator.getCacheNodeIds()
     again = estimator.copy(best).setCacheNodeIds(False).fit(ready)
     assert model.featureImportances == again.featureImportances and model.toDebugString.split("\n")[1:] == again.toDebugString.split("\n")[1:]
+
+
+def test_training_on_more_rows_than_a_cell(spark):
+    """33 numeric inputs whose medians are selected, as beyond a million customers: before, planning that took gigabytes of the driver."""
+    import random
+
+    order, names = random.Random(9), [f"c{i}" for i in range(33)]
+    rows = [(f"id{i}", *[None if order.random() < 0.1 else order.uniform(0, 10) for _ in names]) for i in range(240)]
+    df = spark.createDataFrame(rows, "customer_id string, " + ", ".join(f"{c} double" for c in names))
+    table = df.withColumn("predicted_clv", F.coalesce(F.col("c0"), F.lit(5.0)) * 3 + F.coalesce(F.col("c1"), F.lit(5.0)))
+    config = modeling.TrainConfig(models=("Linear_Regression",))
+    model = modeling.train_models(modeling.model_input(table, names, "predicted_clv"), names, config, cell_rows=50)
+    assert [r["model"] for r in model.leaderboard(spark).collect()] == list(config.models) and not model.failures
+    train = modeling.mark_test(df, config).where(~F.col("is_test")).toPandas()
+    assert model.preprocessing.stages[0].getMedians() == pytest.approx([train[c].median() for c in names])
